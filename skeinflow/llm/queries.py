@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .licenses import op1_license_scan
+from .quality_rules import op5_quality_rules
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_bpe": op8_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
