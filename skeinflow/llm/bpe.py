@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .texts import map_texts, table
 
+#: Added to the code point of a letter that carries the end mark; byte letters lie below it.
+ENDED = 0x1000
 #: Pieces, and pairs, that a worker keeps.
-KEPT = 200_000
+KEPT = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -44,7 +46,7 @@ class _Pieces(dict):
         self.of = vocabulary
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.of.encode_piece("".join(map(self.of.letters.__getitem__, piece.encode())))
+        found = self.of.encode_piece(self.of.symbols("".join(map(self.of.letters.__getitem__, piece.encode())) + self.of.end))
         if len(self) > KEPT:
             self.clear()
         if len(piece) < 64:
@@ -74,33 +76,35 @@ class Vocabulary:
         raw = [f"{t} ".encode() for t in self.tokens]
         self.buffer = np.frombuffer(b"".join(raw), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        # one letter for each symbol from here on: a last letter with its end mark is the letter ENDED further on
+        self.rank_of = {(self.symbols(a), self.symbols(b)): r for (a, b), r in self.ranks.items()}
         # only tokens that merging their own letters gives can come out of merging at all
-        self.made = {t: i for t, i in self.ids.items() if self._merged(self._symbols(t)) == [t]}
+        self.made = {c: i for t, i in self.ids.items() if self._merged(c := self.symbols(t)) == [c]}
         self.automaton = ahocorasick.Automaton()
-        for t, i in self.made.items():
-            self.automaton.add_word(t, t)
+        for c in self.made:
+            self.automaton.add_word(c, c)
         self.automaton.make_automaton()
         self.follows: dict[tuple[str, str], bool] = {}
         self.encoded = _Pieces(self)
         self.numerals = [str(i) for i in range(size)]
+        self.letter_ids = {self.symbols(t): i for t, i in self.ids.items()}
 
-    def _symbols(self, token: str) -> list[str]:
-        """Letters, the last of them with the end mark if the token has it."""
+    def symbols(self, token: str) -> str:
+        """A token as one letter for each symbol."""
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
-            letters = list(token[: -len(self.end)])
-            return [*letters[:-1], letters[-1] + self.end]
-        return list(token)
+            token = token[: -len(self.end)]
+            return token[:-1] + chr(ord(token[-1]) + ENDED)
+        return token
 
-    def _merged(self, symbols: list[str]) -> list[str]:
+    def _merged(self, symbols: str) -> list[str]:
         """Merging by rank, leftmost first: used once a token and once a pair of tokens."""
-        symbols = list(symbols)
+        parts = list(symbols)
         while True:
-            ranked = [(self.ranks.get((a, b), -1), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
-            best = min(((r, i) for r, i in ranked if r >= 0), default=None)
+            best = min(((r, i) for i, pair in enumerate(zip(parts, parts[1:])) if (r := self.rank_of.get(pair)) is not None), default=None)
             if best is None:
-                return symbols
+                return parts
             i = best[1]
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def compatible(self, left: str, right: str) -> bool:
         """May `right` follow `left`? Merging the letters of both must give these two tokens."""
@@ -108,40 +112,34 @@ class Vocabulary:
         if known is None:
             if len(self.follows) > KEPT:
                 self.follows.clear()
-            known = self.follows[left, right] = self._merged(self._symbols(left) + self._symbols(right)) == [left, right]
+            known = self.follows[left, right] = self._merged(left + right) == [left, right]
         return known
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece written in byte letters, without its end mark."""
-        marked = piece + self.end
+        """Ids of a piece, given as one letter for each symbol."""
         n = len(piece)
         starts: list[list[str]] = [[] for _ in range(n)]
-        for last, token in self.automaton.iter(marked):
-            first = last + 1 - len(token)
-            if first < n and (last < n - 1 or last == len(marked) - 1):  # the end mark is part of the last letter
-                starts[first].append(token)
-        for tokens in starts:
-            tokens.sort(key=len)  # pop() takes the longest
-        width = lambda t, at: n - at if at + len(t) > n else len(t)
+        for last, token in self.automaton.iter(piece):  # by rising end, so the longest comes last at each start
+            starts[last + 1 - len(token)].append(token)
+        if not n or (starts[0] and len(starts[0][-1]) == n):
+            return (self.made[piece],) if n else ()
         path: list[tuple[str, int, list[str]]] = []  # token, its start, what is left to try there
-        seen = [False] * (n + 1)  # from such a place no way leads to the end
-        at, left = 0, list(starts[0])
+        dead: set[int] = set()  # from such a place no way leads to the end
+        at, left, before = 0, starts[0], None
         while at < n:
-            token = None
             while left:
-                t = left.pop()
-                if not seen[at + width(t, at)] and (not path or self.compatible(path[-1][0], t)):
-                    token = t
+                token = left.pop()
+                if at + len(token) not in dead and (before is None or self.compatible(before, token)):
+                    path.append((token, at, left))
+                    at += len(token)
+                    before, left = token, list(starts[at]) if at < n else left
                     break
-            if token is not None:
-                path.append((token, at, left))
-                at += width(token, at)
-                left = list(starts[at]) if at < n else []
-            elif path:
-                seen[at] = True
+            else:
+                if not path:  # a letter that the vocabulary lacks: merge what there is
+                    return tuple(self.letter_ids[s] for s in self._merged(piece) if s in self.letter_ids)
+                dead.add(at)
                 _, at, left = path.pop()
-            else:  # a letter that the vocabulary lacks: merge what there is
-                return tuple(self.ids[s] for s in self._merged(self._symbols(marked)) if s in self.ids)
+                before = path[-1][0] if path else None
         return tuple(self.made[t] for t, _, _ in path)
 
     def normal(self, text: str) -> str:
