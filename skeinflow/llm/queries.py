@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .licenses import op1_license_scan
+from .mixing import OP7_SQL, op7_mix_sources
 from .quality_rules import op5_quality_rules
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op7_mix_sources": op7_mix_sources,
     "op8_bpe": op8_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mix_sources": OP7_SQL,
+}
