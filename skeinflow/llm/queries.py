@@ -6,9 +6,11 @@ from .bpe import op8_bpe
 from .licenses import op1_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
 from .quality_rules import op5_quality_rules
+from .simhash import op3_simhash
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe": op8_bpe,
