@@ -7,14 +7,17 @@ from .licenses import op1_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
 from .quality_rules import op5_quality_rules
 from .simhash import op3_simhash
+from .substrings import OP4_SQL, op4_substrings
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_simhash": op3_simhash,
+    "op4_substrings": op4_substrings,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe": op8_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
 }
