@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuts import cut
@@ -121,40 +121,41 @@ def references(measured: DataFrame, lang: str = "lang") -> dict[str, tuple[list[
     return {r[0]: (list(r[1 : 1 + N_CLASSES]), list(r[1 + N_CLASSES :])) for r in rows if sum(r[1:])}
 
 
-def js_distance(counts: Column, reference: list[int], bins: list[int]) -> Column:
-    """Square root of the Jensen-Shannon divergence (base 2) between two histograms over `bins`, the rest summed as one more bin."""
-    total = max(1, sum(reference))
-    q = [reference[i] / total for i in bins]
-    q.append(max(0.0, 1 - sum(q)))
-    n = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)).cast("double")
-    parts = [counts[i] / n for i in bins]
-    parts.append(F.greatest(F.lit(0.0), 1 - sum(parts, F.lit(0.0))))
+def js_distance(counts: np.ndarray, reference: list[int], bins: list[int]) -> np.ndarray:
+    """Square root of the Jensen-Shannon divergence (base 2) of each row of counts over `bins`, the rest summed as one more bin."""
 
-    def half(a: Column, m: Column) -> Column:
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
+    def shares(x: np.ndarray) -> np.ndarray:
+        chosen = x[:, bins].astype(float)
+        return np.column_stack((chosen, x.sum(1) - chosen.sum(1))) / np.maximum(x.sum(1), 1)[:, None]
 
-    terms = [half(p, (p + F.lit(x)) / 2) + half(F.lit(x), (p + F.lit(x)) / 2) for p, x in zip(parts, q)]
-    return F.sqrt(F.greatest(F.lit(0.0), sum(terms, F.lit(0.0)) / 2))
+    p, q = shares(counts), shares(np.asarray([reference]))
+    m = (p + q) / 2
+    half = lambda a: np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0).sum(1)
+    return np.sqrt(np.maximum(0, (half(p) + half(np.broadcast_to(q, p.shape))) / 2))
 
 
 def judge(measured: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """Adds char_distance and word_distance to the nearest reference (null where guarded), and method_kept."""
-    found = references(measured)
-    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    both = [
-        F.struct(
-            F.when(n_chars >= MIN_CHARS, js_distance(F.col("chars"), chars, list(range(N_CLASSES)))).alias("chars"),
-            F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("common"), common, [_CODE[w.encode()] for w in COMMON[lang].split()])).alias("words"),
-        )
-        for lang, (chars, common) in sorted(found.items())
-    ]
-    if not both:
-        return measured.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "method_kept": F.lit(True)})
-    size = lambda x: F.coalesce(x["chars"], F.lit(0.0)) + F.coalesce(x["words"], F.lit(0.0))
-    near = F.array_sort(F.array(*both), lambda a, b: F.when(size(a) < size(b), -1).when(size(a) > size(b), 1).otherwise(0))[0]
-    out = measured.withColumn("_near", near).withColumns({"char_distance": F.col("_near.chars"), "word_distance": F.col("_near.words")}).drop("_near")
-    within = (F.coalesce("char_distance", F.lit(0.0)) <= char_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
-    return out.withColumn("method_kept", within)
+    found = [(chars, common, [_CODE[w.encode()] for w in COMMON[lang].split()]) for lang, (chars, common) in sorted(references(measured).items())]
+    own = measured.columns
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            matrix = lambda name: batch.column(name).flatten().to_numpy().reshape(n, -1)  # noqa: B023, E731
+            chars, common = matrix("chars"), matrix("common")
+            by_chars, by_words = chars.sum(1) >= MIN_CHARS, batch.column("n_words").to_numpy() >= MIN_WORDS
+            distances = []
+            for c, w, bins in found:
+                distances.append((np.where(by_chars, js_distance(chars, c, list(range(N_CLASSES))), 0), np.where(by_words, js_distance(common, w, bins), 0)))
+            near = np.argmin([c + w for c, w in distances], axis=0) if distances else np.zeros(n, int)
+            pick = lambda k: np.choose(near, [d[k] for d in distances]) if distances else np.zeros(n)  # noqa: B023, E731
+            c, w = pick(0), pick(1)
+            made = [pa.array(c, mask=~by_chars), pa.array(w, mask=~by_words), pa.array((c <= char_limit) & (w <= word_limit))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*own, "char_distance", "word_distance", "method_kept"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema)
+    return measured.mapInArrow(run, f"{types}, char_distance double, word_distance double, method_kept boolean")
 
 
 def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
