@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .licenses import op1_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
+from .pii import op9_pii
 from .quality_rules import op5_quality_rules
 from .simhash import op3_simhash
 from .substrings import OP4_SQL, op4_substrings
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_substrings": OP4_SQL,
