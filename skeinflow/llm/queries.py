@@ -6,12 +6,14 @@ from .bpe import op8_bpe
 from .licenses import op1_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import op9_pii
+from .pu_quality import op2_quality_classifier
 from .quality_rules import op5_quality_rules
 from .simhash import op3_simhash
 from .substrings import OP4_SQL, op4_substrings
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash": op3_simhash,
     "op4_substrings": op4_substrings,
     "op5_quality_rules": op5_quality_rules,
