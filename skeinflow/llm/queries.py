@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .html_text import op6_html_text
 from .licenses import op1_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
 from .pii import op9_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_substrings": op4_substrings,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_text": op6_html_text,
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
