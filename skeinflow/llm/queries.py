@@ -6,6 +6,7 @@ from .bpe import op8_bpe
 from .html_text import op6_html_text
 from .licenses import op1_license_scan
 from .mixing import OP7_SQL, op7_mix_sources
+from .paragraph_sketch import op10_fingerprints
 from .pii import op9_pii
 from .pu_quality import op2_quality_classifier
 from .quality_rules import op5_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_substrings": OP4_SQL,
