@@ -104,17 +104,67 @@ def unpacked(blob: bytes, kind: str | None) -> tuple[bytes, np.ndarray, np.ndarr
     return blob[12:at], counts, places, values
 
 
-def by_text(keys: bytes, counts: np.ndarray, places: np.ndarray, chosen: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """The chosen places by text: (key, places as packed 4-byte numbers)."""
-    text = np.repeat(np.arange(len(counts)), counts)[chosen]
-    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
-    at, ends = places[chosen].astype("<u4"), np.r_[first[1:], len(text)]
-    return [keys[16 * t : 16 * t + 16] for t in text[first]], [at[a:b].tobytes() for a, b in zip(first, ends)]
+class Outbox:
+    """Chosen places by text, sent as one packed row for each destination, so that rows don't multiply with buckets."""
+
+    def __init__(self, destinations: int, most: int = 1 << 21):
+        self.destinations, self.most, self.n, self.held = destinations, most, 0, []
+
+    def add(self, keys: bytes, counts: np.ndarray, places: np.ndarray, chosen: np.ndarray) -> None:
+        if len(chosen):
+            text = np.repeat(np.arange(len(counts)), counts)[chosen]
+            own = np.bincount(text, minlength=len(counts))
+            with_some = np.flatnonzero(own)
+            self.held.append((np.frombuffer(keys, "<u8").reshape(-1, 2)[with_some], own[with_some], places[chosen].astype("<u4")))
+            self.n += len(chosen)
+
+    def full(self) -> bool:
+        return self.n >= self.most
+
+    def rows(self) -> pa.RecordBatch:
+        to, packed = [], []
+        if self.held:
+            keys, counts, places = (np.concatenate(x) for x in zip(*self.held))
+            starts = np.cumsum(counts) - counts
+            order, slices = _slices((keys[:, 0] % np.uint64(self.destinations)).astype(np.int32))
+            for d, s, e in slices:
+                own = order[s:e]
+                size = counts[own]
+                at = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                to.append(d)
+                packed.append(b"".join((struct.pack("<III", len(own), len(at), 0), keys[own].tobytes(), size.astype("<u4").tobytes(), places[at].tobytes())))
+        self.n, self.held = 0, []
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(packed, pa.binary())], schema=_SENT)
+
+
+def received(batches):
+    """(key, places) of each text, from the packed rows of its destination (they stand together)."""
+
+    def settle(held):
+        keys, counts, places = (np.concatenate(x) for x in zip(*((np.frombuffer(k, "<u8").reshape(-1, 2), c, p) for k, c, p, _ in map(lambda x: unpacked(x, None), held))))
+        starts = np.cumsum(counts.astype(np.int64)) - counts
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        k = keys[order]
+        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1)])
+        out = [b"".join(places[starts[i] : starts[i] + counts[i]].tobytes() for i in order[s:e]) for s, e in zip(first, np.r_[first[1:], len(order)])]
+        return pa.RecordBatch.from_arrays([pa.array([k[i].tobytes() for i in first], pa.binary()), pa.array(out, pa.binary())], schema=_PLACES)
+
+    destination, held = None, []
+    for batch in batches:
+        for d, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if d != destination:
+                if held:
+                    yield settle(held)
+                destination, held = d, []
+            held.append(packed)
+    if held:
+        yield settle(held)
 
 
 #: Kinds of packed rows: blocks of the index come before the probes of their bucket; settled places pass through.
 BLOCKS, PROBES, SETTLED = 0, 1, 2
 _ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("packed", pa.binary())])
+_SENT = pa.schema([("destination", pa.int32()), ("packed", pa.binary())])
 _PLACES = pa.schema([("key", pa.binary()), ("places", pa.binary())])
 
 
@@ -150,7 +200,7 @@ def chunks(batches, hits: bool):
             words = unzip.decompress(row[1]).split()
             keys.append(row[0])
             hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-            places.append(np.frombuffer(b"".join(row[2]), "<u4") if hits else None)
+            places.append(np.frombuffer(row[2], "<u4") if hits else None)
             n += len(words)
             if n >= CHUNK_WORDS:
                 yield Chunk(keys, hashes), places
@@ -181,11 +231,10 @@ def probe_rows(batches, block: int, buckets: int):
         yield _rows(rows)
 
 
-def hit_rows(batches, block: int):
-    """Probes that meet a block other than themselves: (key, places)."""
-    bucket, blocks, index, counts = None, [], None, None
+def hit_rows(batches, block: int, destinations: int):
+    """Probes that meet a block other than themselves, by text."""
+    bucket, blocks, index, counts, out = None, [], None, None, Outbox(destinations)
     for batch in batches:
-        keys_out, places_out = [], []
         for b, kind, packed in zip(*(c.to_pylist() for c in batch.columns)):
             if b != bucket:
                 bucket, blocks, index = b, [], None
@@ -199,13 +248,12 @@ def hit_rows(batches, block: int):
                 if not len(index):
                     continue
                 at = np.minimum(np.searchsorted(index, low), len(index) - 1)
-                chosen = np.flatnonzero((index[at] == low) & ((counts[at] > 1) | (places % block != 0)))
+                out.add(keys, n, places, np.flatnonzero((index[at] == low) & ((counts[at] > 1) | (places % block != 0))))
             else:
-                chosen = np.arange(len(places))
-            k, p = by_text(keys, n, places, chosen)
-            keys_out += k
-            places_out += p
-        yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.binary()), pa.array(places_out, pa.binary())], schema=_PLACES)
+                out.add(keys, n, places, np.arange(len(places)))
+        if out.full():
+            yield out.rows()
+    yield out.rows()
 
 
 def window_rows(batches, window: int, block: int, buckets: int):
@@ -230,38 +278,36 @@ def window_rows(batches, window: int, block: int, buckets: int):
         yield _rows(rows)
 
 
-def repeat_rows(batches):
-    """Windows that occur twice or more: (key, places)."""
+def repeat_rows(batches, destinations: int):
+    """Windows that occur twice or more, by text."""
+    out = Outbox(destinations)
 
     def settle(held):
         parts = [unpacked(p, "<u8") for p in held]
-        h = np.concatenate([x[3] for x in parts])
-        order = np.sort(h)
+        order = np.sort(np.concatenate([x[3] for x in parts]))
         twice = np.unique(order[1:][order[1:] == order[:-1]])
-        keys_out, places_out = [], []
         if len(twice):
             for keys, n, places, own in parts:
                 at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
-                k, p = by_text(keys, n, places, np.flatnonzero(twice[at] == own))
-                keys_out += k
-                places_out += p
-        return keys_out, places_out
+                out.add(keys, n, places, np.flatnonzero(twice[at] == own))
 
-    out = lambda k, p: pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(p, pa.binary())], schema=_PLACES)
     bucket, held = None, []
     for batch in batches:
         for b, kind, packed in zip(*(c.to_pylist() for c in batch.columns)):
             if b != bucket:
                 if held:
-                    yield out(*settle(held))
+                    settle(held)
                 bucket, held = b, []
             if kind == SETTLED:
                 keys, n, places, _ = unpacked(packed, None)
-                yield out(*by_text(keys, n, places, np.arange(len(places))))
+                out.add(keys, n, places, np.arange(len(places)))
             else:
                 held.append(packed)
+        if out.full():
+            yield out.rows()
     if held:
-        yield out(*settle(held))
+        settle(held)
+    yield out.rows()
 
 
 def removal(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, bytes]:
@@ -299,22 +345,24 @@ def remove_repeats(df: DataFrame, keep: list[str], text: str = "text", window: i
     def by_bucket(made: DataFrame) -> DataFrame:
         return made.repartition(max(partitions, buckets), "bucket").sortWithinPartitions("bucket", "kind")
 
-    def with_places(found: DataFrame) -> DataFrame:
-        places = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list("places").alias("places"))
-        return texts.join(places, F.col("key") == F.col("_key")).select("key", "packed", "places")
+    long = texts.where(F.col("n_words") >= window).select("key", "packed")
+
+    def with_places(sent: DataFrame) -> DataFrame:
+        places = sent.repartition(max(partitions, buckets), "destination").sortWithinPartitions("destination").mapInArrow(received, "key binary, places binary")
+        return long.join(places.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).select("key", "packed", "places")
 
-    row, place = "bucket int, kind tinyint, packed binary", "key binary, places binary"
-    probes = texts.where(F.col("n_words") >= window).select("key", "packed").mapInArrow(lambda b: probe_rows(b, block, buckets), row)
-    hits = by_bucket(probes).mapInArrow(lambda b: hit_rows(b, block), place)
+    row, sent = "bucket int, kind tinyint, packed binary", "destination int, packed binary"
+    probes = long.mapInArrow(lambda b: probe_rows(b, block, buckets), row)
+    hits = by_bucket(probes).mapInArrow(lambda b: hit_rows(b, block, buckets), sent)
     windows = with_places(hits).mapInArrow(lambda b: window_rows(b, window, block, buckets), row)
-    repeats = by_bucket(windows).mapInArrow(repeat_rows, place)
+    repeats = by_bucket(windows).mapInArrow(lambda b: repeat_rows(b, buckets), sent)
 
     def kept_rows(batches):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             keys, removed, digests, kept_texts = [], [], [], []
             for k, packed, places in zip(*(c.to_pylist() for c in batch.columns)):
-                n, kept = removal(unzip.decompress(packed).split(), np.frombuffer(b"".join(places), "<u4"), window)
+                n, kept = removal(unzip.decompress(packed).split(), np.frombuffer(places, "<u4"), window)
                 keys.append(k)
                 removed.append(n)
                 digests.append(hashlib.sha256(kept).digest())
