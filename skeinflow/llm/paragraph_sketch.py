@@ -87,8 +87,7 @@ def with_edit(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataFram
     start = F.substring(F.col("text"), F.lit(1), F.expr("cast(n_chars div 3 as int)"))
     sent = texts.join(order, (F.col("t1") == F.col("n1")) & (F.col("t2") == F.col("n2"))).select("k1", "k2", "id", "n_chars", start.alias("start"), digests(F.col("text")).alias("next"))
     sent = sent.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("id", "n_chars", "start", "next")))  # copies of a next document send the same
-    # a merge join leaves each document's rows where its key deals them, so that peeling deals nothing anew
-    met = texts.join(sent.hint("merge"), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
+    met = texts.join(sent, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.expr("cast(n_chars - n_chars div 3 as int)")), F.col("start"))
     return met.select("k1", "k2", "id", "n_chars", edited.alias("edited"), digests(F.col("text")).alias("own"), "next").withColumn("edit", digests(F.col("edited")))
 
@@ -147,10 +146,11 @@ def compare(pairs: DataFrame, most_levels: int = 6) -> DataFrame:
 def fingerprints(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: `by`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     made = with_edit(df, by, text)
-    made = made.select("k1", "k2", F.monotonically_increasing_id().alias("row"), "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "edit", "next", written(F.col("own")).alias("fingerprint"), written(F.col("edit")).alias("edited_fingerprint"))
+    made = made.select("k1", "k2", F.monotonically_increasing_id().alias("row"), "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "edit", "next")
     made = cut(made)
     both = F.explode(F.array(F.struct(F.lit("edit").alias("pair"), F.col("edit").alias("b")), F.struct(F.lit("next").alias("pair"), F.col("next").alias("b"))))
-    pairs = made.select("k1", "k2", "row", F.col("own").alias("a"), both.alias("p")).select("k1", "k2", "row", "p.pair", "a", "p.b")
+    dealt = made.repartition("k1", "k2", "row")  # once: all that follows keeps a document's rows together
+    pairs = dealt.select("k1", "k2", "row", F.col("own").alias("a"), both.alias("p")).select("k1", "k2", "row", "p.pair", "a", "p.b")
     apart = compare(pairs).groupBy("k1", "k2", "row").agg(*(F.sum(F.when(F.col("pair") == p, F.col("apart"))).alias(f"{p}_apart") for p in ("edit", "next")))
     apart = apart.withColumnsRenamed({c: f"_{c}" for c in ("k1", "k2", "row")})
 
@@ -159,7 +159,8 @@ def fingerprints(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataF
         return F.when(whole == 0, 1.0).otherwise(1 - F.coalesce(f"{other}_apart", F.lit(0)) / F.greatest(whole, F.lit(1)))
 
     met = made.join(apart, [F.col(c) == F.col(f"_{c}") for c in ("k1", "k2", "row")], "left")
-    return met.select(F.col("id").alias(by), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("edit").alias("near_edited"), likeness("next").alias("near_next"))
+    prints = [written(F.col("own")).alias("fingerprint"), written(F.col("edit")).alias("edited_fingerprint")]
+    return met.select(F.col("id").alias(by), "n_chars", "edited_sha256", *prints, likeness("edit").alias("near_edited"), likeness("next").alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
