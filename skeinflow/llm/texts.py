@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; with the byte bound it keeps a worker's memory flat whatever the texts' length.
 BATCH_ROWS = 1024
@@ -48,4 +49,4 @@ def map_texts(df: DataFrame, rows_of: Callable[..., dict[str, list]], schema: st
             made = rows_of(utf8(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(made[n]) if made[n] is None or not isinstance(made[n], pa.Array) else made[n] for n in names)], names=[*keep, *names])
 
-    return df.select(*keep, df[text].cast("string")).mapInArrow(run, out)
+    return df.select(*keep, F.col(text).cast("string").alias("_text_")).mapInArrow(run, out)
