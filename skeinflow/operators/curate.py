@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_words, normal_key
+from ..sources.shared import settled
 
 
 def dedup_first(df: DataFrame, text: str = "text", seq: str = "id") -> DataFrame:
@@ -54,7 +55,8 @@ def curate(df: DataFrame, quotas: dict[str, int], cap: int, kind: str = "example
 
 def numbered(df: DataFrame, seq: str = "id", form: str = "syn_%04d", name: str = "row_id") -> DataFrame:
     """Ids in order of `seq` without one task that sees all rows: places within ranges, added to the rows of the ranges before."""
-    ranged = df.repartitionByRange(F.col(seq)).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(seq)))
+    drawn = settled(df.repartitionByRange(F.col(seq)).withColumn("_range", F.spark_partition_id()))  # ranges are drawn by sampling: once
+    ranged = drawn.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(seq)))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
     before = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.join(before, F.col("_range") == F.col("_r")).withColumn(name, F.format_string(form, F.col("_before") + F.col("_at") - 1)).drop("_range", "_at", "_r", "_before")
