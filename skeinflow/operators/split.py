@@ -44,15 +44,8 @@ def greedy_quotas(histogram: list[tuple[str, int]], test_size: float = TEST_SIZE
             of.setdefault(label, []).append(s)
     total = {label: sum(size[s] for s in sets) for label, sets in of.items()}
     for label in sorted(of, key=lambda x: (total[x], x)):
-        want = max(1, math.floor(total[label] * test_size + 0.5)) if total[label] > 1 else 0
-        while sum(quota[s] for s in of[label]) < want:
-            open_sets = [s for s in of[label] if quota[s] < size[s]]
-            best = min(open_sets, key=lambda s: (len(s.split("|")), (quota[s] + 1) / size[s], s), default=None)
-            if best is None:
-                break
-            quota[best] += 1
-            if sum(quota[s] for s in of[label]) >= 1 and total[label] * test_size >= 1:
-                break  # presence was what was missing; the shares are near as they are
+        if total[label] > 1 and not any(quota[s] for s in of[label]):
+            quota[min(of[label], key=lambda s: (1 / size[s], len(s.split("|")), s))] += 1
     return quota
 
 
