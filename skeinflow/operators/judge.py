@@ -35,6 +35,15 @@ def rubric_object(raw: Column) -> Column:
     return F.regexp_extract(bare, r"\{[\s\S]*\}", 0)
 
 
+def ends_once(found: Column) -> Column:
+    """Does the object that opens the text end with the text? Lenient parsers leave what follows it aside."""
+    braces = F.regexp_replace(F.regexp_replace(found, r'"(?:[^"\\]|\\.)*"', ""), "[^{}]", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
+    step = lambda a, c: F.struct((a["depth"] + F.when(c == "{", 1).otherwise(-1)).alias("depth"), (a["ends"] + F.when((c == "}") & (a["depth"] == 1), 1).otherwise(0)).alias("ends"))
+    read = F.aggregate(F.filter(F.split(braces, ""), lambda c: c != ""), start, step)
+    return (found != "") & (read["ends"] == 1) & (read["depth"] == 0)
+
+
 def rubric_codes(raw: Column, least: int = LEAST_SCORE, rubric: dict[str, str] = RUBRIC) -> Column:
     """Codes of a rubric in order: GIBBERISH_SHORT alone if it isn't JSON; low, missing or unreadable scores; strict flags."""
     found = rubric_object(raw)
@@ -45,8 +54,7 @@ def rubric_codes(raw: Column, least: int = LEAST_SCORE, rubric: dict[str, str] =
         codes.append(F.when(score.isNull() | (score < least), code))
     flag = lambda name: F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) == "BOOLEAN", F.try_variant_get(value, f"$.{name}", "boolean"))
     codes += [F.when(flag("clinical_leak"), "CLINICAL_LEAK"), F.when(~flag("slang_natural"), "SLANG_MISUSE")]
-    closed = F.rlike(found, F.lit(r"^\{"))  # text after the object's end makes it no JSON: the lenient parser must have used all of it
-    return F.when(~closed | value.isNull(), F.array(F.lit("GIBBERISH_SHORT"))).otherwise(F.array_compact(F.array(*codes)))
+    return F.when(~ends_once(found) | value.isNull(), F.array(F.lit("GIBBERISH_SHORT"))).otherwise(F.array_compact(F.array(*codes)))
 
 
 def verdict(codes: Column) -> Column:

@@ -23,7 +23,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
     """A JSON array file (byte-order mark or not), JSON lines (*.jsonl) or Parquet. Null label lists read as empty."""
     if path.rstrip("/").endswith((".json", ".jsonl")):
-        df = spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).option("encoding", "UTF-8").json(path)
+        df = spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
     else:
         df = spark.read.schema(schema).parquet(path)
     empty = F.array().cast("array<string>")
