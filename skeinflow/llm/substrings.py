@@ -340,7 +340,8 @@ def remove_repeats(df: DataFrame, keep: list[str], text: str = "text", window: i
         }
 
     rows = map_texts(df.select(key, whole.alias("text")), pack, "n_words bigint, digest binary, packed binary", ["key"])
-    texts = rows.groupBy("key").agg(F.first("n_words").alias("n_words"), F.first("digest").alias("digest"), F.first("packed").alias("packed"), F.count("*").alias("copies"))
+    # the key is never null; saying so keeps joins from filtering it anew, so that all of them read the same exchange
+    texts = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("n_words").alias("n_words"), F.first("digest").alias("digest"), F.first("packed").alias("packed"), F.count("*").alias("copies"))
 
     def by_bucket(made: DataFrame) -> DataFrame:
         return made.repartition(max(partitions, buckets), "bucket").sortWithinPartitions("bucket", "kind")
