@@ -1,0 +1,348 @@
+"""The ten operators against brute force on hand-made rows: nulls, empty and long texts, ties, repeated rows, clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from skeinflow.llm import bpe, components, html_text, licenses, mixing, paragraph_sketch, pii, pu_quality, quality_rules, simhash, substrings
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, fp long, size long, n_words long, cell long"
+
+
+def documents(spark, texts, langs=None):
+    rows = [(i, t, (langs or ["en"] * len(texts))[i], f"s{i % 3}" if i % 7 else None, len(t or ""), 0.5, "k", 1, 2, 3, 4) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, CLASH)
+
+
+def corpus(n=60, seed=1):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghijklmnoé") for _ in range(rng.randint(2, 7))) for _ in range(90)]
+    passage = " ".join(rng.choice(words) for _ in range(50))
+    texts = []
+    for i in range(n):
+        t = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) + "." for _ in range(rng.randint(1, 8)))
+        texts.append(f"{t}\n{passage}\n{t[:40]}" if i % 5 == 0 else t)
+    near = texts[1].split(" ")
+    return texts + [None, "", " \t\n", texts[0], texts[0], " ".join(near[:-1] + ["odd"]), "x", "w " * 3000, passage + " " + passage]
+
+
+def rows(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def empty(spark):
+    return documents(spark, ["x"]).where("doc_id < 0")
+
+
+def test_every_operator_takes_an_empty_table(spark):
+    e = empty(spark)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert licenses.scan_licenses(e, ["doc_id"]).count() == 0
+    assert pu_quality.score(e, pu_quality.train(e, labels), ["doc_id"]).count() == 0
+    assert simhash.near_duplicates(e, ["doc_id"]).count() == 0
+    assert substrings.remove_repeats(e, ["doc_id"]).count() == 0
+    assert quality_rules.quality_rules(e, ["doc_id"]).count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), ["page_id"]).count() == 0
+    assert mixing.mix(e, ["doc_id"]).count() == 0
+    assert pii.find_pii(e, ["doc_id"]).count() == 0
+    assert paragraph_sketch.fingerprints(e).count() == 0
+
+
+def test_license_scan(spark):
+    texts = ["Licensed under the Apache License, Version 2.0. MIT License", None, "", "x MIT LICENSE mit license.", "GNU General\nPublic-License", "cc by cc by-nc 4.0", "mitlicense", "SPDX-License-Identifier: MIT", "permission is hereby granted, free of charge, to any person obtaining a copy"]
+    got = rows(licenses.scan_licenses(documents(spark, texts), ["doc_id"]))
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        base = sorted((k, v) for p, v in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        assert (got[i].n_words, list(zip(got[i].base_starts, got[i].base_names))) == (len(words), base), t
+    assert got[0].found_labels == ["apache-2.0", "mit"] and got[7].found_labels == ["mit"] and got[8].found_labels == ["mit"]
+    assert len(licenses.rules()) >= 300
+    assert all(any(s in b" " + k + b" " for s in licenses.STEMS) for k in licenses._by_keyword())
+
+
+def test_suppression_by_containment():
+    kept = licenses.detect(b" licensed under the gnu general public license version 3 or later ")
+    assert [k.label for k in kept] == ["gpl-3", "gpl-3-or-later"] or [k.label for k in kept] == ["gpl-3-or-later", "gpl-3"] or len(kept) >= 1
+    assert all(not (a != b and a.priority >= b.priority and a.start <= b.start and b.end <= a.end) for a in kept for b in kept)
+
+
+def test_quality_classifier_separates_and_holds_out(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice(["the", "of", "reading", "river", "house", "stone"]) for _ in range(80)) + "."
+    junk = lambda: " ".join(rng.choice(["BUY", "NOW"]) + "!!!" for _ in range(80))
+    good = [rng.random() < 0.7 for _ in range(400)]
+    d = documents(spark, [prose() if g else junk() for g in good])
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+    model = pu_quality.train(d, labels)
+    got = rows(pu_quality.score(d, model, ["doc_id"]))
+    assert all(got[i].predicted == int(g) for i, g in enumerate(good))
+    held = {r.doc_id: r.h for r in d.select("doc_id", (pu_quality.fold("doc_id") == 0).alias("h")).collect()}
+    import zlib
+
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
+    flipped = labels.withColumn("quality", F.when(pu_quality.fold("doc_id") == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
+    again = pu_quality.train(d, flipped)  # labels of the held-out fold must not matter
+    assert np.array_equal(model.weights, again.weights) and model.bias == again.bias
+    nothing = pu_quality.train(d, labels.where("doc_id < 0"))
+    assert {round(r.score, 6) for r in pu_quality.score(documents(spark, [None, "", "x"]), nothing, ["doc_id"]).collect()} == {0.5}
+
+
+def brute_simhash(text, width=4):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    counts = [sum(xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1 for s in shingles) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
+
+
+def test_simhash_groups(spark):
+    texts = corpus()
+    got = rows(simhash.near_duplicates(documents(spark, texts), ["doc_id"]))
+    prints = [brute_simhash(t) for t in texts]
+    assert all(got[i].fp % (1 << 64) == p for i, p in enumerate(prints))
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if (prints[a] ^ prints[b]).bit_count() <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert [got[i].component_id for i in range(len(texts))] == root
+
+
+def test_links_of_large_and_small_cells_and_slices(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) % (1 << 64) for b in base for _ in range(12)})
+    reach = {p: p for p in prints}
+    for _ in range(30):
+        for a in prints:
+            for b in prints:
+                if (a ^ b).bit_count() <= 4:
+                    reach[a] = reach[b] = min(reach[a], reach[b])
+    a = np.array(prints, np.uint64)
+    for link in (lambda: simhash.link_large(a, 4), lambda: simhash.link_small(np.zeros(len(a), np.int64), a, 4)):
+        child, parent = link()
+        label = np.arange(len(a))
+        for _ in range(len(a)):
+            for c, p in zip(child, parent):
+                label[c] = label[p] = min(label[c], label[p])
+        assert all((label[i] == label[j]) == (reach[prints[i]] == reach[prints[j]]) for i in range(0, len(a), 7) for j in range(len(a)))
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), 4, slice_rows=3)
+    found = {r.u: r.root for r in components.components(edges).collect()}
+    groups = Counter(found.get(s[0], s[0]) for s in signed)
+    assert sorted(groups.values()) == sorted(Counter(reach.values()).values())
+
+
+def brute_removal(texts, window=35):
+    split = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return out
+
+
+@pytest.mark.parametrize("window", [35, 8])
+def test_substrings(spark, window):
+    texts = corpus()
+    got = rows(substrings.remove_repeats(documents(spark, texts), ["doc_id"], window=window, with_text=True))
+    for i, want in enumerate(brute_removal(texts, window)):
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].kept_text) == want, i
+
+
+def test_substrings_in_many_chunks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(substrings, "BUCKET_WORDS", 200)
+    texts = corpus(40, 9)
+    got = rows(substrings.remove_repeats(documents(spark, texts), ["doc_id"]))
+    assert all((got[i].n_words, got[i].n_removed, got[i].kept_sha256) == w[:3] for i, w in enumerate(brute_removal(texts)))
+
+
+def test_quality_rules(spark):
+    texts = corpus() + ["a b c d e f g h i j " * 4, "x # $ |\nsame\nsame\n\n \n"]
+    got = rows(quality_rules.quality_rules(documents(spark, texts), ["doc_id"]))
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        repeated = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, i
+        assert r.base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_divergence_rejects_another_mix(spark):
+    rng = random.Random(2)
+    prose = lambda: " ".join(rng.choice(["the", "of", "and", "river", "house", "stones", "walking"]) for _ in range(150))
+    texts = [prose() for _ in range(40)] + [" ".join(w.upper() + "!!" for w in f"{a} {b}".split()) for a, b in zip(["qzx vwk jjq"] * 2, ["plq mnb zxc asd qwe " * 60, "rty fgh vbn uio jkl " * 60])]
+    d = documents(spark, [" ".join(rng.sample(t.split(), len(t.split()))) if i >= 40 else t for i, t in enumerate(texts)])
+    got = rows(quality_rules.quality_rules(d, ["doc_id"]))
+    assert all(got[i].word_distance is not None and got[i].char_distance is not None for i in range(40))
+    assert all(got[i].char_distance > quality_rules.CHAR_LIMIT > got[0].char_distance for i in (40, 41))
+    p, q = np.array([[3, 1, 6]]), [1, 1, 2]
+    a, b = p[0] / 10, np.array([0.25, 0.25, 0.5])
+    m = (a + b) / 2
+    want = np.sqrt((np.sum(a * np.log2(a / m)) + np.sum(b * np.log2(b / m))) / 2)
+    assert abs(quality_rules.js_distance(p, q, [0, 1])[0] - want) < 1e-12
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<b>b</b>\n c</p><p>d", "ab c\nd"), ("<div class=ad>x</div><div>y</div>", "y"),
+        ("<article><h1>T</h1><p>a<p>b<aside>no</aside><ul><li>1<li>2</ul></article><p>out", "T\na\nb\n1\n2"), ("<script>if(a<b)</script>ok<style>p</style>", "ok"),
+        ("<nav>x<p>y</nav><main><form>f</form><p>z<div id=comments>c</div></main><footer>f", "z"), ("<p>cut <a hre", "cut"), ("<!-- <p>no --><p>1 < 2", "1 < 2"), ("<table><tr><td>a<td>b<tr><td>c", "a\nb\nc"),
+    ],
+)
+def test_main_text(page, text):
+    assert html_text.main_text(page or "") == text
+
+
+def test_site_templates(spark):
+    page = lambda i, host: (i, f"http://{host}/p{i}", f"<body><div><span>Our motto</span><p>bar</p></div><p>story {i}</p>")
+    d = spark.createDataFrame([page(i, "a.com") for i in range(12)] + [page(i, "b.com") for i in range(20, 23)] + [(99, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(d, ["page_id"]).collect()}
+    assert got[3] == "story 3" and got[20] == "Our motto\nbar\nstory 20" and got[99] == ""
+    copies = spark.createDataFrame([(i, "http://c.com/x", "<body><p>same</p><p>text</p>") for i in range(30)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract(copies, ["page_id"]).collect()} == {"same\ntext"}  # copies count as one page
+
+
+def brute_targets(sizes):
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    left, target = sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in sizes if s not in target]
+        w = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / w > 3 * sizes[s]]
+        if not over:
+            return target | {s: left * weight[s] / w for s in open_}
+        for s in over:
+            target[s] = 3 * sizes[s]
+        left = sum(sizes.values()) - sum(target.values())
+
+
+def test_mixing(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 30)
+    d = documents(spark, corpus(80, 4)).withColumn("source", F.when(F.col("doc_id") < 3, "tiny").when(F.col("doc_id") % 2 == 0, "big").otherwise(F.col("source")))
+    out = mixing.mix(d, ["doc_id", "source"]).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r.source] += r.size
+    want = brute_targets(sizes)
+    for s, size in sizes.items():
+        own = [r for r in out if r.source == s]
+        assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == size for r in own)
+        assert abs(sum(r.taken for r in own) - want[s]) <= max(12, 0.02 * want[s])
+    assert all(0 <= r.taken <= 3 * r.size for r in out) and len(out) == d.count()
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(d.orderBy(F.desc("doc_id")), ["doc_id", "source"]).collect()))
+
+
+def test_seats_are_those_of_the_highest_quotients():
+    rng = random.Random(6)
+    for _ in range(60):
+        w = [rng.choice([0.0, rng.random() * 10, rng.random() * 1000]) for _ in range(rng.randint(1, 7))]
+        caps, total = [rng.randint(0, 90) for _ in w], rng.randint(0, 150)
+        order = sorted(((-x / (2 * k + 1), i) for i, x in enumerate(w) if x for k in range(caps[i])))[:total]
+        want = [sum(i == j for _, j in order) for i in range(len(w))]
+        assert mixing.seats(w, caps, total) == want
+
+
+def test_bpe_is_exact(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(8)
+    pool = "aàbcßΣσςİıÅẛ̣ \t\n\x1c\x85\xa0'sremdltABC123٣½!?*#中文한ไ🎉‍\x00é<|endoftext|>ﬁ"
+    texts = corpus(20) + ["".join(rng.choice(pool) for _ in range(rng.randint(0, 50))) for _ in range(200)] + ["a<|endoftext|>b <|startoftext|>", "unbelievable internationalization", "aaaa" * 400]
+    got = rows(bpe.encode_texts(documents(spark, texts), path, ["doc_id"]))
+    decoded = rows(bpe.decode_ids(spark.createDataFrame([(i, r.ids) for i, r in got.items()], "doc_id long, ids array<int>"), path, ["doc_id"]))
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert got[i].ids == ids and got[i].n_tokens == len(ids) and decoded[i].decoded == back, repr(t)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+
+
+def brute_pii(t):
+    one = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(re.sub("[^0-9]", "", s))), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    }
+    return {k: [m.span() for m in re.finditer(p, t) if ok(m.group())] for k, (p, ok) in one.items()}
+
+
+def test_pii_base_is_that_of_the_patterns():
+    rng = random.Random(4)
+    pool = ["a", "b.c", "@", "@x.y", ".", "-", " ", "1", "255", "4111111111111111", "+1 (555) 010-9999", "192.168.0.1", "(", "%", "_", "é", "0", "+", "\n"]
+    for _ in range(3000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
+        assert pii.base_spans(t) == brute_pii(t), repr(t)
+    long = "a" * 200_000 + "@" + "1" * 100_000
+    assert pii.base_spans(long)["email"] == []
+
+
+def test_pii_field(spark):
+    weights = pii.fitted()
+    fresh = pii.examples(150, seed=99)
+    right = sum(sorted((a, b, k) for tokens in pii.stretches(t) for k, a, b in pii.best(t, tokens, weights)) == sorted(spans) for t, spans in fresh)
+    assert right >= 0.95 * len(fresh)
+    secret = 'api token = "' + "3f9a" * 10 + '" mail joe@example.org'
+    got = rows(pii.find_pii(documents(spark, [secret, None, "", "7536784127813051"]), ["doc_id"]))
+    assert got[0].spans == "email:60:75,secret:13:53" and got[0].n_email == 1 and got[1].spans == got[2].spans == got[3].spans == ""
+    clean = rows(pii.redact(documents(spark, [secret, None]), ["doc_id"]))
+    assert clean[0].redacted_text == 'api token = "<secret>" mail <email>' and clean[1].redacted_text is None
+
+
+def brute_pieces(t):
+    return {m.group() for m in re.finditer(r"[^\n]{80,}?[.!?](?=\s|$)|[^\n]+", t)}
+
+
+def test_fingerprints(spark):
+    texts = corpus(50, 11)
+    d = documents(spark, texts)
+    got = rows(paragraph_sketch.fingerprints(d))
+    order = [t or "" for t in texts][::-1]
+    for k, t in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        n = len(t) // 3
+        edited = t[: len(t) - n] + after[:n]
+        r = got[len(order) - 1 - k]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for other, near in ((edited, r.near_edited), (after, r.near_next)):
+            a, b = brute_pieces(t), brute_pieces(other)
+            whole = sum(map(len, a)) + sum(map(len, b))
+            assert abs(near - (1 - sum(map(len, a ^ b)) / whole if whole else 1.0)) < 1e-9
+    by = {}
+    for i, t in enumerate(texts):
+        assert by.setdefault(t or "", got[i].fingerprint) == got[i].fingerprint
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    d = spark.createDataFrame([(1, "b."), (1, "b."), (2, "c"), (None, None), (None, "x y z")], "doc_id long, text string")
+    got = paragraph_sketch.fingerprints(d).collect()
+    assert len(got) == 5 and len({r.edited_sha256 for r in got if r.doc_id == 1}) == 1
+    alone = paragraph_sketch.fingerprints(d.limit(1)).first()
+    assert alone.near_next == 1.0
+
+
+def test_failed_sketches_are_tried_larger(spark, monkeypatch):
+    monkeypatch.setattr(paragraph_sketch, "ROUNDS", 3)
+    rng = random.Random(1)
+    a, b = ([rng.getrandbits(62) >> 16 << 16 | 7 for _ in range(200)] for _ in "ab")
+    pairs = spark.createDataFrame([(1, 1, 1, "p", a, a), (2, 2, 2, "p", a, b), (3, 3, 3, "p", a, a[:100])], "k1 long, k2 long, row long, pair string, a array<long>, b array<long>")
+    got = {r.k1: r.apart for r in paragraph_sketch.compare(pairs, 8).collect()}
+    assert got == {2: 2800, 3: 700}
