@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..functions import prompts
 from ..functions import text as tx
 from ..operators import curate, features, judge, labels, model, profile, split
 from ..sources import synthetic
@@ -549,3 +550,37 @@ def label_extremes(spark, sf):
     from .report import extremes
 
     return extremes(labels.marginals(docs(spark, sf)))
+
+
+@query(
+    f"""WITH b AS (SELECT unnest({TERMS!r}) AS x), o AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || ':' || x), x) AS r FROM documents, b)
+SELECT doc_id, string_agg(x, ',' ORDER BY r) AS picked FROM o WHERE r <= 3 GROUP BY doc_id"""
+)
+def sample_without_replacement(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(synthetic.sampled(TERMS, 3, F.col("doc_id")), ",").alias("picked"))
+
+
+@query(
+    f"""WITH {DOCS_SQL} SELECT id, md5('Text:' || chr(10) || platform || '/' || example_type || chr(10) || chr(10) || 'Platform:' || chr(10) || platform
+  || CASE WHEN len(labels) > 0 THEN chr(10) || chr(10) || 'Labels:' || chr(10) || array_to_string(labels, ', ') ELSE '' END) AS prompt_md5 FROM docs"""
+)
+def prompt_sections(spark, sf):
+    d = docs(spark, sf)
+    body = prompts.sections(prompts.section("Text", F.concat_ws("/", "platform", "example_type")), prompts.section("Platform", F.col("platform")), prompts.section("Labels", F.array_join("labels", ", ")))
+    return d.select("id", F.md5(body).alias("prompt_md5"))
+
+
+@query()
+def judge_prompts(spark, sf):
+    d = docs(spark, sf)
+    return d.select("id", prompts.judge_prompt(F.col("text"), F.col("labels"), F.col("platform")).alias("prompt"))
+
+
+@query(f"WITH {ORDERS_SQL} SELECT id, CASE WHEN len(labels) = 0 THEN '__NEG__' ELSE array_to_string(labels, '|') END AS label_set FROM recs")
+def negative_class(spark, sf):
+    return labels.with_negative(orders(spark, sf)).select("id", F.array_join("labels", "|").alias("label_set"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey ORDER BY n DESC, id LIMIT 20")
+def top_orders(spark, sf):
+    return profile.top_tokens(table(spark, sf, "lineitem"), F.array(F.col("l_orderkey").cast("string")), 20).withColumnRenamed("token", "id")

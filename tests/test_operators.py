@@ -194,3 +194,14 @@ def test_synthetic(spark):
 def test_report_text():
     text = report.summary({"accepted": 85, "generated": 100}, {"n_labels": 2, "rarest_label": "a", "rarest_n": 1, "top_label": "b", "top_n": 9}, {"n_train": 64, "n_test": 21, "seed": 1240, "js": 0.0}, 0.99)
     assert "85 of 100 kept (85.0 %)" in text and "Rarest: a (1)" in text
+
+
+def test_prompts(spark):
+    from skeinflow.functions import prompts
+
+    d = spark.createDataFrame([(["sleep_disturbance"], "diary", "mild", "implicit", None), ([], "tweet", "mild", "explicit", ["a", "b", "c", "d"])], "labels array<string>, platform string, severity string, explicitness string, few array<string>")
+    got = [r[0] for r in d.select(prompts.generation_prompt(*(F.col(c) for c in ("labels", "platform", "severity", "explicitness", "few")))).collect()]
+    assert "- sleep disturbance" in got[0] and "Examples" not in got[0] and "Show these" not in got[1] and got[1].count("---") == 2
+    assert all("\n\n\n" not in g for g in got)
+    asked = d.select(prompts.judge_prompt(F.col("platform"), F.col("labels"), F.col("platform"))).first()[0]
+    assert asked.endswith("}") and "Labels:\nsleep_disturbance" in asked
