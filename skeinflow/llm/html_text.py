@@ -21,10 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cuts import cut
 from .texts import small_batches, table
 
 MIN_PAGES = 10
 MIN_SHARE = 0.5
+#: Template hashes (of all hosts) that are sent to every task; with more, pages are dealt to SLICES of their host and joined.
+SENT_HASHES = 500_000
+SLICES = 64
 
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +41,12 @@ CLOSES = {
     "thead": ("tr td th tbody thead", ("table",)), "tbody": ("tr td th tbody thead", ("table",)), "tfoot": ("tr td th tbody thead", ("table",)), "option": ("option", ("select", "datalist")),
 }
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "option"}
-NAMES = re.compile(r"^(?:ads?|adv|advert\w*|adsense|adbox|banners?|sponsor\w*|promos?|promotion|cookies?|consent|gdpr|notices?|notification|newsletter|subscribe|subscription|paywall|sidebars?|menus?|nav\w*|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|respond|replies|shar(?:e|ing)|social|related|recommended|popups?|modal|overlay|widgets?|pagination|pager|toolbar|login|signup|search|skip|hidden|tracking|disclaimer)$")
+#: Words of class names and ids that mark what is no main text.
+NAMES = re.compile(
+    r"^(?:ads?|adv|adverts?|advertis\w+|ads(?:ense|by\w+)|ad(?:box|slot|unit|banner)|\w*banners?|sponsor(?:s|ed)?|promos?|promotion(?:s|al)?|\w*cookies?\w*|\w*consent\w*|gdpr|\w*notices?|notifications?"
+    r"|newsletters?|subscri(?:be|ption)\w*|paywall|\w*sidebars?|\w*menus?|nav|nav(?:bar|igation|menu|list|links)|\w+nav|breadcrumbs?|footers?|\w+footer|masthead|\w*comments?(?:list|section|form|area)?"
+    r"|disqus|respond|replies|shar(?:e|ing)|social|related|recommended|popups?|modal|overlay|widgets?|paginat(?:ion|or)|pager|toolbar|login|signup|search(?:box|form)?|skip|hidden|disclaimer)$"
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -213,10 +222,17 @@ def site_templates(pages: DataFrame, url: str = "url", page: str = "html", min_p
 def extract(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Per row of pages: `keep` and text."""
     small_batches(pages.sparkSession)
-    templates = site_templates(pages, url, page, min_pages, min_share).select(F.col("host").alias("_host"), "templates")
+    templates = cut(site_templates(pages, url, page, min_pages, min_share).select(F.col("host").alias("_host"), "templates"))
     held = [f"_k{i}" for i in range(len(keep))]
     read = pages.select(*(F.col(c).alias(k) for c, k in zip(keep, held)), host(url).alias("_at"), F.col(page).cast("string").alias("html"))
-    met = read.join(templates, F.col("_at") == F.col("_host"), "left").select(*held, "html", "templates")
+    n_hashes = templates.agg(F.coalesce(F.sum(F.size("templates") + 1), F.lit(0))).first()[0]
+    if n_hashes <= SENT_HASHES:
+        met = read.join(F.broadcast(templates), F.col("_at") == F.col("_host"), "left")  # of checked size; pages stay where they are
+    else:
+        sliced = templates.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        read = read.withColumn("_own", F.pmod(F.xxhash64("html"), F.lit(SLICES)).cast("int"))
+        met = read.join(sliced, (F.col("_at") == F.col("_host")) & (F.col("_own") == F.col("_slice")), "left")
+    met = met.select(*held, "html", "templates")
 
     def texts(batches):
         for batch in batches:

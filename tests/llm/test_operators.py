@@ -211,7 +211,9 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
-def test_site_templates(spark):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_site_templates(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_text, "SENT_HASHES", sent)
     page = lambda i, host: (i, f"http://{host}/p{i}", f"<body><div><span>Our motto</span><p>bar</p></div><p>story {i}</p>")
     d = spark.createDataFrame([page(i, "a.com") for i in range(12)] + [page(i, "b.com") for i in range(20, 23)] + [(99, None, None)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(d, ["page_id"]).collect()}
