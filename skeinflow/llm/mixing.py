@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .cuts import cut
 from .texts import table
 
 SEED = "mix-1"
-SHARD_ROWS = 50_000
+SHARD_ROWS = 5_000
 MOST = 3
 WEIGHTS = (1, 2, 3)
 
@@ -63,10 +64,17 @@ def seats(weights: list[float], caps: list[int], total: int) -> list[int]:
     if not whole or total <= 0:
         return [0] * n
     total = min(total, sum(c for w, c in zip(weights, caps) if w > 0))
-    share = [total * w / whole for w in weights]
-    slack = 3 * n + 4  # the highest quotients never leave a cell this far below its share (see tests)
-    given = [min(c, max(0, math.floor(s) - slack)) for s, c in zip(share, caps)]
-    heap = [(-w / (2 * g + 1), i) for i, (w, g, c) in enumerate(zip(weights, given, caps)) if g < c and w > 0]
+    w, most = np.asarray(weights, float), np.asarray(caps, np.int64)
+    reached = lambda q: np.minimum(most, np.floor((w / q + 1) / 2))  # noqa: E731  seats whose quotients are q or more
+    low, high = 0.0, 2.0 * max(weights)  # with all quotients from high on there are no more seats than wanted
+    for _ in range(80):
+        middle = (low + high) / 2
+        if middle > 0 and reached(middle).sum() <= total:
+            high = middle
+        else:
+            low = middle
+    given = np.maximum(0, reached(high) - 1).astype(np.int64).tolist()  # one less, for rounding; the rest go one by one
+    heap = [(-x / (2 * g + 1), i) for i, (x, g, c) in enumerate(zip(weights, given, caps)) if g < c and x > 0]
     heapq.heapify(heap)
     for _ in range(total - sum(given)):
         _, i = heap[0]
@@ -124,7 +132,7 @@ WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
     CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS spot
   FROM documents),
-totals AS (SELECT greatest(1, CAST(ceil(count(*) / 50000.0) AS BIGINT)) AS shards, coalesce(sum(size), 0)::BIGINT AS words FROM sized),
+totals AS (SELECT greatest(1, CAST(ceil(count(*) / 5000.0) AS BIGINT)) AS shards, coalesce(sum(size), 0)::BIGINT AS words FROM sized),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
 weighted AS (SELECT *, (rank - 1) % 3 + 1 AS weight FROM sources),

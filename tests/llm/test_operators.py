@@ -348,3 +348,17 @@ def test_failed_sketches_are_tried_larger(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, 1, 1, "p", a, a), (2, 2, 2, "p", a, b), (3, 3, 3, "p", a, a[:100])], "k1 long, k2 long, row long, pair string, a array<long>, b array<long>")
     got = {r.k1: r.apart for r in paragraph_sketch.compare(pairs, 8).collect()}
     assert got == {2: 2800, 3: 700}
+
+
+def test_long_texts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    long = " ".join(rng.choice(words) for _ in range(120_000)) + "\n" + "x" * 50_000 + "\n" + "7" * 20_000 + " @" * 2_000
+    d = documents(spark, [long, long[:-3], "short"])
+    got = rows(simhash.near_duplicates(d, ["doc_id"]))
+    assert got[0].fp % (1 << 64) == brute_simhash(long) and got[1].component_id == 0
+    cut = rows(substrings.remove_repeats(d, ["doc_id"]))
+    assert [(cut[i].n_words, cut[i].n_removed, cut[i].kept_sha256) for i in range(3)] == [w[:3] for w in brute_removal([long, long[:-3], "short"])]
+    assert rows(quality_rules.quality_rules(d, ["doc_id"]))[0].n_words == len(long.split())
+    assert rows(pii.find_pii(d, ["doc_id"]))[0].n_email == 0 and rows(licenses.scan_licenses(d, ["doc_id"]))[2].n_words == 1
+    assert rows(paragraph_sketch.fingerprints(d))[0].n_chars == len(long)
