@@ -202,16 +202,18 @@ def detect(words: bytes) -> list[Detection]:
     """Detections in words joined by, and standing between, single spaces; overlaps are resolved."""
     if not any(s in words for s in STEMS):
         return []
-    found: list[tuple[int, int, int, int, str]] = []
+    found: list[tuple[int, int, tuple[int, int, int], Rule]] = []
     for keyword, ruled in _by_keyword().items():
         if keyword in words:
             for order, rule in ruled:
-                found += [(-rule.priority, m.start() - m.end(), order, m.start(), rule.label) for m in rule.regex.finditer(words)]
-    kept: list[Detection] = []
-    for priority, length, _, start, label in sorted(found):
-        end = start - length
-        if not any(k.start <= start and end <= k.end for k in kept):
-            kept.append(Detection(label, -priority, start, end))
+                found += [(m.start(), -m.end(), (-rule.priority, m.start() - m.end(), order), rule) for m in rule.regex.finditer(words)]
+    # what contains an interval starts no later: those still open when it starts are all that can suppress it
+    kept, still_open = [], []
+    for start, end, rank, rule in sorted(found, key=lambda f: f[:3]):
+        still_open = [o for o in still_open if -o[1] > start]
+        if not any(o[1] <= end and o[2] < rank for o in still_open):
+            kept.append(Detection(rule.label, rule.priority, start, -end))
+        still_open.append((start, end, rank))
     return sorted(kept, key=lambda k: (k.start, k.end, k.label))
 
 
@@ -227,15 +229,19 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int,
     """(number of words, base matches (start word, label), detections (start word, end word, label, priority))."""
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
-    at = lambda pos: joined.count(b" ", 0, pos) - 1
     base = []
     for phrase, label in BASE.items():
         p = b" " + phrase.encode() + b" "
         i = joined.find(p)
         while i >= 0:
-            base.append((at(i + 1), label))
+            base.append((i + 1, label))
             i = joined.find(p, i + 1)
-    return len(words), sorted(base), [(at(d.start), at(d.end) + 1, d.label, d.priority) for d in detect(joined)]
+    found = detect(joined)
+    number, n, before = {}, -1, 0  # of the word at a byte; counted on from place to place
+    for at in sorted({i for i, _ in base} | {x for d in found for x in (d.start, d.end)}):
+        n += joined.count(b" ", before, at)
+        number[at], before = n, at
+    return len(words), sorted((number[i], label) for i, label in base), [(number[d.start], number[d.end] + 1, d.label, d.priority) for d in found]
 
 
 def confidence(priority: int) -> float:

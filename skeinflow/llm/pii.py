@@ -170,21 +170,28 @@ def candidates(text: str, tokens: list[tuple[int, int]]):
         first = text[tokens[i][0] : tokens[i][1]]
         if not (first[0].isalnum() or first in "+(_%"):
             continue
-        held_digit = held_at = False
+        n_digits = dots = 0
+        held_at = letters = False
         for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
             s, e = tokens[j - 1]
-            if j - i > 1 and s - tokens[j - 2][1] > 1:  # at most one space within a span
+            spaced = j - i > 1 and s > tokens[j - 2][1]
+            if spaced and s - tokens[j - 2][1] > 1:  # at most one space within a span
                 break
             c = text[s:e]
             held_at |= c == "@"
-            held_digit |= any("0" <= x <= "9" for x in c)
-            if j - i > 1 and s > tokens[j - 2][1] and (held_at or not held_digit and first not in "+("):
+            letters |= any(x.isalpha() for x in c)
+            n_digits += sum("0" <= x <= "9" for x in c)
+            dots += c == "."
+            if spaced and (held_at or not n_digits and first not in "+("):
                 break  # no spaces in what has an @ or no digits yet
-            if not c[-1].isalnum() or not (held_digit or held_at):
+            if j - i > 1 and not held_at and n_digits > 19:
+                break  # too long for any number
+            if not c[-1].isalnum():
                 continue
-            if j - i > 1 and not held_at and any(x.isalpha() for x in text[tokens[i][0] : e]):
-                continue  # digits and signs only, unless an @ is in it
-            yield i, j
+            if held_at or j - i == 1 and letters and n_digits and e - s >= 16:
+                yield i, j
+            elif not letters and (n_digits >= 7 or n_digits >= 4 and dots == 3):  # digits and signs only
+                yield i, j
 
 
 def scored(text: str, tokens: list[tuple[int, int]], weights: dict[tuple[str, str], float]):
