@@ -171,4 +171,56 @@ def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    judged = quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _op5_sql() -> str:
+    """The same in DuckDB: counts, histograms as (document, bin) rows, references as their sums, distances to each, the nearest."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    inside = lambda chars: "".join("\\" + c if c in "\\]^-[" else {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\x0b": "\\x0B", "\x0c": "\\x0C"}.get(c, c) for c in chars)
+    how_many = lambda chars: f"length(regexp_replace(text, {quote('[^' + inside(chars) + ']')}, '', 'g'))"
+    bins = [how_many(c) for c in CLASSES.values()] + ["length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))"]
+    named = ", ".join(f"({i + 1}, {b})" for i, b in enumerate(bins))
+    pairs = ", ".join(f"({quote(lang)}, {quote(w)})" for lang, words in COMMON.items() for w in words.split())
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    distance = "sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+starts AS (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM w WHERE len(w) >= {WINDOW}),
+windows AS (SELECT r, s, md5(array_to_string(w[s:s + {WINDOW - 1}], ' ')) AS h FROM starts),
+again AS (SELECT r, s FROM windows QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
+covered AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(s, s + {WINDOW})) AS i FROM again) GROUP BY r),
+counts AS (
+  SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {how_many(SYMBOLS.decode())}::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, length(text) AS n_chars
+  FROM w LEFT JOIN covered USING (r)),
+char_bins AS (SELECT r, b.bin, b.n FROM d, LATERAL (VALUES {named}) b(bin, n)),
+char_all AS (SELECT r, bin, n FROM char_bins UNION ALL SELECT d.r, 0, length(text) - s FROM d JOIN (SELECT r, sum(n) AS s FROM char_bins GROUP BY r) USING (r)),
+common(lang, word) AS (VALUES {pairs}),
+said AS (SELECT r, trim(translate(x, '{upper}', '{upper.lower()}'), '.,;:?!"''()') AS word, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM w) GROUP BY ALL),
+known AS (SELECT r, word, n FROM said WHERE word IN (SELECT word FROM common)),
+langs AS (SELECT lang FROM counts WHERE lang IN (SELECT lang FROM common) GROUP BY lang HAVING sum(n_words) + sum(n_chars) > 0),
+char_refs AS (SELECT lang, bin, sum(n) AS n FROM char_all JOIN d USING (r) JOIN langs USING (lang) GROUP BY ALL),
+char_shares AS (SELECT lang, bin, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM char_refs),
+char_distances AS (
+  SELECT r, lang, {distance} AS c FROM (SELECT a.r, s.lang, a.n / greatest(c.n_chars, 1) AS p, q FROM char_all a JOIN counts c USING (r) JOIN char_shares s USING (bin)) GROUP BY ALL),
+word_refs AS (SELECT k.lang, k.word, coalesce(sum(n), 0) AS n FROM (SELECT c.lang, c.word FROM common c JOIN langs USING (lang)) k
+  LEFT JOIN (SELECT d.lang, known.word, n FROM known JOIN d USING (r)) s ON s.lang = k.lang AND s.word = k.word GROUP BY ALL),
+word_totals AS (SELECT lang, sum(n_words) AS t FROM counts JOIN langs USING (lang) GROUP BY lang),
+word_bins AS (SELECT c.r, f.lang, f.word, coalesce(k.n, 0) AS n, f.n AS m, c.n_words, t.t FROM counts c CROSS JOIN word_refs f JOIN word_totals t ON t.lang = f.lang LEFT JOIN known k ON k.r = c.r AND k.word = f.word),
+word_all AS (
+  SELECT r, lang, n / greatest(n_words, 1) AS p, m / greatest(t, 1) AS q FROM word_bins
+  UNION ALL SELECT r, lang, (n_words - sum(n)) / greatest(n_words, 1), (t - sum(m)) / greatest(t, 1) FROM word_bins GROUP BY r, lang, n_words, t),
+word_distances AS (SELECT r, lang, {distance} AS w FROM word_all GROUP BY ALL),
+near AS (
+  SELECT x.r, CASE WHEN n_chars >= {MIN_CHARS} THEN c END AS c, CASE WHEN n_words >= {MIN_WORDS} THEN w END AS w
+  FROM char_distances x JOIN word_distances y ON x.r = y.r AND x.lang = y.lang JOIN counts z ON z.r = x.r
+  QUALIFY row_number() OVER (PARTITION BY x.r ORDER BY CASE WHEN n_chars >= {MIN_CHARS} THEN c ELSE 0 END + CASE WHEN n_words >= {MIN_WORDS} THEN w ELSE 0 END, x.lang) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(c, 0) <= {CHAR_LIMIT} AND coalesce(w, 0) <= {WORD_LIMIT} AS kept, round(c, 6) AS char_distance, round(w, 6) AS word_distance
+FROM counts LEFT JOIN near USING (r)"""
+
+
+OP5_SQL = _op5_sql()

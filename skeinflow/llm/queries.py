@@ -9,7 +9,7 @@ from .mixing import OP7_SQL, op7_mix_sources
 from .paragraph_sketch import op10_fingerprints
 from .pii import op9_pii
 from .pu_quality import op2_quality_classifier
-from .quality_rules import op5_quality_rules
+from .quality_rules import OP5_SQL, op5_quality_rules
 from .simhash import op3_simhash
 from .substrings import OP4_SQL, op4_substrings
 
@@ -27,5 +27,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_substrings": OP4_SQL,
+    "op5_quality_rules": OP5_SQL,
     "op7_mix_sources": OP7_SQL,
 }
