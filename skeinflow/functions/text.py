@@ -159,6 +159,12 @@ def strip_meta_lines(c: Column) -> Column:
     return collapse(F.array_join(lines, " "))
 
 
+def polished_or_raw(raw: Column, answer: Column, **gate) -> Column:
+    """A rewrite, cleaned of quotes and meta lines, if it is a safe one; else the raw text. A null answer is a failed one."""
+    clean = strip_meta_lines(answer)
+    return F.when(answer.isNotNull() & polish_gate(raw, clean, **gate), clean).otherwise(raw)
+
+
 def phrase_shape(c: Column, nouns=lex.SUBJECT_NOUNS, asking=lex.INTERROGATIVES, prefix: str = lex.DEFINITE_PREFIX, suffixes=lex.DEFINITE_SUFFIXES) -> Column:
     """'clause' for a phrase with a subject of its own or a question, else 'verb'; judged by the first word."""
     first = first_words(c, 1)

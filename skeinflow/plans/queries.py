@@ -584,3 +584,22 @@ def negative_class(spark, sf):
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey ORDER BY n DESC, id LIMIT 20")
 def top_orders(spark, sf):
     return profile.top_tokens(table(spark, sf, "lineitem"), F.array(F.col("l_orderkey").cast("string")), 20).withColumnRenamed("token", "id")
+
+
+@query(f"SELECT {_PREFIX} AS prefix, count(*) AS n FROM documents GROUP BY 1")
+def prefix_frequency(spark, sf):
+    return table(spark, sf, "documents").groupBy(tx.first_words(F.col("text")).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('shuffle:' || doc_id), doc_id) - 1 AS place FROM documents")
+def global_shuffle(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat_ws(":", F.md5(F.concat_ws(":", F.lit("shuffle"), F.col("doc_id").cast("string"))), F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("key"))
+    return curate.numbered(d, "key", "%d", "place").select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query()
+def polished_texts(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf, "conversations").withColumn("answer", F.lead("text").over(w)).where("role = 'user'")
+    better = tx.polished_or_raw(F.col("text"), F.col("answer"), letters="[A-Za-z]", points="[ÄÖÜ]", meta=GATE["meta"], archaic=GATE["archaic"], broken=GATE["broken"])
+    return t.select("conv_id", "turn", better.alias("text"))

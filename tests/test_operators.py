@@ -205,3 +205,10 @@ def test_prompts(spark):
     assert all("\n\n\n" not in g for g in got)
     asked = d.select(prompts.judge_prompt(F.col("platform"), F.col("labels"), F.col("platform"))).first()[0]
     assert asked.endswith("}") and "Labels:\nsleep_disturbance" in asked
+
+
+def test_polished_or_raw(spark):
+    raw, good = "אני חוזר הביתה כל יום אחרי העבודה", '"אני חוזר הביתה מדי יום אחרי העבודה שלי"'
+    d = spark.createDataFrame([(raw, good), (raw, None), (raw, "(תרגום) " + raw), (raw, "קצר")], "raw string, answer string")
+    got = [r[0] for r in d.select(tx.polished_or_raw(F.col("raw"), F.col("answer"))).collect()]
+    assert got == [good.strip('"'), raw, raw, raw]
