@@ -28,7 +28,7 @@ from .texts import map_texts, table
 #: Added to the code point of a letter that carries the end mark; byte letters lie below it.
 ENDED = 0x1000
 #: Pieces, and pairs, that a worker keeps.
-KEPT = 400_000
+KEPT = 250_000
 
 
 def byte_letters() -> list[str]:
