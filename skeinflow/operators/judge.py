@@ -94,7 +94,7 @@ def filter_metrics(judged: DataFrame, platform: str = "platform", labels: str =
     rows = judged.select(F.explode(F.concat(fixed, codes, by_label)).alias("p")).select("p.*").groupBy("kind", "name").agg(F.sum("hit").alias("n"), F.count("*").alias("of"))
     total = judged.agg(F.count("*").alias("total"))
     share = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double"))
-    return rows.crossJoin(total).select("kind", "name", "n", F.round(share, 6).alias("share_of_total"), F.round(F.col("n") / F.col("of"), 6).alias("rate"))  # total is one row
+    return rows.withColumn("total", total.scalar()).select("kind", "name", "n", F.round(share, 6).alias("share_of_total"), F.round(F.col("n") / F.col("of"), 6).alias("rate"))
 
 
 def dominant_code(judged: DataFrame, seq: str = "id") -> DataFrame:
@@ -106,7 +106,7 @@ def dominant_code(judged: DataFrame, seq: str = "id") -> DataFrame:
 def feedback(judged: DataFrame, temperature: float, seq: str = "id") -> DataFrame:
     """One row: rejection_rate, dominant_code, action, recommended_temperature, prompt_injection."""
     total = judged.agg(F.coalesce(F.try_divide(F.count_if(F.col("verdict") == "REJECT").cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("rate"))
-    one = total.join(dominant_code(judged, seq), how="left")  # both are one row at most
+    one = total.withColumn("code", dominant_code(judged, seq).select("code").scalar())
     high = F.col("code").isNotNull() & (F.col("rate") > HIGH_RATE)
     action, to, add = F.lit("none"), F.lit(float(temperature)), F.lit(None).cast("string")
     for code, (name, change, bound, more) in ACTIONS.items():

@@ -35,7 +35,7 @@ def cooccurrence(records: DataFrame) -> DataFrame:
     """Records that hold both labels, for every pair of classes, zero where they never meet; the diagonal holds the marginals."""
     counted = pairs_within(records).groupBy("a", "b").agg(F.count("*").alias("n"))
     diagonal = counted.where("a = b").select("a")
-    dense = diagonal.crossJoin(diagonal.withColumnRenamed("a", "b"))  # classes by classes, not rows
+    dense = diagonal.withColumn("b", F.explode(diagonal.agg(F.collect_set("a")).scalar()))  # classes by classes, not rows
     return dense.join(counted, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -44,7 +44,7 @@ def phi(records: DataFrame) -> DataFrame:
     joint = cooccurrence(records)
     single = joint.where("a = b").select(F.col("a").alias("label"), F.col("n").alias("m"))
     total = records.agg(F.count("*").alias("total"))
-    met = joint.join(single.select(F.col("label").alias("a"), F.col("m").alias("n_a")), "a").join(single.select(F.col("label").alias("b"), F.col("m").alias("n_b")), "b").crossJoin(total)  # total is one row
+    met = joint.join(single.select(F.col("label").alias("a"), F.col("m").alias("n_a")), "a").join(single.select(F.col("label").alias("b"), F.col("m").alias("n_b")), "b").withColumn("total", total.scalar())
     x = {c: F.col(c).cast("double") for c in ("n", "n_a", "n_b", "total")}
     spread = F.sqrt(x["n_a"] * (x["total"] - x["n_a"]) * x["n_b"] * (x["total"] - x["n_b"]))
     return met.select("a", "b", F.try_divide(x["total"] * x["n"] - x["n_a"] * x["n_b"], spread).alias("phi"))
@@ -61,8 +61,8 @@ def mean_cardinality(records: DataFrame) -> DataFrame:
 def by_category(records: DataFrame, category: str, values: list[str] | None = None) -> DataFrame:
     """Records by category and label, dense: all classes against `values`, or else against the values that occur."""
     counted = exploded(records, category).where(F.col(category).isNotNull()).groupBy(category, "label").agg(F.count("*").alias("n"))
-    rows = records.sparkSession.createDataFrame([(v,) for v in values], f"{category} string") if values else records.where(F.col(category).isNotNull()).select(category).distinct()
-    dense = rows.crossJoin(classes(records))  # categories by classes, not rows
+    bank = F.array(*map(F.lit, values)) if values else records.where(F.col(category).isNotNull()).agg(F.collect_set(category)).scalar()
+    dense = classes(records).withColumn(category, F.explode(bank))  # categories by classes, not rows
     return dense.join(counted, [category, "label"], "left").select(category, "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

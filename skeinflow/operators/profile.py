@@ -17,7 +17,7 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows by the values of two columns, dense, in long form."""
     counted = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
-    dense = counted.select(a).distinct().crossJoin(counted.select(b).distinct())  # values by values, not rows
+    dense = counted.select(a).distinct().withColumn(b, F.explode(counted.agg(F.collect_set(b)).scalar()))  # values by values, not rows
     return dense.join(counted, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

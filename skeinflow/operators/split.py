@@ -95,9 +95,9 @@ def js_divergence(split: DataFrame) -> DataFrame:
     sizes = split.agg(F.count_if(F.col("fold") == "train").alias("n_train"), F.count_if(F.col("fold") == "test").alias("n_test"))
     p = F.col("train") / F.greatest("n_train", F.lit(1)) + EPSILON
     q = F.col("test") / F.greatest("n_test", F.lit(1)) + EPSILON
-    shares = fold_counts(split).crossJoin(sizes).select(p.alias("p"), q.alias("q"))  # sizes is one row
+    shares = fold_counts(split).withColumns({c: sizes.select(c).scalar() for c in ("n_train", "n_test")}).select(p.alias("p"), q.alias("q"))
     whole = shares.agg(F.sum("p").alias("ps"), F.sum("q").alias("qs"))
-    scaled = shares.crossJoin(whole).select((F.col("p") / F.col("ps")).alias("p"), (F.col("q") / F.col("qs")).alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    scaled = shares.withColumns({c: whole.select(c).scalar() for c in ("ps", "qs")}).select((F.col("p") / F.col("ps")).alias("p"), (F.col("q") / F.col("qs")).alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
     return scaled.agg(F.round(F.coalesce((F.sum(F.col("p") * F.ln(F.col("p") / F.col("m"))) + F.sum(F.col("q") * F.ln(F.col("q") / F.col("m")))) / 2, F.lit(0.0)), 9).alias("js"))
 
 
@@ -108,7 +108,7 @@ def gates(split: DataFrame, band: tuple[float, float] = SHARE_BAND, most_js: flo
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("test") == 0, F.col("label")))), ",").alias("absent"),
         F.array_join(F.array_sort(F.collect_list(F.when(~share.between(*band), F.col("label")))), ",").alias("out_of_band"),
     )
-    one = bad.crossJoin(js_divergence(split))  # both are one row
+    one = bad.withColumn("js", js_divergence(split).scalar())
     return one.withColumn("passed", (F.col("absent") == "") & (F.col("out_of_band") == "") & (F.col("js") < most_js))
 
 
@@ -124,7 +124,7 @@ def manifest(split: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE) -
     """One row: seed, sizes, actual_test_ratio, js."""
     sizes = split.agg(F.count("*").alias("n_total"), F.count_if(F.col("fold") == "train").alias("n_train"), F.count_if(F.col("fold") == "test").alias("n_test"))
     ratio = F.try_divide(F.col("n_test").cast("double"), F.col("n_total").cast("double"))
-    return sizes.crossJoin(js_divergence(split)).select(F.lit(seed).alias("seed"), F.lit(test_size).alias("test_size"), "n_total", "n_train", "n_test", F.round(ratio, 6).alias("actual_test_ratio"), "js")
+    return sizes.withColumn("js", js_divergence(split).scalar()).select(F.lit(seed).alias("seed"), F.lit(test_size).alias("test_size"), "n_total", "n_train", "n_test", F.round(ratio, 6).alias("actual_test_ratio"), "js")
 
 
 def for_stratifying(records: DataFrame) -> DataFrame:
