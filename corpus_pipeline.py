@@ -30,11 +30,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of least id, and of its rows with that id the first by text."""
-    found = simhash.near_duplicates(docs, COLUMNS)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = first.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return one.select("doc_id", "row.*").select(*COLUMNS)
+    """One document of each group: that of least id, and of its rows with that id the first by text. Rows without an id stay."""
+    # fingerprints and components carry ids only; the texts are dealt once, for the join and the group alike
+    # fingerprints and components carry ids only; the texts are dealt once, for the join and the group alike
+    found = simhash.near_duplicates(docs, ["doc_id"])
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    rows = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
