@@ -212,3 +212,10 @@ def test_polished_or_raw(spark):
     d = spark.createDataFrame([(raw, good), (raw, None), (raw, "(תרגום) " + raw), (raw, "קצר")], "raw string, answer string")
     got = [r[0] for r in d.select(tx.polished_or_raw(F.col("raw"), F.col("answer"))).collect()]
     assert got == [good.strip('"'), raw, raw, raw]
+
+
+def test_views(spark, sf):
+    from skeinflow.plans.views import register
+
+    register(spark, sf, ["label_marginals", "label_cooccurrence"])
+    assert spark.sql("SELECT count(*) FROM label_marginals m JOIN label_cooccurrence c ON c.a = m.label AND c.b = m.label AND c.n <> m.n").first()[0] == 0
