@@ -27,8 +27,8 @@ from .texts import map_texts, table
 
 #: Added to the code point of a letter that carries the end mark; byte letters lie below it.
 ENDED = 0x1000
-#: Pieces, and pairs, that a worker keeps.
-KEPT = 250_000
+#: Pieces, and pairs, that a worker keeps in each of two generations.
+KEPT = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -38,20 +38,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class _Pieces(dict):
-    """Pieces of text and their ids, as far as met; kept small. Long pieces hardly recur and aren't kept."""
+class _Kept(dict):
+    """Values by key, made when they are missed. Of two generations: when the young one is full it becomes the old one, so what recurs stays."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make):
         super().__init__()
-        self.of = vocabulary
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.of.encode_piece(self.of.symbols("".join(map(self.of.letters.__getitem__, piece.encode())) + self.of.end))
-        if len(self) > KEPT:
-            self.clear()
-        if len(piece) < 64:
-            self[piece] = found
-        return found
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:  # long pieces hardly recur
+            if len(self) >= KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Vocabulary:
@@ -84,8 +87,8 @@ class Vocabulary:
         for c in self.made:
             self.automaton.add_word(c, c)
         self.automaton.make_automaton()
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.encoded = _Pieces(self)
+        self.follows = _Kept(lambda pair: self._merged(pair[0] + pair[1]) == list(pair))
+        self.encoded = _Kept(lambda piece: self.encode_piece(self.symbols("".join(map(self.letters.__getitem__, piece.encode())) + self.end)))
         self.numerals = [str(i) for i in range(size)]
         self.letter_ids = {self.symbols(t): i for t, i in self.ids.items()}
 
@@ -108,12 +111,7 @@ class Vocabulary:
 
     def compatible(self, left: str, right: str) -> bool:
         """May `right` follow `left`? Merging the letters of both must give these two tokens."""
-        known = self.follows.get((left, right))
-        if known is None:
-            if len(self.follows) > KEPT:
-                self.follows.clear()
-            known = self.follows[left, right] = self._merged(left + right) == [left, right]
-        return known
+        return self.follows[left, right]
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece, given as one letter for each symbol."""
