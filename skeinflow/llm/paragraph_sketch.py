@@ -18,6 +18,8 @@ themselves if there is no other). An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ PIECE = 80
 #: Cells of a written fingerprint in each of its three subtables.
 WRITTEN = 4
 ROUNDS = 12
+#: Digests whose cells (three each) a task aggregates.
+DIGESTS_A_PART = 200_000
 _LENGTH = (1 << 15) - 1
 _SIGN = 1 << 15
 _SUBTABLE = 40
@@ -149,7 +153,10 @@ def fingerprints(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataF
     made = made.select("k1", "k2", F.monotonically_increasing_id().alias("row"), "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "edit", "next")
     made = cut(made)
     both = F.explode(F.array(F.struct(F.lit("edit").alias("pair"), F.col("edit").alias("b")), F.struct(F.lit("next").alias("pair"), F.col("next").alias("b"))))
-    dealt = made.repartition("k1", "k2", "row")  # once: all that follows keeps a document's rows together
+    # once: all that follows keeps a document's rows together; so many parts that each one's cells fit a task's memory
+    n = made.agg(F.coalesce(F.sum(2 * F.size("own") + F.size("edit") + F.size("next")), F.lit(0))).first()[0]
+    parts = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / DIGESTS_A_PART))
+    dealt = made.repartition(parts, "k1", "k2", "row")
     pairs = dealt.select("k1", "k2", "row", F.col("own").alias("a"), both.alias("p")).select("k1", "k2", "row", "p.pair", "a", "p.b")
     apart = compare(pairs).groupBy("k1", "k2", "row").agg(*(F.sum(F.when(F.col("pair") == p, F.col("apart"))).alias(f"{p}_apart") for p in ("edit", "next")))
     apart = apart.withColumnsRenamed({c: f"_{c}" for c in ("k1", "k2", "row")})
