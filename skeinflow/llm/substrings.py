@@ -373,14 +373,15 @@ def remove_repeats(df: DataFrame, keep: list[str], text: str = "text", window: i
     cleared = with_places(repeats).mapInArrow(kept_rows, "_key binary, n_removed bigint, kept_digest binary, kept_text string")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
     results = texts.join(cleared, F.col("key") == F.col("_key"), "left").select(
-        F.col("key").alias("_text_key"), "n_words",
+        F.lower(F.hex("key")).alias("_text_key"), "n_words",
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept_digest", "digest")))).alias("kept_sha256"),
         F.when(copied, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
         F.col("_key").isNull().alias("whole"),
     )
-    documents = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), key, *([whole.alias("_text")] if with_text else []))
-    met = documents.join(results, F.col("key") == F.col("_text_key"))
+    # a text may have most rows as its copies: both sides are dealt by the key as written, which lets Spark split such a part
+    documents = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.md5(whole).alias("_copy_key"), *([whole.alias("_text")] if with_text else []))
+    met = documents.join(results, F.col("_copy_key") == F.col("_text_key"))
     own = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
     extra = [F.when(F.col("whole") & (F.col("n_removed") == 0), F.trim(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", " "))).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []
     return met.select(*own, "n_words", "n_removed", "kept_sha256", *extra)
