@@ -1,6 +1,7 @@
 """Operators on small rows written by hand: edge cases, invariants, and errors."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions import text as tx
 from skeinflow.operators import curate, features, judge, labels, model, profile, split
 from skeinflow.plans import report, stages
+from skeinflow.plans.queries import QUERIES
 from skeinflow.sources import synthetic
 from skeinflow.sources import tables as io
 from skeinflow.streaming.verdicts import judge_stream
@@ -44,6 +46,24 @@ def test_gates(spark):
     assert [r[0] for r in pair.select(tx.polish_gate(F.col("raw"), F.col("polished"))).collect()] == [True, False, False]
 
 
+def brute_valid(t):
+    t = t or ""
+    found = t.split()
+    return (
+        len(t) >= 30 and len(re.findall("[A-Za-z]", t)) >= 15 and not re.search("token|idiot|here is|output:", t.lower())
+        and sum(bool(re.fullmatch("[A-Z][a-z]{11,}", w)) for w in found) <= 3 and not any(a == b and len(a) > 1 for a, b in zip(found, found[1:]))
+    )
+
+
+def test_valid_gate_whole_has_a_row_for_long_and_uncounted_documents(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(900))
+    texts = [long, long + " end end", long + " Output:", long + " Abcdefghijklmn" + "".join(f" Abcdefghijklm{c}" for c in "opq"), "short", "some plain words that are long enough", None]
+    rows = [(i, t, None if i == 5 else len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.valid for r in QUERIES["valid_gate_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute_valid(t) for i, t in enumerate(texts)} and got[0] and not got[1] and got[5]
+
+
 def test_quality_score_and_shapes(spark):
     assert values(spark, ["", "x" * 500, '"' + "ab " * 20], tx.quality_score(F.col("text"))) == [0.4, 0.4, 0.8]
     assert values(spark, ["השינה שלי", "הולך", "הילדים רצים", "למה זה", "ישן", ""], tx.phrase_shape(F.col("text"))) == ["clause", "verb", "clause", "clause", "verb", "verb"]
