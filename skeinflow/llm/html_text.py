@@ -4,7 +4,8 @@ A page is read into blocks with one pass over its tags, closing what HTML lets a
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments go by element, role or name; if
 the page marks an article (or a main part), only that counts. Every element with text left has a hash of its subtree.
 Spark counts, for each host, on how many different pages (by their whole text, so copies of a page count once) a
-subtree stands; one on at least MIN_PAGES pages and on at least MIN_SHARE of the host's goes from all of them.
+subtree stands; one on at least MIN_PAGES pages and on at least MIN_SHARE of the host's is the host's template. A block
+goes if template subtrees cover all of its text, so a label or link that recurs takes no paragraph with it.
 A host's list of these is bounded: there are at most 1 / MIN_SHARE times as many as an average page has subtrees.
 
 A null or empty page has an empty text. A null url, or one without a host, belongs to the empty host. Repeated rows give
@@ -55,10 +56,10 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 
 class _Element:
-    __slots__ = ("tag", "gone", "inside", "hashed", "held", "shape")
+    __slots__ = ("tag", "gone", "inside", "hashed", "held", "shape", "first")
 
-    def __init__(self, tag: str, gone: bool, inside: bool, shape: bytes):
-        self.tag, self.gone, self.inside, self.shape = tag, gone, inside, shape
+    def __init__(self, tag: str, gone: bool, inside: bool, shape: bytes, first: int = 0):
+        self.tag, self.gone, self.inside, self.shape, self.first = tag, gone, inside, shape, first
         self.hashed: list[bytes] = []
         self.held: list[int] = []  # blocks that it holds text of
 
@@ -81,11 +82,12 @@ def _is_gone(tag: str, attributes: str, inside: bool) -> tuple[bool, bytes]:
     return any(NAMES.match(n) or n == "header" and not inside for n in names if n), shape
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, list[int]]]]:
-    """(blocks of text in page order, subtrees (hash, blocks it holds) of elements whose text is in them)."""
+def parse(page: str) -> tuple[list[str], list[tuple[int, list[int], range]], list[int]]:
+    """(blocks of text in page order, subtrees (hash, blocks it holds, runs of text it holds) of elements whose text is in them, block of each run of text)."""
     blocks: list[list[str]] = [[]]
     in_article: list[bool] = [False]
-    subtrees: list[tuple[int, list[int]]] = []
+    subtrees: list[tuple[int, list[int], range]] = []
+    block_of: list[int] = []
     stack = [_Element("", False, False, b"")]
 
     def text(raw: str) -> None:
@@ -94,6 +96,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, list[int]]]]:
             said = html.unescape(raw) if "&" in raw else raw
             blocks[-1].append(said)
             if not said.isspace():
+                block_of.append(len(blocks) - 1)
                 top.hashed.append(" ".join(said.split()).encode("utf-8", "surrogatepass"))
                 if not top.held or top.held[-1] != len(blocks) - 1:
                     top.held.append(len(blocks) - 1)
@@ -110,7 +113,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, list[int]]]]:
         if not e.gone:
             if e.held:
                 h = xxhash.xxh64(e.tag.encode() + b"\0" + e.shape + b"\0" + b"\1".join(e.hashed)).digest()
-                subtrees.append((int.from_bytes(h, "little", signed=True), e.held))
+                subtrees.append((int.from_bytes(h, "little", signed=True), e.held, range(e.first, len(block_of))))
                 stack[-1].hashed.append(h)
                 stack[-1].held += [x for x in e.held if not stack[-1].held or x > stack[-1].held[-1]]
         if e.tag in BLOCKS:
@@ -157,7 +160,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, list[int]]]]:
         inside = top.inside or tag in ("article", "main")
         gone, shape = (True, b"") if top.gone else _is_gone(tag, m[3], top.inside)
         if tag in BLOCKS and not gone:
-            stack.append(_Element(tag, gone, inside, shape))
+            stack.append(_Element(tag, gone, inside, shape, len(block_of)))
             split()
             if tag == "hr":
                 close()
@@ -168,7 +171,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, list[int]]]]:
             continue
         if m[3].endswith("/") and (top.gone or tag in ("svg", "math")):
             continue
-        stack.append(_Element(tag, gone, inside, shape))
+        stack.append(_Element(tag, gone, inside, shape, len(block_of)))
         if gone and tag in BLOCKS and not top.gone:
             gone_block = stack.pop()
             split()
@@ -182,14 +185,15 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, list[int]]]]:
         close()
     marked = any(in_article[i] and b for i, b in enumerate(blocks))
     told = [" ".join("".join(b).split()) if in_article[i] or not marked else "" for i, b in enumerate(blocks)]
-    return told, [(h, [i for i in held if told[i]]) for h, held in subtrees]
+    return told, [(h, [i for i in held if told[i]], runs) for h, held, runs in subtrees], block_of
 
 
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
-    """Blocks joined by line ends, without those that a template subtree holds."""
-    told, subtrees = parse(page)
-    out = {i for h, held in subtrees if h in templates for i in held} if templates else ()
-    return "\n".join(b for i, b in enumerate(told) if b and i not in out)
+    """Blocks joined by line ends, without those all of whose text template subtrees hold."""
+    told, subtrees, block_of = parse(page)
+    known = {r for h, held, runs in subtrees if h in templates and held for r in runs} if templates else ()
+    rest = {i for r, i in enumerate(block_of) if r not in known}
+    return "\n".join(b for i, b in enumerate(told) if b and (i in rest or not known))
 
 
 def host(url: str):
@@ -206,9 +210,9 @@ def site_templates(pages: DataFrame, url: str = "url", page: str = "html", min_p
     def subtrees(batches):
         for batch in batches:
             parsed = [parse(x) for x in _pages(batch, 1)]
-            whole = [xxhash.xxh64_intdigest("\n".join(filter(None, told)).encode("utf-8", "surrogatepass")) - (1 << 63) for told, _ in parsed]
+            whole = [xxhash.xxh64_intdigest("\n".join(filter(None, told)).encode("utf-8", "surrogatepass")) - (1 << 63) for told, _, _ in parsed]
             # a subtree within which the whole text lies is the page, not a part of it
-            parts = [sorted({h for h, held in trees if held and len(held) < sum(map(bool, told))}) for told, trees in parsed]
+            parts = [sorted({h for h, held, _ in trees if held and len(held) < sum(map(bool, told))}) for told, trees, _ in parsed]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["host", "whole", "parts"])
 
     read = pages.select(host(url).alias("host"), F.col(page).cast("string"))

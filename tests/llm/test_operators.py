@@ -222,6 +222,13 @@ def test_site_templates(spark, monkeypatch, sent):
     assert {r.text for r in html_text.extract(copies, ["page_id"]).collect()} == {"same\ntext"}  # copies count as one page
 
 
+def test_inline_text_that_recurs_takes_no_paragraph(spark):
+    html = lambda i: f"<body><span>Motto</span><i> of us</i><p>news {i} by <a>Jane Roe</a> today <b>Note</b></p><p>more {i}</p><p><a>Jane Roe</a> <b>Note</b></p>"
+    d = spark.createDataFrame([(i, f"http://a.com/{i}", html(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(d, ["page_id"]).collect()}
+    assert got == {i: f"news {i} by Jane Roe today Note\nmore {i}" for i in range(12)}
+
+
 def brute_targets(sizes):
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
     left, target = sum(sizes.values()), {}
