@@ -1,6 +1,8 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests, with DataFrame functions only.
 
-A text's paragraphs are its lines, long lines cut at the first sentence end after PIECE code points. Each gives a digest:
+A text's paragraphs are its lines, long lines cut at the first sentence end after PIECE code points. The query cuts
+pieces of more than LONGEST code points on: after a word whose hash marks an end, so that cuts survive edits elsewhere;
+where LONGEST has no such word, at its last space, or else at LONGEST. Each paragraph gives a digest:
 48 bits of its hash and 15 bits of its length. A text's set of digests is hashed into cells (a count, the XOR of digests
 and of their check values) of three subtables. Two versions' cells subtract; what they share cancels. Peeling takes a
 subtable at a time: a cell that holds one digest gives it up and it is subtracted from its other two cells. When nothing
@@ -27,6 +29,11 @@ from .cuts import cut
 from .texts import table
 
 PIECE = 80
+LONGEST = 300
+#: One word in so many, by its hash, ends a part of a long piece.
+ENDS = 8
+#: Words with the space before them; above U+2E80, where scripts have no spaces, each code point.
+_UNIT = r"\s*[\x21-\x{2E7F}]{1,64}|\s*\S|\s+"
 #: Cells of a written fingerprint in each of its three subtables.
 WRITTEN = 4
 ROUNDS = 12
@@ -37,9 +44,19 @@ _SIGN = 1 << 15
 _SUBTABLE = 40
 
 
-def digests(text: Column) -> Column:
+def shorter(piece: Column, longest: int) -> Column:
+    """A piece's parts of at most `longest` code points; lines hold no line end, so one marks where a part may end."""
+    units = F.regexp_extract_all(piece, F.lit(_UNIT), F.lit(0))
+    marked = F.array_join(F.transform(units, lambda u: F.when(F.pmod(F.xxhash64(F.trim(u)), F.lit(ENDS)) == 0, F.concat(u, F.lit("\n"))).otherwise(u)), "")
+    parts = F.regexp_extract_all(marked, F.lit(rf"(?s).{{{PIECE},{longest}}}?\n|.{{{PIECE},{longest}}}(?=\s)|.{{1,{longest}}}"), F.lit(0))
+    return F.transform(parts, lambda p: F.replace(p, F.lit("\n"), F.lit("")))
+
+
+def digests(text: Column, longest: int | None = None) -> Column:
     """The set of a text's paragraph digests: hash bits, then (below) a free bit for the sign and the length."""
     pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{{PIECE},}}?[.!?](?=\s|$)|[^\n]+"), F.lit(0))
+    if longest:
+        pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > longest, shorter(p, longest)).otherwise(F.array(p))))
     digest = lambda p: F.xxhash64(p).bitwiseAND(~0xFFFF).bitwiseOR(F.least(F.length(p), F.lit(_LENGTH)).cast("long"))
     return F.array_distinct(F.transform(pieces, digest))
 
@@ -81,7 +98,7 @@ def keyed(id: str, hash: str, names: tuple[str, str]) -> list[Column]:
     return [F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("null")), F.col(hash)).alias(names[0]), F.col(hash).alias(names[1])]
 
 
-def with_edit(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
+def with_edit(df: DataFrame, by: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
     """Per row of df: k1, k2 (its key), id, n_chars, edited text, and the digests of it (own), of its edit and of the next document."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hashed = df.select(F.col(by).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
@@ -89,11 +106,11 @@ def with_edit(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataFram
     order = cut(order.select("id", "n_chars", *keyed("id", "hash", ("k1", "k2")), *keyed("next_id", "next_hash", ("n1", "n2"))))
     texts = hashed.select(*keyed("id", "hash", ("t1", "t2")), "text")
     start = F.substring(F.col("text"), F.lit(1), F.expr("cast(n_chars div 3 as int)"))
-    sent = texts.join(order, (F.col("t1") == F.col("n1")) & (F.col("t2") == F.col("n2"))).select("k1", "k2", "id", "n_chars", start.alias("start"), digests(F.col("text")).alias("next"))
+    sent = texts.join(order, (F.col("t1") == F.col("n1")) & (F.col("t2") == F.col("n2"))).select("k1", "k2", "id", "n_chars", start.alias("start"), digests(F.col("text"), longest).alias("next"))
     sent = sent.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("id", "n_chars", "start", "next")))  # copies of a next document send the same
     met = texts.join(sent, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.expr("cast(n_chars - n_chars div 3 as int)")), F.col("start"))
-    return met.select("k1", "k2", "id", "n_chars", edited.alias("edited"), digests(F.col("text")).alias("own"), "next").withColumn("edit", digests(F.col("edited")))
+    return met.select("k1", "k2", "id", "n_chars", edited.alias("edited"), digests(F.col("text"), longest).alias("own"), "next").withColumn("edit", digests(F.col("edited"), longest))
 
 
 def _cells(digest: Column, bits: Column, level: int) -> list[Column]:
@@ -147,9 +164,9 @@ def compare(pairs: DataFrame, most_levels: int = 6) -> DataFrame:
         pairs = pairs.join(failed, [F.col(c) == F.col(f"_{c}") for c in KEY], "left_semi")
 
 
-def fingerprints(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of df: `by`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    made = with_edit(df, by, text)
+def fingerprints(df: DataFrame, by: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
+    """Per row of df: `by`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Without `longest`, pieces end at sentences and lines only."""
+    made = with_edit(df, by, text, longest)
     made = made.select("k1", "k2", F.monotonically_increasing_id().alias("row"), "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "edit", "next")
     made = cut(made)
     both = F.explode(F.array(F.struct(F.lit("edit").alias("pair"), F.col("edit").alias("b")), F.struct(F.lit("next").alias("pair"), F.col("next").alias("b"))))
@@ -171,4 +188,4 @@ def fingerprints(df: DataFrame, by: str = "doc_id", text: str = "text") -> DataF
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), longest=LONGEST)

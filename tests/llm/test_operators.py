@@ -340,6 +340,27 @@ def test_fingerprints(spark):
         assert by.setdefault(t or "", got[i].fingerprint) == got[i].fingerprint
 
 
+def test_long_texts_without_a_sentence_end_are_like_their_edits(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [prose(1000), prose(12_000), "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(6000)), "z" * 40_000, prose(1100)]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(paragraph_sketch.op10_fingerprints(spark, str(tmp_path)))
+    assert all(got[i].near_edited > 0.5 for i in (0, 1, 2)) and all(got[i].near_edited < 0.9 for i in (0, 1, 2))
+    # one word put in at the start leaves the later cuts where they were, and nothing is lost or too long
+    cut = lambda t: values_of(spark, t, paragraph_sketch.shorter(F.col("text"), paragraph_sketch.LONGEST))
+    for t in texts:
+        assert "".join(cut(t)) == t and max(map(len, cut(t))) <= paragraph_sketch.LONGEST
+    for t in texts[:3]:
+        a, b = set(cut(t)), set(cut("newly " + t))
+        assert sum(map(len, a & b)) > 0.8 * len(t)
+
+
+def values_of(spark, text, column):
+    return spark.createDataFrame([(text,)], "text string").select(column).first()[0]
+
+
 def test_fingerprints_of_repeated_and_null_ids(spark):
     d = spark.createDataFrame([(1, "b."), (1, "b."), (2, "c"), (None, None), (None, "x y z")], "doc_id long, text string")
     got = paragraph_sketch.fingerprints(d).collect()
