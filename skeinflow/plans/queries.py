@@ -532,9 +532,9 @@ def threshold_search(spark, sf):
 @query()
 def ovr_logreg(spark, sf):
     d = docs(spark, sf)
-    weights = features.tfidf(d, most=1, min_df=20)
+    weights = features.tfidf(d)
     at = curate.numbered(weights.select("term").distinct(), "term", "%d", "at").withColumn("at", F.col("at").cast("int"))
-    return model.one_vs_rest(model.vectors(weights, at, max(1, at.count())), d, CLASSES, max_iter=50)
+    return model.one_vs_rest(model.vectors(weights, at, max(1, at.count()), d), d, CLASSES)
 
 
 @query(

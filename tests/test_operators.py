@@ -178,6 +178,19 @@ def test_metrics_and_models(spark):
     assert model.zero_shot(d, ["x"], scorer=lambda texts, label: [0.7] * len(texts)).where("predicted = 1").count() == 20
 
 
+def test_rows_without_a_term_are_scored(spark, monkeypatch):
+    d = spark.createDataFrame([(i, t, ["short"] if i % 2 else []) for i, t in enumerate(["good day", "bad night"] * 4 + [None, "", "zz"])], "id long, text string, labels array<string>")
+    seen = []
+    fit = model.one_vs_rest
+    monkeypatch.setattr("skeinflow.plans.queries.docs", lambda *_: d)
+    monkeypatch.setattr("skeinflow.plans.queries.CLASSES", ["short"])
+    monkeypatch.setattr(model, "one_vs_rest", lambda f, *a, **b: seen.append(f) or fit(f, *a, **b))
+    got = {r.id: r for r in QUERIES["ovr_logreg"](spark, "").collect()}
+    assert sorted(got) == list(range(11)) and got[1].proba > 0.5 > got[0].proba
+    vectors = {r.id: r.features for r in seen[0].collect()}
+    assert vectors[0].size == 6 and vectors[0].numNonzeros() == 3 and vectors[8].numNonzeros() == 0  # two words and their bigram, in few rows
+
+
 def test_settle_scores_each_text_once(spark):
     d = spark.createDataFrame([(0, "hello big wide world now"), (1, "hello big wide world now"), (2, "x"), (3, "one two three four five")], "id long, text string")
     cached = spark.createDataFrame([], io.CACHE)
