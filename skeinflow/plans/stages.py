@@ -50,10 +50,13 @@ def split_stage(spark: SparkSession, source: str, out: str, check: bool = True)
 
 def evaluate_stage(spark: SparkSession, source: str, out: str, max_iter: int = 100) -> None:
     rows = spark.read.parquet(f"{out}/folds")
-    names = [r[0] for r in labels.classes(rows.where("fold = 'train'")).orderBy("label").collect()]
-    weights = features.tfidf(rows)
-    vocab = io_index(weights)
-    scores = model.one_vs_rest(model.vectors(weights, vocab, max(1, vocab.count())), rows, names, max_iter=max_iter)
+    train = rows.where("fold = 'train'")
+    names = [r[0] for r in labels.classes(train).orderBy("label").collect()]
+    n = train.count()
+    known = features.vocabulary(features.term_counts(train), n).cache()  # the test fold is transformed by what the train fold has
+    weights = features.tfidf(rows, fitted=known, n_rows=n)
+    vocab = io_index(known)
+    scores = model.one_vs_rest(model.vectors(weights, vocab, max(1, vocab.count()), rows), rows, names, max_iter=max_iter, fit_on=train)
     tuned = model.threshold_search(scores.join(rows.where("fold = 'train'").select("id"), "id")).select("label", "threshold")
     test = scores.join(rows.where("fold = 'test'").select("id"), "id")
     io.write_artifact(spark, io.artifact(model.comparison({"tfidf_test": model.metrics(test, tuned)}), 6), f"{out}/eval_results.json")

@@ -191,6 +191,22 @@ def test_rows_without_a_term_are_scored(spark, monkeypatch):
     assert vectors[0].size == 6 and vectors[0].numNonzeros() == 3 and vectors[8].numNonzeros() == 0  # two words and their bigram, in few rows
 
 
+def test_evaluation_is_fitted_on_the_train_fold_only(spark, tmp_path):
+    # test texts have words of their own, which tell their labels only to a model that has seen them
+    rows = [(f"r{i}", f"plain text {'odd' if i % 2 else 'even'}", ["a"] if i % 2 else ["b"], "train") for i in range(20)]
+    rows += [(f"t{i}", f"unseen {'left' if i % 2 else 'right'}", ["a"] if i % 2 else ["b"], "test") for i in range(20)] + [("u", "odd", ["a"], "test")]
+    spark.createDataFrame(rows, "id string, text string, labels array<string>, fold string").write.parquet(f"file://{tmp_path}/folds")
+    seen, fit = [], model.one_vs_rest
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(model, "one_vs_rest", lambda f, *a, **b: seen.extend([f, fit(f, *a, **b)]) or seen[-1])
+        stages.evaluate_stage(spark, "", f"file://{tmp_path}")
+    vectors = {r.id: r.features for r in seen[0].collect()}
+    assert len(vectors) == 41 and vectors["t0"].numNonzeros() == vectors["t1"].numNonzeros() == 0 < vectors["u"].numNonzeros()
+    proba = {(r.id, r.label): r.proba for r in seen[1].collect()}
+    assert proba["t0", "a"] == proba["t1", "a"] and proba["u", "a"] > 0.5 > proba["r0", "a"]
+    assert (tmp_path / "eval_results.json").exists()
+
+
 def test_settle_scores_each_text_once(spark):
     d = spark.createDataFrame([(0, "hello big wide world now"), (1, "hello big wide world now"), (2, "x"), (3, "one two three four five")], "id long, text string")
     cached = spark.createDataFrame([], io.CACHE)
