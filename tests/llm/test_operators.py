@@ -316,14 +316,21 @@ def test_pii_field(spark):
     assert clean[0].redacted_text == 'api token = "<secret>" mail <email>' and clean[1].redacted_text is None
 
 
-def brute_pieces(t):
-    return {m.group() for m in re.finditer(r"[^\n]{80,}?[.!?](?=\s|$)|[^\n]+", t)}
+def brute_pieces(t, longest=300):
+    """Lines, cut at sentence ends, and on after words whose hash says so."""
+    out = set()
+    for p in re.findall(r"[^\n]{80,}?[.!?](?=\s|$)|[^\n]+", t, re.A):
+        if len(p) <= longest:
+            out.add(p)
+            continue
+        units = re.findall("\\s*[\x21-\u2e7f]{1,64}|\\s*\\S|\\s+", p, re.A)
+        marked = "".join(u + "\n" * (xxhash.xxh64_intdigest(u.strip(" ").encode(), 42) % 8 == 0) for u in units)
+        out |= {x.replace("\n", "") for x in re.findall(rf".{{80,{longest}}}?\n|.{{80,{longest}}}(?=\s)|.{{1,{longest}}}", marked, re.A | re.S)}
+    return out
 
 
-def test_fingerprints(spark):
-    texts = corpus(50, 11)
-    d = documents(spark, texts)
-    got = rows(paragraph_sketch.fingerprints(d))
+def check_fingerprints(texts, got):
+    """Against the texts' sets of pieces, in order of falling id."""
     order = [t or "" for t in texts][::-1]
     for k, t in enumerate(order):
         after = order[(k + 1) % len(order)]
@@ -334,20 +341,28 @@ def test_fingerprints(spark):
         for other, near in ((edited, r.near_edited), (after, r.near_next)):
             a, b = brute_pieces(t), brute_pieces(other)
             whole = sum(map(len, a)) + sum(map(len, b))
-            assert abs(near - (1 - sum(map(len, a ^ b)) / whole if whole else 1.0)) < 1e-9
+            assert abs(near - (1 - sum(map(len, a ^ b)) / whole if whole else 1.0)) < 1e-9, k
+
+
+def test_fingerprints(spark):
+    texts = corpus(50, 11)
+    got = rows(paragraph_sketch.fingerprints(documents(spark, texts)))
+    check_fingerprints(texts, got)
     by = {}
     for i, t in enumerate(texts):
         assert by.setdefault(t or "", got[i].fingerprint) == got[i].fingerprint
+    for t, edit in ((texts[0], got[0].edited_fingerprint), (texts[1], got[1].edited_fingerprint)):
+        assert edit != by[t] and len(edit) == 3 * paragraph_sketch.WRITTEN * 32
 
 
-def test_long_texts_without_a_sentence_end_are_like_their_edits(spark, tmp_path):
+def test_fingerprints_of_long_lines(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(800)]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    texts = [prose(1000), prose(12_000), "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(6000)), "z" * 40_000, prose(1100)]
-    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    got = rows(paragraph_sketch.op10_fingerprints(spark, str(tmp_path)))
-    assert all(got[i].near_edited > 0.5 for i in (0, 1, 2)) and all(got[i].near_edited < 0.9 for i in (0, 1, 2))
+    texts = [prose(1000), prose(12_000), "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(6000)), "z" * 100_000, prose(1100), "y" * 40_000 + " " + prose(60), "no end " * 20_000]
+    got = rows(paragraph_sketch.fingerprints(documents(spark, texts)))
+    check_fingerprints(texts, got)
+    assert all(0.5 < got[i].near_edited < 0.9 for i in (0, 1, 2))
     # one word put in at the start leaves the later cuts where they were, and nothing is lost or too long
     cut = lambda t: values_of(spark, t, paragraph_sketch.shorter(F.col("text"), paragraph_sketch.LONGEST))
     for t in texts:
@@ -369,13 +384,28 @@ def test_fingerprints_of_repeated_and_null_ids(spark):
     assert alone.near_next == 1.0
 
 
-def test_failed_sketches_are_tried_larger(spark, monkeypatch):
-    monkeypatch.setattr(paragraph_sketch, "ROUNDS", 3)
-    rng = random.Random(1)
-    a, b = ([rng.getrandbits(62) >> 16 << 16 | 7 for _ in range(200)] for _ in "ab")
-    pairs = spark.createDataFrame([(1, 1, 1, "p", a, a), (2, 2, 2, "p", a, b), (3, 3, 3, "p", a, a[:100])], "k1 long, k2 long, row long, pair string, a array<long>, b array<long>")
-    got = {r.k1: r.apart for r in paragraph_sketch.compare(pairs, 8).collect()}
-    assert got == {2: 2800, 3: 700}
+def made_of(*numbers):
+    return [n << 16 | 7 for n in numbers]
+
+
+def test_written_tables_are_subtracted_and_peeled(spark):
+    rng = random.Random(2)
+    every = [rng.getrandbits(46) for _ in range(60)]
+    cases = [(every, every[:57], 21), (every[1:], every[:-1], 14), (every, every, 0), ([], [], 0), ([], every[:2], 14)]
+    d = spark.createDataFrame([(i, made_of(*a), made_of(*b)) for i, (a, b, _) in enumerate(cases)], "i int, a array<long>, b array<long>")
+    got = {r.i: r.p for r in d.select("i", paragraph_sketch.peeled(paragraph_sketch.sketch(F.col("a")), paragraph_sketch.sketch(F.col("b"))).alias("p")).collect()}
+    assert [(got[i].apart, got[i].failed) for i in range(len(cases))] == [(w, False) for _, _, w in cases]
+    many = spark.createDataFrame([(made_of(*every), [])], "a array<long>, b array<long>")
+    assert many.select(paragraph_sketch.peeled(paragraph_sketch.sketch(F.col("a")), paragraph_sketch.sketch(F.col("b"))).alias("p")).first().p.failed
+
+
+@pytest.mark.parametrize(("rounds", "few"), [(3, 4), (12, 10**6)])
+def test_failed_sketches_are_tried_larger(spark, monkeypatch, rounds, few):
+    """With three rounds, or with the written table for everything, most first tries fail; the result is the same."""
+    monkeypatch.setattr(paragraph_sketch, "ROUNDS", rounds)
+    monkeypatch.setattr(paragraph_sketch, "FEW", few)
+    texts = corpus(30, 5)
+    check_fingerprints(texts, rows(paragraph_sketch.fingerprints(documents(spark, texts), most_levels=12)))
 
 
 def test_long_texts(spark):
