@@ -40,8 +40,8 @@ _UNIT = r"\s*[\x21-\x{2E7F}]{1,64}|\s*\S|\s+"
 WRITTEN = 4
 FEW = 4
 #: One digest in so many, by its hash, is in the sample that the expected difference comes from.
-SAMPLED = 8
-ROUNDS = 12
+SAMPLED = 4
+ROUNDS = 6
 _LENGTH = (1 << 15) - 1
 _SIGN = 1 << 15
 #: A row's cell: which pair, log2 of the cells of a subtable (or TOLD: the length recovered so far), subtable, place.
@@ -124,8 +124,8 @@ def expected(a: Column, b: Column) -> Column:
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """From rows (id, hash, n_chars): the distinct ones with next_id and next_hash, by falling id, round to the first."""
-    ranged = ids.distinct().repartitionByRange(F.col("id").desc_nulls_last(), F.col("hash"))
+    """From rows (id, hash, n_chars): the distinct ones with copies, next_id and next_hash, by falling id, round to the first."""
+    ranged = ids.groupBy("id", "hash", "n_chars").agg(F.count("*").alias("copies")).repartitionByRange(F.col("id").desc_nulls_last(), F.col("hash"))
     dealt = cut(ranged.withColumn("range", F.spark_partition_id()))  # ranges are drawn by sampling, so they are drawn once
     order = [F.col("id").desc_nulls_last(), F.col("hash")]
     heads = dealt.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("place = 1")
@@ -135,7 +135,7 @@ def following(ids: DataFrame) -> DataFrame:
     heads = heads.select(F.col("range").alias("_range"), F.coalesce(F.lead(this).over(across), F.first(this).over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     within = dealt.withColumn("near", F.lead(this).over(Window.partitionBy("range").orderBy(*order)))
     met = within.join(heads, F.col("range") == F.col("_range")).withColumn("next", F.coalesce("near", "after"))
-    return met.select("id", "hash", "n_chars", F.col("next.id").alias("next_id"), F.col("next.hash").alias("next_hash"))
+    return met.select("id", "hash", "n_chars", "copies", F.col("next.id").alias("next_id"), F.col("next.hash").alias("next_hash"))
 
 
 def keyed(id: str, hash: str, names: tuple[str, str]) -> list[Column]:
@@ -148,13 +148,15 @@ def with_edit(df: DataFrame, by: str = "doc_id", text: str = "text", longest: in
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hashed = df.select(F.col(by).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
     order = following(hashed.select("id", "hash", F.length("text").cast("long").alias("n_chars")))
-    order = cut(order.select("id", "n_chars", *keyed("id", "hash", ("k1", "k2")), *keyed("next_id", "next_hash", ("n1", "n2"))))
+    order = cut(order.select("id", "n_chars", "copies", *keyed("id", "hash", ("k1", "k2")), *keyed("next_id", "next_hash", ("n1", "n2"))))
     # both joins read this one exchange of the texts, at every size
-    texts = hashed.select(*keyed("id", "hash", ("t1", "t2")), "text").groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = hashed.select(*keyed("id", "hash", ("t1", "t2")), "text").groupBy("t1", "t2").agg(F.first("text").alias("text"))
     start = F.substring(F.col("text"), F.lit(1), F.expr("cast(n_chars div 3 as int)"))
     sent = texts.join(order.hint("merge"), (F.col("t1") == F.col("n1")) & (F.col("t2") == F.col("n2")))
-    sent = sent.select("k1", "k2", "id", "n_chars", start.alias("start"), digests(F.col("text"), longest).alias("next"))
+    sent = sent.select("k1", "k2", "id", "n_chars", "copies", start.alias("start"), digests(F.col("text"), longest).alias("next"))
     met = texts.join(sent.hint("merge"), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
+    # true of every row; as a condition on both sides it keeps all columns, so that plans of some columns reuse the same two exchanges
+    met = met.where((F.col("copies") > 0) | (F.col("id").cast("string") > F.col("text")))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.expr("cast(n_chars - n_chars div 3 as int)")), F.col("start"))
     made = met.select("k1", "k2", "copies", "id", "n_chars", edited.alias("edited"), digests(F.col("text"), longest).alias("own"), "next").withColumn("edit", digests(F.col("edited"), longest))
     return made.withColumns({f"{p}_expected": expected(F.col("own"), F.col(p)) for p in PAIRS})
@@ -174,7 +176,7 @@ def peel(pairs: DataFrame, level: int = 0) -> DataFrame:
     Both texts' cells are built and subtracted in one aggregation by cell, as sums of opposite sign. Of pairs that don't
     differ nothing is left; a key without a pair that differs gives no row.
     """
-    bits = F.greatest(F.lit(2), F.ceil(F.log2(F.greatest("n", F.lit(1)) * (0.75 * 4**level)))).cast("int")
+    bits = F.greatest(F.lit(2), F.ceil(F.log2(F.greatest("n", F.lit(1)) * (1.5 * 4**level)))).cast("int")
     head = F.shiftleft(F.col("pair").cast("long"), _PAIR).bitwiseOR(F.shiftleft(bits.cast("long"), _BITS))
     signed = F.concat("a", F.transform("b", lambda d: d.bitwiseOR(_SIGN)))
     one = pairs.select("k1", "k2", head.alias("head"), F.explode(signed).alias("d"))
