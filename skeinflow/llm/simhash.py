@@ -7,12 +7,19 @@ no task holds more than two slices. A cell stores its fingerprints as bit planes
 all lanes are counted at once by carry-save adders, plane by plane, and words whose lanes all lie beyond the radius are
 abandoned. A cell gives a forest of its links, not its pairs; the forests are connected in Spark.
 
+Radius 4 of 64 bits reaches texts of a similarity of about 0.95 only. `similar_groups` reaches a given Jaccard similarity
+of the sets of shingles (0.8 of five words by default): its fingerprints have WIDE bits, of which texts of similarity s
+differ in a share acos(2s / (1 + s)) / pi, with a radius of MARGIN standard deviations more: of pairs of similarity 0.8
+five in six link, of 0.85 nearly all, of 0.7 one in four; unrelated texts differ in half of the bits. No cut into equal parts serves such a radius, so two texts meet in a bucket if they share two of their
+LEAST least shingle hashes, as 99% of those of similarity 0.8 do. Slices, bit planes and forests are the same.
+
 A null or empty text has the fingerprint zero and is linked like any other. Rows with equal texts share a fingerprint;
 a null id never names a component unless all ids in it are null. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -31,29 +38,67 @@ RADIUS = 4
 SLICE = 4096
 #: Cells up to this size are compared lane against shifted lane, many cells at once; larger ones query by query.
 SMALL = 64
+#: Bits of the fingerprints of similar_groups, standard deviations beyond the expected distance, shingle hashes that make buckets.
+WIDE = 256
+MARGIN = 1.0
+LEAST = 5
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Parts that the rows of a component are dealt to when it is named.
+SALTS = 16
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """Bits set in more than half of the shingles' hashes, as an unsigned number."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hash of each shingle; fewer words than `width` are one shingle, no words none."""
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: n - 1]]
     stops = [e - 1 for e in ends[len(ends) - n :]]
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in more than half of the hashes, as one number."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * counts > n))
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """Bits set in more than half of the shingles' hashes, as an unsigned number."""
+    return int(majority(shingle_hashes(text, width)))
+
+
+def mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Other hashes of the same values, independent for each lane."""
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def wide_fingerprint(text: bytes, width: int = SIMILAR_SHINGLE) -> tuple[bytes, list[int]]:
+    """(WIDE bits of the set of shingles, the LEAST least of their hashes, signed)."""
+    h = np.unique(shingle_hashes(text, width))
+    wide = np.array([majority(mixed(h, lane)) for lane in range(WIDE // 64)], "<u8")
+    return wide.tobytes(), h[:LEAST].view("<i8").tolist()
+
+
+def radius_of(similarity: float, bits: int = WIDE, margin: float = MARGIN) -> int:
+    """The number of differing bits that reaches texts of this Jaccard similarity."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
-    """Bit planes: row k holds bit k of each fingerprint, 64 lanes a word; spare lanes are 0."""
-    pad = np.zeros(-len(prints) % 64, np.uint64)
-    bits = np.unpackbits(np.concatenate((prints, pad)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes: row k holds bit k of each fingerprint (a number, or a row of them), 64 lanes a word; spare lanes are 0."""
+    rows = np.ascontiguousarray(prints.reshape(len(prints), -1)).astype("<u8")
+    rows = np.concatenate((rows, np.zeros((-len(prints) % 64, rows.shape[1]), "<u8")))
+    bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view("<u8")
 
 
@@ -99,7 +144,7 @@ def link_small(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
     """Links (as positions) within many small cells that stand one after the other: each lane against the lane `shift` further on."""
     n = len(prints)
     p = planes(prints)
-    p = np.concatenate((p, np.zeros((64, 2), np.uint64)), axis=1)
+    p = np.concatenate((p, np.zeros((len(p), 2), np.uint64)), axis=1)
     found_a, found_b = [], []
     for shift in range(1, n):
         same = cells[shift:] == cells[:-shift]
@@ -112,7 +157,7 @@ def link_small(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
             far = p[k, where + word] if not bit else p[k, where + word] >> np.uint64(bit) | p[k, np.minimum(where + word + 1, p.shape[1] - 1)] << np.uint64(64 - bit)
             return p[k, where] ^ far
 
-        near = np.flatnonzero(_lanes(lanes_within(differing, 64, (words,), radius))[: n - shift] & same)
+        near = np.flatnonzero(_lanes(lanes_within(differing, len(p), (words,), radius))[: n - shift] & same)
         found_a.append(near)
         found_b.append(near + shift)
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
@@ -134,11 +179,12 @@ def link_large(prints: np.ndarray, radius: int, together: int = 32) -> tuple[np.
     n = len(prints)
     p = planes(prints)
     width = p.shape[1]
-    used = [k for k in range(64) if (p[k] != p[k][0]).any() or p[k][0] not in (0, _FULL)]  # the others are equal throughout
+    used = [k for k in range(len(p)) if (p[k] != p[k][0]).any() or p[k][0] not in (0, _FULL)]  # the others are equal throughout
     label = np.arange(n)
     for at in range(0, n, together):
         q = prints[at : at + together]
-        bits = np.array([np.where(q >> np.uint64(k) & np.uint64(1), _FULL, np.uint64(0)) for k in used], np.uint64).reshape(len(used), len(q))
+        own = np.unpackbits(np.ascontiguousarray(q.reshape(len(q), -1)).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        bits = np.where(own[:, used].T, _FULL, np.uint64(0)).reshape(len(used), len(q))
 
         def differing(k, where, bits=bits):
             return p[used[k], where % width] ^ bits[k, where // width]
@@ -156,19 +202,19 @@ def link_large(prints: np.ndarray, radius: int, together: int = 32) -> tuple[np.
 
 
 def forest(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints that stand in the same cell (cells are sorted) and lie in reach."""
+    """Links (as positions) between fingerprints that stand in the same cell (cells are sorted) and lie in reach."""
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
     sizes = np.diff(np.r_[starts, len(cells)])
     out = []
     in_small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     if in_small.any():
-        a, b = link_small(cells[in_small], prints[in_small], radius)
-        out.append((prints[in_small][a], prints[in_small][b]))
+        at = np.flatnonzero(in_small)
+        a, b = link_small(cells[at], prints[at], radius)
+        out.append((at[a], at[b]))
     for s, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        own = prints[s : s + size]
-        a, b = link_large(own, radius)
-        out.append((own[a], own[b]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (prints[:0], prints[:0])
+        a, b = link_large(prints[s : s + size], radius)
+        out.append((s + a, s + b))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def parts(radius: int) -> list[tuple[int, int]]:
@@ -182,31 +228,44 @@ def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> D
     """From distinct fingerprints (fp): links (u, v) that connect all of them that lie in reach of each other."""
     part = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << n) - 1) for a, n in parts(radius)]
     keys = [F.shiftleft(F.lit(t).cast("long"), 48).bitwiseOR(F.shiftleft(part[i], 24)).bitwiseOR(part[j]) for t, (i, j) in enumerate(combinations(range(len(part)), 2))]
-    spread = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+    return _linked(prints.select("fp", F.explode(F.array(*keys)).alias("bucket")), radius, slice_rows)
+
+
+def wide_links(prints: DataFrame, radius: int, slice_rows: int = SLICE) -> DataFrame:
+    """From distinct (fp, print, least): links (u, v) of the fp whose prints lie in reach of each other and that share two of their least hashes."""
+    pairs = F.flatten(F.transform("least", lambda a, i: F.transform(F.slice("least", i + 2, F.lit(LEAST)), lambda b: F.xxhash64(a, b))))
+    return _linked(prints.select("fp", "print", F.explode(pairs).alias("bucket")), radius, slice_rows)
+
+
+def _linked(spread: DataFrame, radius: int, slice_rows: int) -> DataFrame:
+    """From rows (fp, bucket), with `print` where that isn't fp itself: links within buckets."""
+    own = [c for c in spread.columns if c != "bucket"]
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int"))
     met = spread.join(sizes, "bucket")
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-    cells = met.select("fp", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    cells = cells.select("fp", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    at = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    cells = met.select(*own, "bucket", at.alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    cells = cells.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *own)
 
     def run(batches):
-        kept = None
+        held = []
         for batch in batches:
-            c, p = (batch.column(i).to_numpy() for i in (0, 1))
-            if kept is not None:
-                c, p = np.concatenate((kept[0], c)), np.concatenate((kept[1], p))
-            last = np.searchsorted(c, c[-1]) if len(c) else 0  # the last cell may go on
-            kept = c[last:], p[last:]
-            yield _link_batch(c[:last], p[:last], radius)
-        if kept is not None:
-            yield _link_batch(*kept, radius)
+            held = [np.concatenate(x) for x in zip(held, columns(batch))] if held else columns(batch)
+            last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last cell may go on
+            yield linked(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+        if held:
+            yield linked(*held)
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "fp").select("cell", "fp").mapInArrow(run, "u bigint, v bigint")
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        cell, fp = (batch.column(i).to_numpy() for i in (0, 1))
+        prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(len(fp), -1) if len(own) > 1 else fp.view(np.uint64)
+        return [cell, fp, prints]
 
+    def linked(cell: np.ndarray, fp: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        u, v = forest(cell, prints, radius) if len(cell) else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(fp[x]) for x in (u, v)], names=["u", "v"])
 
-def _link_batch(cells: np.ndarray, prints: np.ndarray, radius: int) -> pa.RecordBatch:
-    u, v = forest(cells, prints.view(np.uint64), radius) if len(cells) else (prints, prints)
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], names=["u", "v"])
+    return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, keep: list[str], by: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -215,14 +274,33 @@ def near_duplicates(df: DataFrame, keep: list[str], by: str = "doc_id", text: st
     def rows_of(texts: list[bytes]) -> dict[str, pa.Array]:
         return {"fp": pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))}
 
+    return _grouped(df, keep, by, text, rows_of, "fp bigint", [], lambda prints: links(prints, radius))
+
+
+def similar_groups(df: DataFrame, keep: list[str], by: str = "doc_id", text: str = "text", width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """As near_duplicates, with links between texts whose sets of shingles have about this Jaccard similarity or more; fp is a hash of the wide fingerprint."""
+
+    def rows_of(texts: list[bytes]) -> dict[str, pa.Array]:
+        made = [wide_fingerprint(t, width) for t in texts]
+        h = np.array([xxhash.xxh64_intdigest(p, SEED) for p, _ in made], np.uint64).view(np.int64)
+        return {"fp": pa.array(h), "print": pa.array([p for p, _ in made], pa.binary()), "least": pa.array([x for _, x in made], pa.list_(pa.int64()))}
+
+    radius = radius_of(similarity)
+    return _grouped(df, keep, by, text, rows_of, "fp bigint, print binary, least array<bigint>", ["print", "least"], lambda prints: wide_links(prints, radius))
+
+
+def _grouped(df: DataFrame, keep: list[str], by: str, text: str, rows_of, schema: str, more: list[str], link) -> DataFrame:
     inner = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(by).alias("_by"), F.col(text).alias("text"))
     held = [f"_k{i}" for i in range(len(keep))]
-    printed = cut(map_texts(inner, rows_of, "fp bigint", [*held, "_by"]))
-    distinct = cut(printed.groupBy("fp").agg(F.min("_by").alias("least")))
-    rooted = components(links(distinct.select("fp"), radius))
-    member = distinct.join(rooted, distinct["fp"] == rooted["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.select(F.col("fp").alias("_fp"), "root").join(named, "root").select("_fp", "component_id")
+    printed = cut(map_texts(inner, rows_of, schema, [*held, "_by"]))
+    distinct = cut(printed.groupBy("fp").agg(F.min("_by").alias("first"), *(F.first(c).alias(c) for c in more)))
+    rooted = components(link(distinct.select("fp", *more)))
+    member = distinct.select("fp", "first").join(rooted, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # a component may hold most fingerprints: its name meets them in SALTS parts; who is alone needs none
+    named = member.groupBy("root").agg(F.min("first").alias("named"), F.count("*").alias("n")).where("n > 1")
+    named = named.select(F.col("root").alias("_root"), "named", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    met = member.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(named, (F.col("root") == F.col("_root")) & (F.col("salt") == F.col("_salt")), "left")
+    classes = met.select(F.col("fp").alias("_fp"), F.coalesce("named", "first").alias("component_id"))
     return printed.join(classes, F.col("fp") == F.col("_fp")).select(*(F.col(a).alias(b) for a, b in zip(held, keep)), "fp", "component_id")
 
 

@@ -139,6 +139,69 @@ def test_links_of_large_and_small_cells_and_slices(spark):
     assert sorted(groups.values()) == sorted(Counter(reach.values()).values())
 
 
+def jaccard(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        w = t.split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited_copies(seed=21):
+    """Texts and copies with more and more words replaced, of similarities from 0.5 to 1, and unrelated ones."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    texts = []
+    for i in range(120):
+        own = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        texts.append(" ".join(own))
+        changed = list(own)
+        for at in rng.sample(range(len(own)), int(len(own) * rng.choice([0.002, 0.01, 0.02, 0.03, 0.05, 0.12]))):
+            changed[at] = rng.choice(words)
+        texts.append(" ".join(changed))
+    return texts
+
+
+def test_similar_groups_reach_the_similarity(spark):
+    texts = edited_copies()
+    got = rows(simhash.similar_groups(documents(spark, [*texts, None, "", "one two", "one two"]), ["doc_id"]))
+    pairs = [(i, jaccard(texts[i], texts[i + 1])) for i in range(0, len(texts), 2)]
+    near, far = [i for i, s in pairs if s >= 0.8], [i for i, s in pairs if s < 0.5]
+    assert len(near) > 40 and len(far) > 10 and sum(0.8 <= s < 0.9 for _, s in pairs) > 10
+    assert sum(got[i + 1].component_id == i for i in near) >= 0.95 * len(near)
+    assert all(got[i + 1].component_id == i + 1 for i in far) and all(got[i].component_id == i for i, _ in pairs)
+    n = len(texts)
+    assert [got[n + k].component_id for k in range(4)] == [n, n, n + 2, n + 2]
+
+
+def test_wide_links_are_those_in_reach(spark, monkeypatch):
+    """With slices of few rows, and many texts around one: the components are those of all pairs in reach that share a bucket."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for i in range(90):
+        own = list(base)
+        own[rng.randrange(60)] = f"x{i % 7}"
+        texts.append(" ".join(own) if i % 3 else " ".join(rng.choice(base) for _ in range(40)))
+    made = [simhash.wide_fingerprint(t.encode()) for t in texts]
+    radius, n = simhash.radius_of(0.8), len(texts)
+    as_int = [int.from_bytes(p, "little") for p, _ in made]
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for a in range(n):
+            for b in range(a):
+                if (as_int[a] ^ as_int[b]).bit_count() <= radius and (as_int[a] == as_int[b] or len(set(made[a][1]) & set(made[b][1])) > 1):
+                    root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    wide = simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda prints, r: wide(prints, r, 7))
+    got = rows(simhash.similar_groups(documents(spark, texts), ["doc_id"]))
+    assert [got[i].component_id for i in range(n)] == root
+
+
 def brute_removal(texts, window=35):
     split = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))

@@ -9,11 +9,11 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from skeinflow.llm import mixing, pii, pu_quality, queries
+from skeinflow.llm import mixing, pii, pu_quality, queries, simhash
 from skeinflow.llm.quality_rules import Words
 from skeinflow.llm.texts import table
 
-from .test_operators import brute_pii, brute_simhash
+from .test_operators import brute_pii
 
 NAMES = [f"op{n}_" for n in range(1, 11)]
 
@@ -46,20 +46,19 @@ def test_pipeline_stage_by_stage(spark, sf):
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     before = rows(docs)
     model = pu_quality.train(docs, table(spark, sf, "labels"))
-
-
     kept = [r for r in before if model.scores(np.array([pu_quality.measure((r[1] or "").encode(), Words())]))[0] >= 0.3]
     one = stages["quality"](spark, docs, sf)
     assert one.columns == corpus_pipeline.COLUMNS and rows(one) == kept
 
-    prints = {r[0]: brute_simhash(r[1]) for r in kept}
-    root = {i: i for i in prints}
+    made = {r[0]: simhash.wide_fingerprint((r[1] or "").encode()) for r in kept}
+    as_int, radius = {i: int.from_bytes(p, "little") for i, (p, _) in made.items()}, simhash.radius_of(0.8)
+    root = {i: i for i in made}
     changed = True
     while changed:
         changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 4 and root[a] != root[b]:
+        for a in made:
+            for b in made:
+                if root[a] != root[b] and (as_int[a] ^ as_int[b]).bit_count() <= radius and (as_int[a] == as_int[b] or len(set(made[a][1]) & set(made[b][1])) > 1):
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
     kept = [r for r in kept if root[r[0]] == r[0]]
@@ -85,3 +84,30 @@ def test_pipeline_stage_by_stage(spark, sf):
     five = stages["encode"](spark, spark.createDataFrame(mixed, docs.schema), sf)
     assert sorted((r.doc_id, r.ids_sha256) for r in five.collect()) == want
     assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+def odd_rows(spark, docs):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with names that operators use."""
+    long = "the long river ran down to the old stone house " * 30_000
+    rows = [(1, None, None, None, None), (None, "no id", "en", "a", 5), (None, "no id", "en", "a", 5), (2, "", "en", None, 0), (3, long, "en", "a", len(long)), (4, "same words here", None, "b", 15), (4, "same words here", None, "b", 15)]
+    d = spark.createDataFrame(rows, docs.schema)
+    return d.selectExpr("*", *(f"1 AS {c}" for c in ("score", "predicted", "size", "taken", "fp", "print", "least", "row", "times", "ids", "_by", "_h", "_g", "key", "spans")))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_empty_tables(spark, sf, name):
+    docs, stage = table(spark, sf, "documents"), dict(corpus_pipeline.STAGES)[name]
+    d = odd_rows(spark, docs)
+    assert stage(spark, d.where("doc_id < 0"), sf).count() == 0
+    got = stage(spark, d, sf)
+    found = sorted((r.doc_id or -1 for r in got.collect()))
+    if name != "encode":
+        assert got.columns == corpus_pipeline.COLUMNS
+    if name in ("personal_data", "encode"):
+        assert found == [-1, -1, 1, 2, 3, 4, 4]
+    if name == "near_dedup":  # 1 and 2 are empty alike; rows without an id stay
+        assert found == [-1, -1, 1, 3, 4]
+    if name == "mix":  # no words, no sources to weigh: these stay
+        assert {1, 2} <= set(found)
+    if name == "personal_data":
+        assert {r.doc_id: r.text for r in got.collect() if r.doc_id}[1] is None
