@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each of which works on all that the one before it kept.
 
-Quality classifier (documents that it rejects go), SimHash near-dedup (of each group of near-duplicates the document of
-least id stays), personal data (replaced by its kind in angle brackets), mixing sources to target weights (a document that
+Quality classifier (documents that it rejects go), SimHash near-dedup (groups of a similarity of 0.8 or more of five-word shingles; of
+each the document of least id stays), personal data (replaced by its kind in angle brackets), mixing sources to target weights (a document that
 the mix takes no word of goes, one that it takes more than once stands once for each pass and part of a pass), and BPE
 encoding. Each stage's result is written as Parquet to the folder that the cluster shares, and read again as the next
 stage's documents. All but the last return the columns of documents; n_chars follows the text.
@@ -32,8 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of least id, and of its rows with that id the first by text. Rows without an id stay."""
     # fingerprints and components carry ids only; the texts are dealt once, for the join and the group alike
-    # fingerprints and components carry ids only; the texts are dealt once, for the join and the group alike
-    found = simhash.near_duplicates(docs, ["doc_id"])
+    found = simhash.similar_groups(docs, ["doc_id"])
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     rows = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
     one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
@@ -48,9 +47,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes words of it, parts of a pass counted as one; documents of no words stay."""
-    taken = mixing.mix(docs, COLUMNS)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
-    return taken.withColumn("times", times).where("times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("_")).select(*COLUMNS)
+    # the mix sees a key of each row, not its text; rows alike in all columns are one key, and their passes add up
+    own = [F.struct(*COLUMNS), F.xxhash64(F.lit("mix"), *COLUMNS).alias("_h")]
+    keyed = docs.select(own[0].alias("row"), F.xxhash64(*COLUMNS).alias("_g"), own[1])
+    taken = mixing.mix(docs.select("doc_id", "text", "source", F.xxhash64(*COLUMNS).alias("_g"), own[1]), ["_g", "_h"])
+    passes = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
+    times = taken.groupBy(F.col("_g").alias("g"), F.col("_h").alias("h")).agg(F.sum(passes).cast("int").alias("times")).where("times > 0")
+    rows = keyed.groupBy("_g", "_h").agg(F.first("row").alias("row"))
+    met = rows.join(times, (F.col("_g") == F.col("g")) & (F.col("_h") == F.col("h")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("_")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
