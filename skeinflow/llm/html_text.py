@@ -1,12 +1,18 @@
-"""Main text of web pages: boilerplate elements and site templates go, blocks of the article stay.
+"""Main text of web pages: site templates and boilerplate elements go, blocks of the article stay.
 
-A page is read into blocks with one pass over its tags, closing what HTML lets authors leave open. Elements that are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments go by element, role or name; if
-the page marks an article (or a main part), only that counts. Every element with text left has a hash of its subtree.
-Spark counts, for each host, on how many different pages (by their whole text, so copies of a page count once) a
-subtree stands; one on at least MIN_PAGES pages and on at least MIN_SHARE of the host's is the host's template. A block
-goes if template subtrees cover all of its text, so a label or link that recurs takes no paragraph with it.
-A host's list of these is bounded: there are at most 1 / MIN_SHARE times as many as an average page has subtrees.
+A page is read into blocks with one pass over its tags, closing what HTML lets authors leave open. Every element with
+text, whatever it is, has a hash of its subtree. Spark counts, for each host, on how many different pages (by their main
+text, so copies of a page count once) a subtree stands; one on at least MIN_PAGES pages and on at least MIN_SHARE of the
+host's is the host's template. A block goes if template subtrees cover all of its text, so a label or link that recurs
+takes no paragraph with it. A host's list of these is bounded: there are at most 1 / MIN_SHARE times as many as an
+average page has subtrees.
+
+The second step needs no other pages, and so serves hosts that have few: elements that are menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or comments go by element, role or name; if the page marks an article
+(or a main part), only that counts.
+
+Work grows with the page's length alone: no end of a tag is looked for twice, and elements stand at most DEPTH deep (one
+deeper ends the one that it stands in, as in browsers). A quote that is never closed ends with its tag.
 
 A null or empty page has an empty text. A null url, or one without a host, belongs to the empty host. Repeated rows give
 repeated results and count as one page. An empty table gives no rows.
@@ -16,6 +22,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -30,6 +38,7 @@ MIN_SHARE = 0.5
 #: Template hashes (of all hosts) that are sent to every task; with more, pages are dealt to SLICES of their host and joined.
 SENT_HASHES = 500_000
 SLICES = 64
+DEPTH = 512
 
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,18 +59,47 @@ NAMES = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_TO_END = re.compile(r"""[^>"']*>""")
+_VALUE_OR_END = re.compile(r"""=\s*(["'])|>""")
 _OPEN = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class _Element:
-    __slots__ = ("tag", "gone", "inside", "hashed", "held", "shape", "first")
+    __slots__ = ("tag", "gone", "inside", "hashed", "shape", "first", "p")
 
     def __init__(self, tag: str, gone: bool, inside: bool, shape: bytes, first: int = 0):
         self.tag, self.gone, self.inside, self.shape, self.first = tag, gone, inside, shape, first
-        self.hashed: list[bytes] = []
-        self.held: list[int] = []  # blocks that it holds text of
+        self.hashed: list[bytes] = []  # texts and subtrees that it holds
+        self.p = 0  # where on the stack the paragraph stands that a block would end
+
+
+class _Quotes:
+    """Where a quote closes; that there is none further on is found out once."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, {}
+
+    def close(self, quote: str, at: int) -> int:
+        if quote in self.none:
+            return -1
+        found = self.page.find(quote, at)
+        if found < 0:
+            self.none[quote] = True
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place after the > that ends the tag whose attributes start at `at`; 0 if the page ends first."""
+        m = _TO_END.match(self.page, at)
+        while not m:
+            m = _VALUE_OR_END.search(self.page, at)
+            if not m:
+                return 0
+            if m[1]:
+                shut = self.close(m[1], m.end())
+                at, m = (shut if shut >= 0 else m.end()) + (shut >= 0), None
+        return m.end()
 
 
 def _is_gone(tag: str, attributes: str, inside: bool) -> tuple[bool, bytes]:
@@ -82,24 +120,25 @@ def _is_gone(tag: str, attributes: str, inside: bool) -> tuple[bool, bytes]:
     return any(NAMES.match(n) or n == "header" and not inside for n in names if n), shape
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, list[int], range]], list[int]]:
-    """(blocks of text in page order, subtrees (hash, blocks it holds, runs of text it holds) of elements whose text is in them, block of each run of text)."""
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], list[int]]:
+    """(blocks of text in page order, subtrees (hash, first run of text, the run after its last), block of each run: -1 for one that goes by its element)."""
     blocks: list[list[str]] = [[]]
     in_article: list[bool] = [False]
-    subtrees: list[tuple[int, list[int], range]] = []
+    subtrees: list[tuple[int, int, int]] = []
     block_of: list[int] = []
     stack = [_Element("", False, False, b"")]
+    open_tags: Counter[str] = Counter()
+    quotes = _Quotes(page)
 
     def text(raw: str) -> None:
         top = stack[-1]
-        if not top.gone and raw:
+        if raw:
             said = html.unescape(raw) if "&" in raw else raw
-            blocks[-1].append(said)
+            if not top.gone:
+                blocks[-1].append(said)
             if not said.isspace():
-                block_of.append(len(blocks) - 1)
+                block_of.append(-1 if top.gone else len(blocks) - 1)
                 top.hashed.append(" ".join(said.split()).encode("utf-8", "surrogatepass"))
-                if not top.held or top.held[-1] != len(blocks) - 1:
-                    top.held.append(len(blocks) - 1)
 
     def split() -> None:
         if blocks[-1]:
@@ -108,59 +147,63 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, list[int], range]], lis
         else:
             in_article[-1] = stack[-1].inside
 
+    def start(e: _Element) -> None:
+        while len(stack) > DEPTH:
+            close()
+        e.p = len(stack) if e.tag == "p" else 0 if e.tag in BLOCKS or e.tag == "button" else stack[-1].p
+        stack.append(e)
+        open_tags[e.tag] += 1
+
     def close() -> None:
         e = stack.pop()
-        if not e.gone:
-            if e.held:
-                h = xxhash.xxh64(e.tag.encode() + b"\0" + e.shape + b"\0" + b"\1".join(e.hashed)).digest()
-                subtrees.append((int.from_bytes(h, "little", signed=True), e.held, range(e.first, len(block_of))))
-                stack[-1].hashed.append(h)
-                stack[-1].held += [x for x in e.held if not stack[-1].held or x > stack[-1].held[-1]]
+        open_tags[e.tag] -= 1
+        if e.hashed:
+            h = xxhash.xxh64(e.tag.encode("utf-8", "surrogatepass") + b"\0" + e.shape + b"\0" + b"\1".join(e.hashed)).digest()
+            subtrees.append((int.from_bytes(h, "little", signed=True), e.first, len(block_of)))
+            stack[-1].hashed.append(h)
         if e.tag in BLOCKS:
             split()
 
+    def close_to(k: int) -> None:
+        while len(stack) > k:
+            close()
+
     at = 0
     while True:
         m = _TAG.search(page, at)
-        if not m:
+        end = quotes.tag_end(m.end()) if m and m[2] else m.end() if m else 0
+        if not end:
             open_tag = _OPEN.search(page, at)  # a tag that the page's end cuts off is no text
-            text(page[at : open_tag.start()] if open_tag else page[at:])
+            text(page[at : open_tag.start()] if open_tag else page[at : m.start()] if m else page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
+        at = end
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:  # an end tag closes up to its start, if that is open
             if tag == "br":
                 text(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k:
-                        close()
-                    break
+            if open_tags[tag]:
+                close_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag in BLOCKS or stack[k].tag == "button":
-                    break
+        attributes = page[m.end() : end - 1]
+        if tag in ENDS_P and stack[-1].p:
+            close_to(stack[-1].p)
         if tag in CLOSES:
-            ended, stops = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops:
-                    break
-                if stack[k].tag in ended.split():
-                    while len(stack) > k:
-                        close()
+            ended, stops = CLOSES[tag][0].split(), CLOSES[tag][1]
+            if any(open_tags[t] for t in ended):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in stops:
+                        break
+                    if stack[k].tag in ended:
+                        close_to(k)
         top = stack[-1]
         inside = top.inside or tag in ("article", "main")
-        gone, shape = (True, b"") if top.gone else _is_gone(tag, m[3], top.inside)
+        gone, shape = _is_gone(tag, attributes, top.inside)
+        gone = gone or top.gone
         if tag in BLOCKS and not gone:
-            stack.append(_Element(tag, gone, inside, shape, len(block_of)))
+            start(_Element(tag, gone, inside, shape, len(block_of)))
             split()
             if tag == "hr":
                 close()
@@ -169,31 +212,38 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, list[int], range]], lis
             if tag == "br":
                 text(" ")
             continue
-        if m[3].endswith("/") and (top.gone or tag in ("svg", "math")):
+        if attributes.endswith("/") and (top.gone or tag in ("svg", "math")):
             continue
-        stack.append(_Element(tag, gone, inside, shape, len(block_of)))
         if gone and tag in BLOCKS and not top.gone:
-            gone_block = stack.pop()
             split()
-            stack.append(gone_block)
+        start(_Element(tag, gone, inside, shape, len(block_of)))
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else len(page)
-            if not end:
+            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            if not shut:
                 break
-    while len(stack) > 1:
-        close()
+            at = shut.start()
+    close_to(1)
     marked = any(in_article[i] and b for i, b in enumerate(blocks))
     told = [" ".join("".join(b).split()) if in_article[i] or not marked else "" for i, b in enumerate(blocks)]
-    return told, [(h, [i for i in held if told[i]], runs) for h, held, runs in subtrees], block_of
+    return told, subtrees, block_of
 
 
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     """Blocks joined by line ends, without those all of whose text template subtrees hold."""
     told, subtrees, block_of = parse(page)
-    known = {r for h, held, runs in subtrees if h in templates and held for r in runs} if templates else ()
-    rest = {i for r, i in enumerate(block_of) if r not in known}
-    return "\n".join(b for i, b in enumerate(told) if b and (i in rest or not known))
+    depth = [0] * (len(block_of) + 1)  # in how many template subtrees each run lies, as steps
+    for h, first, last in subtrees if templates else ():
+        if h in templates:
+            depth[first] += 1
+            depth[last] -= 1
+    rest = {i for i, within in zip(block_of, accumulate(depth)) if not within}
+    return "\n".join(b for i, b in enumerate(told) if b and i in rest)
+
+
+def parts(told: list[str], subtrees: list[tuple[int, int, int]], block_of: list[int]) -> list[int]:
+    """Hashes of a page's subtrees, but for those that hold the whole main text: these are the page, not a part of it."""
+    said = [r for r, i in enumerate(block_of) if i >= 0 and told[i]]
+    return sorted({h for h, first, last in subtrees if said and not (first <= said[0] and said[-1] < last)})
 
 
 def host(url: str):
@@ -211,9 +261,7 @@ def site_templates(pages: DataFrame, url: str = "url", page: str = "html", min_p
         for batch in batches:
             parsed = [parse(x) for x in _pages(batch, 1)]
             whole = [xxhash.xxh64_intdigest("\n".join(filter(None, told)).encode("utf-8", "surrogatepass")) - (1 << 63) for told, _, _ in parsed]
-            # a subtree within which the whole text lies is the page, not a part of it
-            parts = [sorted({h for h, held, _ in trees if held and len(held) < sum(map(bool, told))}) for told, trees, _ in parsed]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["host", "whole", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array([parts(*x) for x in parsed], pa.list_(pa.int64()))], names=["host", "whole", "parts"])
 
     read = pages.select(host(url).alias("host"), F.col(page).cast("string"))
     different = read.mapInArrow(subtrees, "host string, whole bigint, parts array<bigint>").groupBy("host", "whole").agg(F.first("parts").alias("parts"))

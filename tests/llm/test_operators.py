@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -267,7 +268,7 @@ def test_divergence_rejects_another_mix(spark):
     [
         (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<b>b</b>\n c</p><p>d", "ab c\nd"), ("<div class=ad>x</div><div>y</div>", "y"),
         ("<article><h1>T</h1><p>a<p>b<aside>no</aside><ul><li>1<li>2</ul></article><p>out", "T\na\nb\n1\n2"), ("<script>if(a<b)</script>ok<style>p</style>", "ok"),
-        ("<nav>x<p>y</nav><main><form>f</form><p>z<div id=comments>c</div></main><footer>f", "z"), ("<p>cut <a hre", "cut"), ("<!-- <p>no --><p>1 < 2", "1 < 2"), ("<table><tr><td>a<td>b<tr><td>c", "a\nb\nc"),
+        ("<nav>x<p>y</nav><main><form>f</form><p>z<div id=comments>c</div></main><footer>f", "z"), ("<p>cut <a hre", "cut"), ("<!-- <p>no --><p>1 < 2", "1 < 2"), ("<p title=\"a>b\">c</p><p title='open>d</p><p>e", "c\nd\ne"), ('<p a"b>x</p><p>it\'s "so">', "x\nit's \"so\">"), ("<table><tr><td>a<td>b<tr><td>c", "a\nb\nc"),
     ],
 )
 def test_main_text(page, text):
@@ -292,6 +293,50 @@ def test_inline_text_that_recurs_takes_no_paragraph(spark):
     assert got == {i: f"news {i} by Jane Roe today Note\nmore {i}" for i in range(12)}
 
 
+def test_templates_are_the_subtrees_that_recur(spark):
+    """Random pages of nested boxes against counts of the boxes as written."""
+    rng = random.Random(8)
+    words = "river stone house light winter paper garden voice".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    common = [f"<section><p>{say(4)} {k}</p><p>{say(3)}</p></section>" for k in range(4)] + [f"<p>{say(5)} all</p>" for _ in range(3)]
+    pages, bodies = [], {}
+    for i in range(60):
+        host = "a.org" if i % 3 else "b.org"
+        boxes = [rng.choice(common) if rng.random() < 0.6 else f"<div><p>{say(6)} {i}</p></div>" for _ in range(rng.randint(2, 9))]
+        pages.append((i, f"https://{host}/{i}", f"<body><p>first {i}</p>{''.join(boxes)}</body>"))
+        bodies[i] = (host, boxes)
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(d, ["page_id"], min_pages=5, min_share=0.4).collect()}
+    of = Counter(h for h, _ in bodies.values())
+    on = Counter((h, b) for h, boxes in bodies.values() for b in set(boxes))
+    on_p = Counter((h, p) for h, boxes in bodies.values() for p in {p for b in boxes for p in re.findall("<p>.*?</p>", b)})
+    often = lambda n, h: n >= 5 and n >= 0.4 * of[h]
+    dropped = 0
+    for i, (h, boxes) in bodies.items():
+        kept = [f"first {i}"]
+        for b in boxes:
+            for p in re.findall("<p>.*?</p>", b):
+                if often(on[h, b], h) or often(on_p[h, p], h):
+                    dropped += 1
+                else:
+                    kept.append(p[3:-4])
+        assert got[i] == "\n".join(kept), i
+    assert dropped > 50
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<a href=\"x>y " * 80_000, "<a title='b>c</a> " * 60_000, "<ul><li>" + "<b>" * 5_000 + "<li></li>" * 100_000, "<p><button>" + "<i>" * 100_000 + "<hr>" * 100_000, "<div>x</span>" * 80_000, "<" * 1_000_000, "<!--" * 250_000])
+def test_long_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_text.main_text(page, frozenset([1]))
+    assert time.process_time() - began < 15
+
+
+def test_pages_of_odd_columns(spark):
+    d = spark.createDataFrame([(1, None, "<p>a</p>", "x", "y"), (1, None, "<p>a</p>", "x", "y"), (2, "no host", None, None, None), (3, "http://h/", "<p>" + "long " * 200_000, "t", "u")], "page_id long, url string, html string, text string, templates string")
+    got = sorted((r[0], len(r[1])) for r in html_text.extract(d, ["page_id"]).collect())
+    assert got == [(1, 1), (1, 1), (2, 0), (3, 999_999)]
+
+
 def brute_targets(sizes):
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
     left, target = sum(sizes.values()), {}
