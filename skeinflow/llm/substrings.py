@@ -6,8 +6,9 @@ around hits are windows of W words compared: those whose words recur are joined
 
 Equal texts are taken as one first (with the number of copies), so each is looked at once. Words are hashed; probes
 travel as packed arrays, bucketed by hash, with two bytes for the place and four for what the bucket doesn't say
-(a false hit costs a comparison, nothing else). The comparison uses 64-bit window hashes and a bucket from other bits.
-A hash that recurs within one chunk of texts is settled there and sent once, so a passage that is everywhere gives no
+(a false hit costs a comparison, nothing else). Windows are compared by 96 bits of two rolling hashes with different
+multipliers: among 10**12 different windows a chance of 10**-5 that any two agree. A repeat is extended window by window,
+not from one pair of places to the next, so a passage that is everywhere costs no more for it. A hash that recurs within one chunk of texts is settled there and sent once, so a passage that is everywhere gives no
 more rows than there are chunks. Nothing is paired: buckets are counted, and only the dealt hashes meet.
 
 Null and empty texts have no words and lose none. Texts with fewer than W words lose none. Repeated rows are copies:
@@ -34,6 +35,9 @@ WINDOW = 35
 CHUNK_WORDS = 1 << 20
 BUCKET_WORDS = 1 << 23
 _M = 0x9E3779B97F4A7C15
+_M2 = 0xD6E8FEB86659FD93
+#: What two windows are compared by.
+_WINDOW_HASH = np.dtype([("a", "<u8"), ("b", "<u4")])
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -45,7 +49,7 @@ class WordHashes(dict):
         return h
 
 
-def rolling(words: np.ndarray, width: int) -> np.ndarray:
+def rolling(words: np.ndarray, width: int, multiplier: int = _M) -> np.ndarray:
     """Polynomial hash of each run of `width` words, by doubling."""
     n = len(words) - width + 1
     if n <= 0:
@@ -53,12 +57,12 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     out, have, power, base = None, 0, words, 1
     while True:
         if width >> int(math.log2(base)) & 1:
-            m = np.uint64(pow(_M, base, 1 << 64))
+            m = np.uint64(pow(multiplier, base, 1 << 64))
             out = power[: len(words) - base + 1] if out is None else out[: len(words) - have - base + 1] * m + power[have : len(words) - base + 1]
             have += base
         if 2 * base > width:
             return out[:n]
-        power = power[: len(words) - 2 * base + 1] * np.uint64(pow(_M, base, 1 << 64)) + power[base : len(words) - base + 1]
+        power = power[: len(words) - 2 * base + 1] * np.uint64(pow(multiplier, base, 1 << 64)) + power[base : len(words) - base + 1]
         base *= 2
 
 
@@ -94,13 +98,13 @@ class Chunk:
         return b"".join(body + ([values.tobytes()] if values is not None else []))
 
 
-def unpacked(blob: bytes, kind: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray | None]:
+def unpacked(blob: bytes, kind: str | np.dtype | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray | None]:
     """(keys in a row, counts, places, values)."""
     texts, n, small = struct.unpack_from("<III", blob)
     at = 12 + 16 * texts
     counts = np.frombuffer(blob, "<u4", texts, at)
     places = np.frombuffer(blob, "<u2" if small else "<u4", n, at + 4 * texts)
-    values = np.frombuffer(blob, kind, n, at + 4 * texts + (2 if small else 4) * n) if kind else None
+    values = np.frombuffer(blob, kind, n, at + 4 * texts + (2 if small else 4) * n) if kind is not None else None
     return blob[12:at], counts, places, values
 
 
@@ -180,13 +184,17 @@ def _slices(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]
     return order, [(int(b[s]), int(s), int(e)) for s, e in zip(first, np.r_[first[1:], len(b)])]
 
 
-def _once(h: np.ndarray, prefer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places to send: one for each hash, a preferred one if any; mask of hashes that recur here)."""
-    order = np.lexsort((~prefer, h))
-    s = h[order]
-    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+def _once(h: np.ndarray, prefer: np.ndarray | None = None, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places to send: one for each hash (h, more), a preferred one if any; mask of hashes that recur here)."""
+    order = np.lexsort([x for x in (None if prefer is None else ~prefer, more, h) if x is not None])
+    new = np.zeros(len(h), bool)
+    if len(h):
+        new[0] = True
+        for x in (h, more):
+            if x is not None:
+                new[1:] |= x[order][1:] != x[order][:-1]
     recurs = np.zeros(len(h), bool)
-    recurs[order] = ~new | np.r_[~new[1:], False] if len(s) else new
+    recurs[order] = ~new | np.r_[~new[1:], False] if len(h) else new
     return np.sort(order[new]), recurs
 
 
@@ -269,12 +277,15 @@ def window_rows(batches, window: int, block: int, buckets: int):
         at, h = at[chosen], h[chosen]
         if not len(at):
             continue
-        send, recurs = _once(h, np.zeros(len(h), bool))
+        h2 = (mixed(rolling(chunk.words, window, _M2)[at]) >> np.uint64(32)).astype("<u4")
+        send, recurs = _once(h, more=h2)
         rows = [(int(h[0] % np.uint64(buckets)), SETTLED, chunk.packed(at[recurs], None))] if recurs.any() else []
         at, h = at[send], h[send].astype("<u8")
+        both = np.empty(len(h), _WINDOW_HASH)
+        both["a"], both["b"] = h, h2[send]
         order, slices = _slices((mixed(h ^ np.uint64(_M)) >> np.uint64(20)).astype(np.uint64).__mod__(np.uint64(buckets)).astype(np.int32))
         for b, s, e in slices:
-            rows.append((b, PROBES, chunk.packed(at[order[s:e]], h[order[s:e]])))
+            rows.append((b, PROBES, chunk.packed(at[order[s:e]], both[order[s:e]])))
         yield _rows(rows)
 
 
@@ -283,13 +294,11 @@ def repeat_rows(batches, destinations: int):
     out = Outbox(destinations)
 
     def settle(held):
-        parts = [unpacked(p, "<u8") for p in held]
-        order = np.sort(np.concatenate([x[3] for x in parts]))
-        twice = np.unique(order[1:][order[1:] == order[:-1]])
-        if len(twice):
-            for keys, n, places, own in parts:
-                at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
-                out.add(keys, n, places, np.flatnonzero(twice[at] == own))
+        parts = [unpacked(p, _WINDOW_HASH) for p in held]
+        values = np.concatenate([x[3] for x in parts])
+        _, recurs = _once(np.ascontiguousarray(values["a"]), more=np.ascontiguousarray(values["b"]))
+        for (keys, n, places, own), here in zip(parts, np.split(recurs, np.cumsum([len(x[3]) for x in parts])[:-1])):
+            out.add(keys, n, places, np.flatnonzero(here))
 
     bucket, held = None, []
     for batch in batches:
