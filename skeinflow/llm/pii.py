@@ -7,9 +7,10 @@ overlap, boundaries and kinds at once. The weights maximise the conditional like
 all segmentations) of a seeded set of written examples; they are fitted once, when a query is built.
 
 Only stretches around tokens with a digit or an @ can hold an entity, so all other text is skipped. The base patterns'
-spans always stay; the field's spans are added where they overlap none of them.
+spans always stay; the field's spans are added where they overlap none of them: secrets (of one token or of several that
+stand together, so their prefix belongs to them), phones without a plus, social security numbers and bank accounts.
 
-Null and empty texts have no spans. Offsets are code points of the whole text, ends exclusive. Repeated rows give
+Null and empty texts have no spans, an empty table gives no rows; work grows with the text's length. Offsets are code points of the whole text, ends exclusive. Repeated rows give
 repeated results.
 """
 
@@ -19,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .texts import map_texts, table
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
 MOST_TOKENS = 24
 #: Tokens to either side of one with a digit or @ that belong to its stretch.
 AROUND = 6
@@ -40,7 +42,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\W_]+|_+|[^\w\s]")
 _TRIGGER = re.compile(r"[^\W_]*[0-9][^\W_]*|@")
-_KEYWORD = re.compile(r"(?i)^(?:token|secret|password|passwd|pwd|apikey|key|bearer|auth|credential)s?$")
+_KEYWORD = re.compile(r"(?i)^(?:token|secret|password|passwd|pwd|apikey|api|key|bearer|auth|credential|access|private|jwt)s?$")
+#: How keys of well-known kinds start.
+_PREFIX = re.compile(r"(?:gh[opsur]_|github_pat_|glpat-|sk[-_]|[spr]k_live_|xox[abp]-|AKIA|ASIA|AIza|hf_|npm_|eyJ)")
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]*$")
 
 
 def luhn(digits: str) -> bool:
@@ -113,6 +118,12 @@ def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in (s.count(c) for c in set(s)))
 
 
+def _mod97(s: str) -> bool:
+    """The check of bank account numbers: four characters moved to the end, letters as numbers."""
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
     """Features of the whole span of tokens i to j (exclusive)."""
     start, end = tokens[i][0], tokens[j - 1][1]
@@ -131,6 +142,13 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         out.append("plus")
     if re.fullmatch(r"\+?[0-9() .-]+", s):
         out.append("dialled")
+        groups = re.findall(r"[0-9]+", s)
+        if len(groups) <= 5:
+            out.append("groups:" + "-".join(str(len(g)) for g in groups))
+        if len(set(re.findall(r"[^0-9]", s))) == 1:
+            out.append("parted:" + re.search(r"[^0-9]", s).group())
+        if [len(g) for g in groups] == [3, 2, 4]:
+            out.append("no-area" if groups[0] in ("000", "666") or groups[0] > "899" or groups[1] == "00" or groups[2] == "0000" else "area")
         if re.search(r"\([0-9]{2,4}\)", s):
             out.append("area-code")
         if re.search(r"[0-9]{3}[-. ][0-9]{4}$", s):
@@ -145,11 +163,26 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         out.append("space")
     if j - i == 1:
         out.append("single")
-        if len(s) >= 16 and digits and re.search("[A-Za-z]", s):
+    if digits and not at and len(s) >= 16 and not re.search(r"\s", s) and re.search("[A-Za-z]", s):
+        parts = re.split(r"[-_.]+", s)
+        longest = max(parts, key=len)
+        mixed = any(map(str.isdigit, longest)) and any(map(str.isalpha, longest))
+        if len(longest) >= 16 and mixed:
             out.append("long-mixed")
-            out.append("high-entropy" if _entropy(s) > 3 else "low-entropy")
-            if re.fullmatch(r"[0-9a-fA-F]{32,}", s):
+            out.append("high-entropy" if _entropy(longest) > 3 else "low-entropy")
+            if re.fullmatch(r"[0-9a-fA-F]{32,}", longest):
                 out.append("hex")
+        elif all(p.isalpha() or p.isdigit() for p in parts):
+            out.append("words-and-numbers")
+        if re.search("[a-z]", longest) and re.search("[A-Z]", longest) and mixed:
+            out.append("three-classes")
+        if _PREFIX.match(s):
+            out.append("known-prefix")
+        if len(parts) > 1:
+            out.append(f"parts:{min(len(parts), 5)}")
+    if _IBAN_START.match(text[tokens[i][0] : tokens[i][1]]) and re.fullmatch(r"[A-Z0-9 ]+", s):
+        n = len(s.replace(" ", ""))
+        out.append("account" if 15 <= n <= 34 and _mod97(s) else "no-account")
     before = [text[a:b] for a, b in tokens[max(0, i - 4) : i]]
     if any(map(_KEYWORD.match, before)):
         out.append("after-keyword")
@@ -172,24 +205,32 @@ def candidates(text: str, tokens: list[tuple[int, int]]):
             continue
         n_digits = dots = 0
         held_at = letters = False
+        account, joined = bool(_IBAN_START.match(first)), True
+        opens = not tokens[i][0] or not (text[tokens[i][0] - 1].isalnum() or text[tokens[i][0] - 1] in "-_.")
         for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
             s, e = tokens[j - 1]
             spaced = j - i > 1 and s > tokens[j - 2][1]
             if spaced and s - tokens[j - 2][1] > 1:  # at most one space within a span
                 break
             c = text[s:e]
+            joined &= not spaced and (c[0].isalnum() or c[0] in "-_.")
+            account &= c.isalnum() and c.upper() == c
             held_at |= c == "@"
             letters |= any(x.isalpha() for x in c)
             n_digits += sum("0" <= x <= "9" for x in c)
             dots += c == "."
             if spaced and (held_at or not n_digits and first not in "+("):
                 break  # no spaces in what has an @ or no digits yet
-            if j - i > 1 and not held_at and n_digits > 19:
+            if j - i > 1 and not held_at and n_digits > 19 and not account and not joined:
                 break  # too long for any number
             if not c[-1].isalnum():
                 continue
             if held_at or j - i == 1 and letters and n_digits and e - s >= 16:
                 yield i, j
+            elif joined and opens and letters and n_digits and e - tokens[i][0] >= 16 and not (e < len(text) and (text[e].isalnum() or text[e] == "_")):
+                yield i, j
+            elif account and 15 <= e - tokens[i][0] - (j - i - 1) <= 34:
+                yield i, j
             elif not letters and (n_digits >= 7 or n_digits >= 4 and dots == 3):  # digits and signs only
                 yield i, j
 
@@ -226,7 +267,7 @@ def best(text: str, tokens: list[tuple[int, int]], weights: dict[tuple[str, str]
     return out[::-1]
 
 
-def examples(n: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Written examples: (text, spans). Half of what looks like an entity isn't one."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -239,17 +280,37 @@ def examples(n: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int, int
             if luhn(x) == valid:
                 return x if rng.random() < 0.7 else "-".join(x[i : i + 4] for i in range(0, len(x), 4))
 
+    mixed = lambda k: d(1) + rng.choice("ABCDEFGHJKLM") + rng.choice("abcdefghjk") + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(k - 3))
+
+    def secret() -> str:
+        which = rng.random()
+        if which < 0.45:
+            return hexed(rng.choice((32, 40, 40, 64))) if which < 0.35 else hexed(40).upper()
+        if which < 0.8:
+            return rng.choice(["ghp_", "gho_", "glpat-", "sk-", "sk-proj-", "sk_live_", "xoxb-", "AKIA", "hf_", "npm_"]) + mixed(rng.choice((20, 24, 36, 40)))
+        return f"eyJ{mixed(20)}.eyJ{mixed(40)}.{mixed(30)}" if which < 0.9 else mixed(rng.choice((24, 32)))
+
+    def account() -> str:
+        country, rest = rng.choice(["DE", "FR", "GB", "ES", "NL"]), d(18)
+        x = f"{country}{next(c for c in range(2, 99) if _mod97(f'{country}{c:02d}{rest}')):02d}{rest}"
+        return x if rng.random() < 0.5 else " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+
     quad = lambda most: ".".join(str(rng.randint(0, most)) for _ in range(4))
     made = {
         "email": lambda: f"{word()}{rng.choice(['', '.' + d(2), '.' + word(), '_' + word()])}@{word()}{rng.choice(['', d(1)])}.{rng.choice(['example.com', 'org', 'net', 'co.uk'])}",
         "ip": lambda: quad(255),
         "card": lambda: card(True),
-        "phone": lambda: rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+{rng.randint(1, 9)}-{d(3)}-{d(3)}-{d(4)}"]),
-        "secret": lambda: hexed(rng.choice((32, 40, 40, 64))),
+        "phone": lambda: rng.choice([f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.randint(1, 9)}-{d(3)}-{d(3)}-{d(4)}"]),
+        "secret": secret,
+        "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "iban": account,
     }
     no = [
         lambda: card(False), lambda: d(rng.randint(1, 6)), lambda: f"{d(1)}.{d(1)}", f"{rng.choice('123')}.0.".format, lambda: f"{rng.randint(256, 999)}.{quad(255)[:7]}", lambda: f"{d(4)}-{d(2)}-{d(2)}",
         lambda: f"{d(2)}:{d(2)}", lambda: f"@{word()}", lambda: f"{d(3)},{d(3)}", lambda: f"{word()}{d(2)}", lambda: f"{d(1)}/{d(2)}", lambda: f"{d(20)}", lambda: f"{d(9)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(10)}", lambda: f"{d(3)} {d(3)} {d(4)}",
+        lambda: f"{word()}-{word()}-{word()}-{word()}-{d(4)}", lambda: f"{word()}_{word()}_{d(2)}_{word()}_{word()}", lambda: f"{word()}{d(1)}.{d(1)}-{word()}-{word()}.tar.gz", lambda: f"www.{word()}{d(2)}.{word()}{word()}.com",
+        lambda: f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", lambda: f"{rng.randint(900, 999)}-{d(2)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-0000", lambda: f"{d(4)}-{d(4)}", lambda: f"GB{d(2)} {d(4)} {d(4)} {d(4)} {d(3)}",
+        lambda: f"{d(2)}-{d(2)}-{d(4)}", lambda: f"{d(3)}-{d(4)}-{d(3)}",
     ]
     out = []
     for _ in range(n):
@@ -260,7 +321,7 @@ def examples(n: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int, int
                 kind = rng.choice(KINDS)
                 x = made[kind]()
                 if kind == "secret":
-                    text += rng.choice(['token = "', "api key: ", "password=", 'secret: "', "key '"])
+                    text += rng.choice(['token = "', "api key: ", "password=", 'secret: "', "key '"]) if not _PREFIX.match(x) or rng.random() < 0.5 else ""
                 spans.append((len(text), len(text) + len(x), kind))
             else:
                 x = rng.choice(no)()
@@ -310,17 +371,24 @@ def all_spans(text: str, weights: dict[tuple[str, str], float]) -> tuple[list[tu
     """(base spans, base spans and those of the field that overlap none), each by kind as listed, then start."""
     found = base_spans(text)
     base = [(k, a, b) for k in KINDS[:4] for a, b in found[k]]
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # what the base spans cover, as intervals that don't touch
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     more = []
     for tokens in stretches(text):
         for kind, a, b in best(text, tokens, weights):
-            if not any(a < y and x < b for x, y in taken if x < b):
+            at = bisect_left(starts, b)  # the last interval that starts before the span ends
+            if not at or ends[at - 1] <= a:
                 more.append((kind, a, b))
     return base, sorted({*base, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def find_pii(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Per row of df: `keep`, counts by base kind, base_sha256, spans (kind:start:end, comma-joined), redacted_text is in redact()."""
+    """Per row of df: `keep`, counts by base kind, base_sha256, spans (kind:start:end, comma-joined), n_spans (their number)."""
     weights = fitted()
     written = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -330,9 +398,10 @@ def find_pii(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         return counts | {
             "base_sha256": pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in made], pa.string()),
             "spans": pa.array([written(spans) for _, spans in made], pa.string()),
+            "n_spans": pa.array([len(spans) for _, spans in made], pa.int64()),
         }
 
-    return map_texts(df, rows_of, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", keep, text)
+    return map_texts(df, rows_of, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint", keep, text)
 
 
 def redacted(text: str, weights: dict[tuple[str, str], float]) -> str:
