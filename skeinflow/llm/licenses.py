@@ -2,10 +2,13 @@
 
 A text is lower-cased (A-Z only) and reduced to its words joined by single spaces, so each rule is a regex over
 words. A rule runs only on texts that hold its keyword. Of the detections found, one that lies inside the interval of
-a detection of higher priority (or of equal priority and greater length, or earlier in rule order at equal length) is
-suppressed. The base phrases are counted apart from that and are never suppressed.
+a detection of higher rank is suppressed, and so is one that overlaps it in part and is of the same family; rank is
+priority, then length, then (ties) rule order. What is negated ("not licensed under ...") suppresses but isn't reported.
+The base phrases are counted apart from that and are never suppressed.
 
-Null and empty texts have no words and no detections. Rows are independent: repeated rows give repeated results.
+Null and empty texts have no words and no detections; texts of any length are read whole, in time in proportion to
+their length and number of detections. Rows are independent: repeated rows give repeated results. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import re
 from functools import cache
 from typing import NamedTuple
 
+import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
 from .texts import map_texts, table
@@ -32,7 +36,7 @@ FAMILIES = [
     ("lgpl", ["gnu lesser general public license", "gnu library general public license", "lesser general public license", "gnu lgpl"], ["2", "2 1", "3"]),
     ("agpl", ["gnu affero general public license", "affero general public license", "gnu agpl"], ["1", "3"]),
     ("gfdl", ["gnu free documentation license", "free documentation license"], ["1 1", "1 2", "1 3"]),
-    ("apache", ["apache license", "apache software license", "asl"], ["1 0", "1 1", "2 0"]),
+    ("apache", ["apache license", "apache software license"], ["1 0", "1 1", "2 0"]),
     ("mpl", ["mozilla public license"], ["1 0", "1 1", "2 0"]),
     ("epl", ["eclipse public license"], ["1 0", "2 0"]),
     ("cddl", ["common development and distribution license"], ["1 0", "1 1"]),
@@ -120,7 +124,127 @@ TEXTS = [
     ("cc0", 65, "waived all copyright and related or neighboring rights"),
     ("cc", 35, "this work is licensed under a creative commons"),
     ("cc", 30, "some rights reserved"),
-    ("proprietary", 30, "all rights reserved"),
+    ("all-rights-reserved", 10, "copyright (?:c )?(?:[0-9]{4} )*(?:[^ ]+ ){0,8}all rights reserved"),
+    # permissive notices: grants
+    ("mit", 60, "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell"),
+    ("mit", 50, "permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", 45, "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", 45, "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("isc", 60, "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("isc", 55, "in no event shall the author be liable for any special direct indirect or consequential damages"),
+    ("bsd", 45, "this software is provided by the (?:copyright holders|author|regents|project) (?:and contributors )?as is and any express or implied warranties"),
+    ("bsd", 45, "in no event shall the (?:copyright (?:holder|owner)s?|regents|author|foundation|project) or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd-3-clause", 60, "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", 60, "this product includes software developed by (?:the )?university of california berkeley and its contributors"),
+    ("bsd-2-clause", 50, "the views and conclusions contained in the software and documentation are those of the authors"),
+    ("zlib", 60, "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 55, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("zlib", 50, "this notice may not be removed or altered from any source distribution"),
+    ("libpng", 60, "the png reference library is supplied as is"),
+    ("bsl", 60, "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("bsl", 55, "machine executable object code generated by a source language processor"),
+    ("ncsa", 60, "neither the names of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("ncsa", 55, "to deal with the software without restriction"),
+    ("postgresql", 55, "in no event shall the university of california be liable to any party"),
+    ("hpnd", 50, "permission to use copy modify (?:distribute and sell )?this software and its documentation for any purpose is hereby granted without fee"),
+    ("fair", 60, "usage of the works is permitted provided that this instrument is retained with the works"),
+    ("beerware", 65, "the beer ware license"),
+    ("beerware", 60, "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("wtfpl", 65, "you just do what the fuck you want to"),
+    ("curl", 60, "copyright (?:c )?[0-9]{4} (?:[0-9]{4} )?daniel stenberg"),
+    ("unicode", 60, "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("w3c", 60, "permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("python", 60, "psf is making python available to licensee on an as is basis"),
+    ("python", 60, "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", 60, "this product includes software developed by the openssl project"),
+    ("openssl", 55, "this product includes cryptographic software written by eric young"),
+    ("php", 60, "this product includes php software freely available from"),
+    ("ijg", 60, "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", 60, "portions of this software are copyright (?:c )?(?:[0-9]{4} )*the freetype project"),
+    ("unlicense", 60, "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", 55, "the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("cc0", 60, "to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright"),
+    ("cc0", 55, "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("pddl", 60, "the work is placed in the public domain under the open data commons"),
+    # apache: grants, patents, notices
+    ("apache-2.0", 65, "licensed under the apache license version 2 0 the license you may not use this file"),
+    ("apache-2.0", 60, "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you"),
+    ("apache-2.0", 60, "grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you"),
+    ("apache-2.0", 50, "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-1.1", 60, "this product includes software developed by the apache software foundation"),
+    ("apache", 50, "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions"),
+    # copyleft: grants, notices, parts of the text
+    ("gpl-2-or-later", 85, "either version 2 of the license or at your option any later version"),
+    ("gpl-3-or-later", 85, "either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", 85, "either version 2 1 of the license or at your option any later version"),
+    ("gpl", 50, "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", 50, "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", 45, "you should have received a copy of the gnu general public license along with this (?:program|file|software)"),
+    ("lgpl", 45, "you should have received a copy of the gnu (?:lesser|library) general public license along with this library"),
+    ("agpl", 45, "you should have received a copy of the gnu affero general public license along with this program"),
+    ("gpl-3", 60, "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", 60, "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended"),
+    ("gpl", 45, "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("agpl-3", 60, "specifically to ensure cooperation with the community in the case of network server software"),
+    ("agpl", 55, "interacting with it remotely through a computer network"),
+    ("gpl-classpath-exception", 80, "as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gpl-linking-exception", 75, "as a special exception (?:[^ ]+ ){1,12}permission to link"),
+    ("gfdl", 60, "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", 65, "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", 65, "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl", 50, "software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied"),
+    ("epl", 65, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", 55, "each contributor hereby grants recipient a non exclusive worldwide royalty free copyright license"),
+    ("cddl", 65, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", 55, "use is subject to license terms cddl header"),
+    ("cpl", 60, "the accompanying program is provided under the terms of this common public license"),
+    ("eupl", 60, "licensed under the eupl"),
+    ("osl", 60, "licensed under the open software license"),
+    ("artistic", 60, "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", 60, "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", 60, "you can redistribute it and or modify it under the same terms as perl"),
+    ("ruby", 60, "you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("cecill", 60, "this software is governed by the cecill license under french law"),
+    ("sspl", 60, "offering the program as a service you must make the service source code available"),
+    ("ofl", 55, "this license is copied below and is also available with a faq at"),
+    ("ofl", 50, "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    # creative commons and data
+    ("cc-by", 55, "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by", 50, "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-nc", 55, "you may not use the material for commercial purposes"),
+    ("cc-by-nd", 55, "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-sa", 55, "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-sa", 55, "text is available under the creative commons attribution share ?alike license"),
+    ("cc", 40, "except where otherwise noted (?:content|text) on this (?:site|page|wiki) is licensed under"),
+    ("odbl", 60, "you are free to share to create and to adapt as long as you attribute share alike and keep open"),
+    ("odbl", 50, "data is available under the open database license"),
+    ("ogl", 55, "contains public sector information licensed under the open government licence"),
+    ("cc-by", 45, "licensed under cc by"),
+    # source available, models, proprietary
+    ("busl", 60, "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("busl", 50, "additional use grant"),
+    ("commons-clause", 65, "the license does not grant to you the right to sell the software"),
+    ("elastic", 60, "you may not provide the software to third parties as a hosted or managed service"),
+    ("polyform", 60, "polyform (?:noncommercial|small business|strict|shield|perimeter) license"),
+    ("llama", 60, "llama (?:2|3|3 1|3 2) is licensed under the llama (?:2|3|3 1|3 2) community license"),
+    ("openrail", 55, "you agree not to use the model or derivatives of the model"),
+    ("proprietary", 45, "this software is the confidential and proprietary information of"),
+    ("proprietary", 45, "you shall not disclose such confidential information and shall use it only in accordance with the terms of the license agreement"),
+    ("proprietary", 40, "no part of this (?:publication|document|book|work) may be reproduced"),
+    ("proprietary", 40, "you may not (?:copy modify or distribute|reverse engineer decompile or disassemble)"),
+    ("proprietary", 35, "for internal use only not for (?:redistribution|distribution)"),
+    ("proprietary", 35, "use of this (?:software|site|content) is subject to (?:the )?(?:license agreement|terms of use)"),
+    ("evaluation", 40, "this is (?:a )?(?:trial|evaluation) (?:version|license)"),
+    ("no-redistribution", 40, "may not be (?:redistributed|sublicensed|resold)"),
+    ("no-redistribution", 40, "must not be (?:redistributed|sublicensed|resold)"),
+    ("non-commercial", 40, "free for (?:personal|non commercial|noncommercial|academic|educational) (?:and non commercial )?use(?: only)?"),
+    ("non-commercial", 40, "for (?:non commercial|noncommercial|research|academic) (?:use|purposes) only"),
+    ("public-domain", 50, "no (?:known )?copyright (?:restrictions|is claimed)"),
+    ("public-domain", 50, "this (?:work|file|image|media) has been (?:released|placed) into the public domain by its (?:author|copyright holder)"),
+    ("us-government", 50, "work of the (?:united states|u s) government (?:and )?(?:is )?not subject to (?:domestic )?copyright"),
+    ("royalty-free", 30, "royalty free (?:license|licence)"),
+    ("dual", 40, "(?:dual|multi) licensed under"),
+    ("dual", 35, "at your option under (?:either )?(?:the )?(?:terms of )?(?:either|any) (?:of )?(?:the )?(?:following )?licenses"),
     ("proprietary", 40, "proprietary and confidential"),
     ("proprietary", 40, "confidential and proprietary"),
     ("proprietary", 40, "may not be reproduced (?:or distributed )?(?:in any form )?without (?:the )?(?:prior )?written permission"),
@@ -141,6 +265,7 @@ VERSIONED = [
     ("-{d}", 55, "{n} v{v}"),
     ("-{d}", 60, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of )?(?:the )?{n} (?:version |v )?{v}(?: international| unported)?"),
     ("-{d}-or-later", 80, "{n} (?:version |v )?{v} or (?:at your option )?(?:any )?later(?: version)?"),
+    ("-{d}-or-later", 82, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of )?(?:the )?{n} (?:version |v )?{v} or (?:at your option )?(?:any )?later(?: version)?"),
     ("-{d}-or-later", 80, "{n} either version {v} of the license or at your option any later version"),
     ("-{d}", 75, "spdx license identifier {s} {v}(?: only)?"),
 ]
@@ -194,26 +319,37 @@ def _by_keyword() -> dict[bytes, list[tuple[int, Rule]]]:
     return by
 
 
-#: A text that holds none of these holds no keyword of any rule (tests check that).
-STEMS = (b"licen", b"cc", b"gnu", b"gpl", b"creative", b"attribution", b"wtfpl", b"0bsd", b"bsd", b"copyright", b"permission", b"public domain", b"redistribut", b"rights", b"proprietary", b"confidential", b"unauthorized", b"prohibited", b"advertising", b"contributors", b"provided", b"altered source", b"perl itself", b"rail m", b"asl", b"reproduced", b"terms of", b"lizenz")
+@cache
+def _keywords() -> ahocorasick.Automaton:
+    """Finds all keywords in one pass; a byte is a letter of the same number."""
+    found = ahocorasick.Automaton()
+    for keyword in _by_keyword():
+        found.add_word(keyword.decode("latin-1"), keyword)
+    found.make_automaton()
+    return found
+
+
+#: Ends of what stands before a detection that is denied.
+_NEGATED = re.compile(rb" (?:not|never|no longer|isn t|aren t|cannot be) (?:[^ ]+ )?(?:under )?(?:the )?\Z")
 
 
 def detect(words: bytes) -> list[Detection]:
     """Detections in words joined by, and standing between, single spaces; overlaps are resolved."""
-    if not any(s in words for s in STEMS):
-        return []
     found: list[tuple[int, int, tuple[int, int, int], Rule]] = []
-    for keyword, ruled in _by_keyword().items():
-        if keyword in words:
-            for order, rule in ruled:
-                found += [(m.start(), -m.end(), (-rule.priority, m.start() - m.end(), order), rule) for m in rule.regex.finditer(words)]
+    for keyword in {k for _, k in _keywords().iter(words.decode("latin-1"))}:
+        for order, rule in _by_keyword()[keyword]:
+            found += [(m.start(), -m.end(), (-rule.priority, m.start() - m.end(), order), rule) for m in rule.regex.finditer(words)]
     # what contains an interval starts no later: those still open when it starts are all that can suppress it
     kept, still_open = [], []
     for start, end, rank, rule in sorted(found, key=lambda f: f[:3]):
         still_open = [o for o in still_open if -o[1] > start]
-        if not any(o[1] <= end and o[2] < rank for o in still_open):
-            kept.append(Detection(rule.label, rule.priority, start, -end))
-        still_open.append((start, end, rank))
+        family = rule.label.split("-")[0]
+        if not any(o[2] < rank and (o[1] <= end or o[3] == family) for o in still_open):
+            # an earlier one of the same family that reaches into this one and is of lower rank goes
+            kept = [k for k in kept if not (k[0] == family and k[1].end > start and k[2] > rank)]
+            kept.append((family, Detection(rule.label, rule.priority, start, -end), rank))
+        still_open.append((start, end, rank, family))
+    kept = [d for _, d, _ in kept if not _NEGATED.search(words, max(0, d.start - 40), d.start)]
     return sorted(kept, key=lambda k: (k.start, k.end, k.label))
 
 
