@@ -1,8 +1,9 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by bit-sliced comparison, then connected.
 
-Fingerprints of equal value are one from then on. With radius r the 64 bits are cut into r + 2 parts, of which any two
-fingerprints in reach share at least two, so each pair in reach meets in a bucket of two equal parts. Buckets of more
-than SLICE fingerprints are dealt to slices, and every two slices meet in a cell of their own: nothing is capped, and
+Fingerprints of equal value are one from then on. With radius r the 64 bits are cut into r + e parts, of which any two
+fingerprints in reach share at least e, so each pair in reach meets in a bucket of e equal parts. e is 2 (15 tables of
+21 bits at radius 4), and grows with the number of fingerprints so that buckets don't: 3 (35 tables of 27 bits) from
+about 10**8 on, 4 (70 tables of 32 bits) from about 10**10. Buckets of more than SLICE fingerprints are dealt to slices, and every two slices meet in a cell of their own: nothing is capped, and
 no task holds more than two slices. A cell stores its fingerprints as bit planes (64 lanes a word). The distances of
 all lanes are counted at once by carry-save adders, plane by plane, and words whose lanes all lie beyond the radius are
 abandoned. A cell gives a forest of its links, not its pairs; the forests are connected in Spark.
@@ -46,6 +47,8 @@ SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Parts that the rows of a component are dealt to when it is named.
 SALTS = 16
+#: Unrelated fingerprints that a bucket may hold on average.
+BUCKET = 64
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -217,17 +220,23 @@ def forest(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def parts(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the radius + 2 parts of a fingerprint."""
-    n = radius + 2
+def parts(radius: int, equal: int = 2) -> list[tuple[int, int]]:
+    """(first bit, bits) of the radius + equal parts of a fingerprint."""
+    n = radius + equal
     edges = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> DataFrame:
+def equal_parts(n: int, radius: int) -> int:
+    """How many parts make a bucket, so that n fingerprints that have nothing in common fill it with BUCKET at most."""
+    return next((e for e in (2, 3) if n >> 64 * e // (radius + e) <= BUCKET), 4)
+
+
+def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE, equal: int | None = None) -> DataFrame:
     """From distinct fingerprints (fp): links (u, v) that connect all of them that lie in reach of each other."""
-    part = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << n) - 1) for a, n in parts(radius)]
-    keys = [F.shiftleft(F.lit(t).cast("long"), 48).bitwiseOR(F.shiftleft(part[i], 24)).bitwiseOR(part[j]) for t, (i, j) in enumerate(combinations(range(len(part)), 2))]
+    equal = equal or equal_parts(prints.count(), radius)
+    part = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << n) - 1) for a, n in parts(radius, equal)]
+    keys = [F.xxhash64(F.lit(t), *(part[i] for i in chosen)) for t, chosen in enumerate(combinations(range(len(part)), equal))]
     return _linked(prints.select("fp", F.explode(F.array(*keys)).alias("bucket")), radius, slice_rows)
 
 

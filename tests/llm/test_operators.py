@@ -168,10 +168,12 @@ def test_links_of_large_and_small_cells_and_slices(spark):
                 label[c] = label[p] = min(label[c], label[p])
         assert all((label[i] == label[j]) == (reach[prints[i]] == reach[prints[j]]) for i in range(0, len(a), 7) for j in range(len(a)))
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"), 4, slice_rows=3)
-    found = {r.u: r.root for r in components.components(edges).collect()}
-    groups = Counter(found.get(s[0], s[0]) for s in signed)
-    assert sorted(groups.values()) == sorted(Counter(reach.values()).values())
+    for equal in (2, 3, 4):
+        edges = simhash.links(spark.createDataFrame(signed, "fp long"), 4, slice_rows=3, equal=equal)
+        found = {r.u: r.root for r in components.components(edges).collect()}
+        groups = Counter(found.get(s[0], s[0]) for s in signed)
+        assert sorted(groups.values()) == sorted(Counter(reach.values()).values())
+    assert [simhash.equal_parts(n, 4) for n in (10, 10**8, 10**9, 10**11)] == [2, 2, 3, 4]
 
 
 def jaccard(a, b, width=5):
