@@ -39,6 +39,11 @@ def count_of(c: Column, chars: str) -> Column:
     return F.regexp_count(text_of(c), F.lit(chars)).cast("long")
 
 
+def letters_of(c: Column, chars: str) -> Column:
+    """How many characters are of a class in square brackets. Runs of them are taken at once."""
+    return (F.length(text_of(c)) - F.length(F.regexp_replace(text_of(c), f"{chars}++", ""))).cast("long")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
@@ -58,16 +63,18 @@ def words(c: Column) -> Column:
 
 
 def first_words(c: Column, n: int = 3) -> Column:
-    return F.array_join(F.slice(words(c), 1, n), " ")
+    found = F.regexp_extract(text_of(c), f"^[{SPACE}]*+([^{SPACE}]++(?:[{SPACE}]++[^{SPACE}]++){{0,{n - 1}}})", 1)
+    return F.regexp_replace(found, f"[{SPACE}]++", " ")
 
 
 def contains_any(c: Column, terms: list[str], any_case: bool = False) -> Column:
-    within = F.lower(text_of(c)) if any_case else text_of(c)
-    found = [F.contains(within, F.lit(t.lower() if any_case else t)) for t in terms]
-    out = F.lit(False)
-    for x in found:
-        out = out | x
-    return out
+    def found(within: Column) -> Column:
+        out = F.lit(False)
+        for t in terms:
+            out = out | F.contains(within, F.lit(t.lower() if any_case else t))
+        return out
+
+    return F.exists(F.array(F.lower(text_of(c))), found) if any_case else found(text_of(c))  # lower-cased once, not for each term
 
 
 def matched_terms(c: Column, terms: list[str]) -> Column:
@@ -102,7 +109,7 @@ def dangling(c: Column, endings: list[str]) -> Column:
 
 def foreign_share(c: Column, target: str = lex.BLOCK, foreign: str = lex.LATIN) -> Column:
     """Share of foreign letters among foreign and target letters; null without letters."""
-    a, b = count_of(c, foreign), count_of(c, target)
+    a, b = letters_of(c, foreign), letters_of(c, target)
     return F.try_divide(a.cast("double"), (a + b).cast("double"))
 
 
@@ -116,22 +123,25 @@ def prefilter_code(c: Column, target: str = lex.BLOCK, foreign: str = lex.LATIN,
 def accept_gate(c: Column, letters: str = lex.LETTERS, least_chars: int = 25, least_letters: int = 12, forbidden=lex.FORBIDDEN, meta=lex.META_TEXT, points: str = lex.VOWEL_POINTS, archaic=lex.ARCHAIC, endings=lex.DANGLING, broken=None) -> Column:
     """The acceptance conjunction, without the duplicate check; cheap terms first."""
     return (
-        (char_count(c) >= least_chars) & (count_of(c, letters) >= least_letters) & ~contains_any(c, [*forbidden, *meta], True)
+        (char_count(c) >= least_chars) & (letters_of(c, letters) >= least_letters) & ~contains_any(c, [*forbidden, *meta], True)
         & ~F.rlike(text_of(c), F.lit(points)) & ~contains_any(c, archaic) & ~dangling(c, endings) & ~broken_syntax(c, broken)
     )
 
 
 def repeated_neighbours(c: Column) -> Column:
     """Do two equal words of more than one letter stand next to each other?"""
-    w = words(c)
-    after = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
-    return F.exists(F.arrays_zip(w.alias("a"), after.alias("b")), lambda p: (p["a"] == p["b"]) & (F.length(p["a"]) > 1))
+    return F.rlike(text_of(c), F.lit(rf"(?<![^{SPACE}])([^{SPACE}]{{2,}}+)[{SPACE}]++\1(?![^{SPACE}])"))
+
+
+def words_like(c: Column, word: str) -> Column:
+    """How many words a pattern matches as a whole; it may be written with ^ and $."""
+    return F.regexp_count(text_of(c), F.lit(rf"(?<![^{SPACE}])(?:{word.removeprefix('^').removesuffix('$')})(?![^{SPACE}])")).cast("long")
 
 
 def valid_gate(c: Column, letters: str = lex.LETTERS, least_chars: int = 30, least_letters: int = 15, forbidden=lex.FORBIDDEN, phrases=lex.META_PHRASES, foreign_word: str = "^[A-Za-z]{3,}$", most_foreign: int = 3) -> Column:
     return (
-        (char_count(c) >= least_chars) & (count_of(c, letters) >= least_letters) & ~contains_any(c, [*forbidden, *phrases], True)
-        & (F.size(F.filter(words(c), lambda w: F.rlike(w, F.lit(foreign_word)))) <= most_foreign) & ~F.coalesce(repeated_neighbours(c), F.lit(False))
+        (char_count(c) >= least_chars) & (letters_of(c, letters) >= least_letters) & ~contains_any(c, [*forbidden, *phrases], True)
+        & (words_like(c, foreign_word) <= most_foreign) & ~repeated_neighbours(c)
     )
 
 
@@ -139,7 +149,7 @@ def polish_gate(raw: Column, polished: Column, letters: str = lex.LETTERS, point
     """Is the polished text a safe rewrite of the raw one?"""
     before, after = word_count(raw), word_count(polished)
     return (
-        (char_count(polished) >= 15) & (count_of(polished, letters) >= 10) & ~F.rlike(text_of(polished), F.lit(points)) & ~contains_any(polished, meta, True)
+        (char_count(polished) >= 15) & (letters_of(polished, letters) >= 10) & ~F.rlike(text_of(polished), F.lit(points)) & ~contains_any(polished, meta, True)
         & ~((before > 3) & (after < before * F.lit(0.3))) & (after <= before * F.lit(2.5)) & ~contains_any(polished, archaic) & ~broken_syntax(polished, broken)
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import RUBRIC
 from ..functions.text import cache_key, prefilter_code
+from ..sources.shared import settled
 
 LEAST_SCORE = 4
 HIGH_RATE = 0.35
@@ -69,16 +70,20 @@ def rubric_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
 def settle(df: DataFrame, cached: DataFrame, score: Callable[[DataFrame], DataFrame], text: str = "text", **limits) -> tuple[DataFrame, DataFrame]:
     """(df with codes and verdict, new rows for the cache). The prefilter comes before the cache, the cache before scoring.
 
-    `score` takes rows (cache_key, text), one for each distinct key that is left, and returns (cache_key, codes).
+    `score` takes rows (cache_key, text), one for each distinct key that is left, and returns (cache_key, codes). What it
+    returns is written before it is used, so it runs once, and verdicts and cache rows are the same. The prefilter runs
+    once for each row; of a text that it settles only the key goes on.
     """
-    keyed = prefiltered(df, text, **limits)
+    pre = prefiltered(df.select(F.col(text).alias("text")), "text", **limits)
+    keys = settled(pre.groupBy("cache_key").agg(F.first("pre_code").alias("pre_code"), F.first(F.when(F.col("pre_code").isNull(), F.col("text"))).alias("text")))
     known = cached.select("cache_key", F.col("codes").alias("cached_codes"))
-    rest = keyed.where(F.col("pre_code").isNull()).groupBy("cache_key").agg(F.first(text).alias("text"))
-    scored = score(rest.join(known, "cache_key", "left_anti")).select("cache_key", F.col("codes").alias("scored_codes"))
-    met = keyed.join(known, "cache_key", "left").join(scored, "cache_key", "left")
+    rest = keys.where(F.col("pre_code").isNull()).select("cache_key", "text")
+    new = settled(score(rest.join(known, "cache_key", "left_anti")).select("cache_key", "codes"))
+    met = keys.select("cache_key", "pre_code").join(known, "cache_key", "left").join(new.withColumnRenamed("codes", "scored_codes"), "cache_key", "left")
     codes = F.when(F.col("pre_code").isNotNull(), F.array("pre_code")).otherwise(F.coalesce("cached_codes", "scored_codes"))
-    out = met.withColumn("codes", codes).drop("pre_code", "cached_codes", "scored_codes").withColumn("verdict", verdict(F.col("codes")))
-    return out, scored.select("cache_key", F.col("scored_codes").alias("codes"))
+    settled_codes = met.select("cache_key", codes.alias("codes"))
+    out = df.drop("codes", "verdict").withColumn("cache_key", cache_key(F.col(text))).join(settled_codes, "cache_key").withColumn("verdict", verdict(F.col("codes")))
+    return out, new
 
 
 def filter_metrics(judged: DataFrame, platform: str = "platform", labels: str = "labels") -> DataFrame:

@@ -236,18 +236,18 @@ _LIST = f"regexp_extract_all(text, '[^{WS}]+')"
 
 @query(
     f"""SELECT doc_id, length(text) >= 30 AND len(regexp_extract_all(text, '[A-Za-z]')) >= 15 AND NOT regexp_matches(lower(text), 'token|idiot|here is|output:')
-  AND len(list_filter({_LIST}, lambda w: regexp_full_match(w, '[A-Z][a-z]{{11,}}'))) <= 3
-  AND len(list_filter(range(1, len({_LIST})), lambda i: {_LIST}[i] = {_LIST}[i + 1] AND length({_LIST}[i]) > 1)) = 0 AS valid FROM documents WHERE n_chars < 4000"""
+  AND len(list_filter(w, lambda x: regexp_full_match(x, '[A-Z][a-z]{{11,}}'))) <= 3 AND len(list_filter(list_zip(w, w[2:]), lambda p: p[1] = p[2] AND length(p[1]) > 1)) = 0 AS valid
+FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce({_LIST}, []) AS w FROM documents)"""
 )
 def valid_gate(spark, sf):
-    return valid_gate_whole(spark, sf, "n_chars < 4000")
+    gate = tx.valid_gate(F.col("text"), letters="[A-Za-z]", forbidden=["token", "idiot"], phrases=["here is", "output:"], foreign_word="^[A-Z][a-z]{11,}$")
+    return table(spark, sf, "documents").select("doc_id", gate.alias("valid"))
 
 
-@query()
-def valid_gate_whole(spark, sf, only="true"):
-    """Verdicts on all documents; valid_gate gives those that its SQL can reach in time."""
-    gate = tx.valid_gate(F.col("text"), letters="[A-Za-z]", forbidden=["token", "idiot"], phrases=["here is", "output:"], foreign_word="^[A-Z][a-z]{11,}$")
-    return table(spark, sf, "documents").where(only).select("doc_id", gate.alias("valid"))
+@query(ORACLE_SQL["valid_gate"])
+def valid_gate_whole(spark, sf):
+    """The same, under the name that it had while valid_gate left out long documents."""
+    return valid_gate(spark, sf)
 
 
 @query(
@@ -465,14 +465,34 @@ def bernoulli_pick(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (tx.hash_uniform(F.lit("b"), F.col("doc_id")) < 0.2).alias("chosen"))
 
 
-@query()
+def _banked(bank: str, key: str, size: str) -> str:
+    """One of a list in SQL, by a seeded key."""
+    return f"({bank})[CAST(floor({UNIFORM.format(key)} * {size}) AS INTEGER) + 1]"
+
+
+_PLAN_KEY = "'plan-1:{0}:' || row".format
+_TYPE_EDGES = [round(sum(s[0] for s in list(synthetic.TYPES.values())[: i + 1]), 9) for i in range(len(synthetic.TYPES))]
+_TYPED = lambda at, salt: "CASE example_type " + " ".join(f"WHEN '{k}' THEN {_banked(repr(v[at]), _PLAN_KEY(salt), len(v[at]))}" for k, v in synthetic.TYPES.items()) + " END"
+_PLAN_SQL = f"""n AS (SELECT count(*) AS n FROM documents), places AS (SELECT unnest(range(n)) AS row, n FROM n),
+typed AS (SELECT row, CASE {' '.join(f"WHEN row / n < {e}::DOUBLE - 1e-12 THEN '{k}'" for k, e in zip(list(synthetic.TYPES)[:-1], _TYPE_EDGES))} ELSE '{list(synthetic.TYPES)[-1]}' END AS example_type FROM places),
+plan AS (
+  SELECT row, example_type, CASE WHEN example_type = 'hard_negative' OR example_type = 'ambiguous' AND {UNIFORM.format(_PLAN_KEY('has'))} <= 0.4::DOUBLE THEN CAST([] AS VARCHAR[])
+      ELSE {[list(s) for s in lex.LABEL_SETS]!r}[len(list_filter({_EDGES!r}, lambda e: e <= {UNIFORM.format(_PLAN_KEY('labels'))} * {_EDGES[-1]})) + 1] END AS labels,
+    {_banked(repr([*lex.PLATFORMS]), _PLAN_KEY('platform'), len(lex.PLATFORMS))} AS platform, {_TYPED(2, 'explicitness')} AS explicitness, {_TYPED(1, 'severity')} AS severity, {_TYPED(3, 'slang')} AS slang_level,
+    {UNIFORM.format(_PLAN_KEY('context'))} < CASE example_type {' '.join(f"WHEN '{k}' THEN {v[4]}::DOUBLE" for k, v in synthetic.TYPES.items())} END AS military_context
+  FROM typed)"""
+
+
+@query(f"WITH {_PLAN_SQL} SELECT row, example_type, array_to_string(labels, '|') AS label_set, platform, explicitness, severity, slang_level, military_context FROM plan")
 def scenario_plan(spark, sf):
-    return synthetic.scenarios(spark, 1000)
+    """As many scenarios as there are documents."""
+    plan = synthetic.scenarios(spark, table(spark, sf, "documents").count())
+    return plan.withColumn("label_set", F.array_join("labels", "|")).drop("labels")
 
 
 @query()
 def synthetic_records(spark, sf):
-    plan = synthetic.scenarios(spark, 1000)
+    plan = synthetic.scenarios(spark, table(spark, sf, "documents").count())
     behaviours = {s[0]: [f"{s[0].replace('_', ' ')} {w}" for w in ("at night", "at work", "again")] for s in lex.LABEL_SETS[:8]}
     return synthetic.composed(plan, ["Lately", "Since I came back", "These days"], behaviours, ["that is all", "no idea why"])
 
@@ -544,7 +564,15 @@ def zero_shot_stub(spark, sf):
     return model.zero_shot(docs(spark, sf), CLASSES)
 
 
-@query()
+@query(
+    f"""WITH {SCORES_SQL}, t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold),
+c AS (SELECT label, threshold, count(*) FILTER (WHERE proba >= threshold AND y = 1) AS tp, count(*) FILTER (WHERE proba >= threshold AND y = 0) AS fp, count(*) FILTER (WHERE proba < threshold AND y = 1) AS fn FROM scores, t GROUP BY ALL),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM c),
+m AS (SELECT 'plain' AS model, * FROM r WHERE threshold = 0.5 UNION ALL SELECT 'tuned', * FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY f DESC, threshold) = 1),
+w AS (SELECT model, coalesce(sum(tp) / nullif(sum(tp + fp), 0), 0) AS precision_micro, coalesce(sum(tp) / nullif(sum(tp + fn), 0), 0) AS recall_micro, coalesce(2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0), 0) AS f1_micro,
+  round(avg(p), 9) AS precision_macro, round(avg(q), 9) AS recall_macro, round(avg(f), 9) AS f1_macro FROM m GROUP BY model)
+SELECT model, metric, value FROM w UNPIVOT (value FOR metric IN (precision_micro, recall_micro, f1_micro, precision_macro, recall_macro, f1_macro))"""
+)
 def metrics_comparison(spark, sf):
     s = scores(spark, sf)
     tuned = model.threshold_search(s).select("label", "threshold")
@@ -576,7 +604,13 @@ def prompt_sections(spark, sf):
     return d.select("id", F.md5(body).alias("prompt_md5"))
 
 
-@query()
+_ANSWER = '{"reasoning": "...", "scores": {"naturalness": 1-5, "idiomaticity": 1-5, "register_fit": 1-5, "label_grounding": 1-5, "coherence": 1-5}, "clinical_leak": true|false, "slang_natural": true|false}'
+
+
+@query(
+    f"""WITH {DOCS_SQL} SELECT id, array_to_string(list_filter([CASE WHEN text <> '' THEN 'Text:' || chr(10) || text END, CASE WHEN platform <> '' THEN 'Platform:' || chr(10) || platform END,
+  CASE WHEN len(labels) > 0 THEN 'Labels:' || chr(10) || array_to_string(labels, ', ') END, 'Answer with:' || chr(10) || '{_ANSWER}'], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS prompt FROM docs"""
+)
 def judge_prompts(spark, sf):
     d = docs(spark, sf)
     return d.select("id", prompts.judge_prompt(F.col("text"), F.col("labels"), F.col("platform")).alias("prompt"))
@@ -603,7 +637,16 @@ def global_shuffle(spark, sf):
     return curate.numbered(d, "key", "%d", "place").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query()
+_BARE = f"""trim(regexp_replace(array_to_string(list_filter(regexp_split_to_array(t, '\\r\\n|[\\n\\r]'), lambda x: NOT regexp_matches(x, '^{QUIET}*(\\(|\\z)')), ' '), '{QUIET}+', ' ', 'g'))"""
+
+
+@query(
+    f"""WITH c AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations), u AS (SELECT conv_id, turn, text, answer, {_STRIP("coalesce(answer, '')")} AS t FROM c WHERE role = 'user'),
+q AS (SELECT conv_id, turn, text, answer, CASE WHEN regexp_full_match(t, '(?s)["''“].*["''”]') AND length(t) >= 2 THEN {_STRIP("substr(t, 2, length(t) - 2)")} ELSE t END AS t FROM u),
+p AS (SELECT *, {_BARE} AS polished FROM q), w AS (SELECT *, {_WORDS} AS rw, len(regexp_extract_all(polished, '[^{WS}]+')) AS pw FROM p)
+SELECT conv_id, turn, CASE WHEN answer IS NOT NULL AND length(polished) >= 15 AND len(regexp_extract_all(polished, '[A-Za-z]')) >= 10 AND NOT regexp_matches(polished, '[ÄÖÜ]') AND NOT regexp_matches(lower(polished), 'licensed under|output:')
+  AND NOT (rw > 3 AND pw < rw * 0.3::DOUBLE) AND pw <= rw * 2.5::DOUBLE AND NOT regexp_matches(polished, 'thereof|hereby') AND NOT regexp_matches(polished, '(and and)|([!]{{2,}}\\z)') THEN polished ELSE text END AS text FROM w"""
+)
 def polished_texts(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, sf, "conversations").withColumn("answer", F.lead("text").over(w)).where("role = 'user'")

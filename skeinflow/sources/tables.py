@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +46,8 @@ def read_folds(spark: SparkSession, train: str, test: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The verdict cache; empty if there is none yet."""
-    try:
-        return spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], CACHE)
+    """The verdict cache; empty if there is none yet. One that can't be read is an error, not an empty one."""
+    return spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
 
 
 def append_cache(rows: DataFrame, path: str) -> None:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.judge import settle
-from ..sources.shared import settled
 from ..sources.tables import append_cache, read_cache
 
 
@@ -18,7 +17,6 @@ def judge_stream(records: DataFrame, score: Callable[[DataFrame], DataFrame], ca
     def one(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         judged, new = settle(batch, read_cache(spark, cache_path), score, text, **limits)
-        new = settled(new)  # the scorer runs once
         judged.write.mode("overwrite").parquet(f"{out_path}/batch={n}")
         known = read_cache(spark, cache_path).select("cache_key")
         append_cache(new.join(known, "cache_key", "left_anti"), cache_path)
