@@ -31,6 +31,11 @@ def prefix_cap(df: DataFrame, cap: int, text: str = "text", seq: str = "id", n_w
     return capped(df, first_words(F.col(text), n_words), cap, seq)
 
 
+def first_good(df: DataFrame, score: str, target: int, least: float = 0.5, text: str = "text", seq: str = "id") -> DataFrame:
+    """The first `target` rows of new texts that score `least` or more: what a loop gets that takes rows until it has enough. Spark keeps only that many in each task."""
+    return dedup_first(df.where(F.col(score) >= least), text, seq).orderBy(seq).limit(target)
+
+
 def type_quota(df: DataFrame, quota: int, kind: str, seq: str = "id") -> DataFrame:
     return capped(df, F.col(kind), quota, seq)
 

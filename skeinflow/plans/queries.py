@@ -15,6 +15,7 @@ from ..functions import prompts
 from ..functions import text as tx
 from ..operators import curate, features, judge, labels, model, profile, split
 from ..sources import synthetic
+from ..sources.tables import with_aliases
 from .bindings import CLASSES, DOCS_SQL, EVENTS_SQL, ORDERS_SQL, SCORES_SQL, UNIFORM, docs, events, orders, scores, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,6 +297,24 @@ def meta_line_strip(spark, sf):
 
 # curation
 
+_KEY_SQL = f"lower(trim(regexp_replace(coalesce(text, ''), '{QUIET}+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH s AS (SELECT d.doc_id, score, {_KEY_SQL} AS key FROM documents d JOIN ({ORACLE_SQL["valid_gate"]}) v USING (doc_id) JOIN ({ORACLE_SQL["quality_score"]}) q USING (doc_id) WHERE valid AND score >= 0.5)
+SELECT doc_id AS id, score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1) ORDER BY id LIMIT 500"""
+)
+def quality_cut(spark, sf):
+    """A target of 500 rows, as they come, of valid new texts that score 0.5 or more."""
+    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    gate = tx.valid_gate(F.col("text"), letters="[A-Za-z]", forbidden=["token", "idiot"], phrases=["here is", "output:"], foreign_word="^[A-Z][a-z]{11,}$")
+    return curate.first_good(d.where(gate).withColumn("score", tx.quality_score(F.col("text"), TERMS)), "score", 500).select("id", "score")
+
+
+@query(f"WITH {DOCS_SQL} SELECT id, platform AS persona, example_type AS event_type FROM docs")
+def record_aliases(spark, sf):
+    return with_aliases(docs(spark, sf)).select("id", "persona", "event_type")
+
 _KEY = f"lower(trim(regexp_replace(coalesce(text, ''), '{QUIET}+', ' ', 'g')))"
 _PREFIX = f"array_to_string({_LIST}[1:3], ' ')"
 
@@ -549,6 +568,31 @@ def threshold_search(spark, sf):
     return model.threshold_search(scores(spark, sf))
 
 
+@query(
+    f"""WITH {_TERMS}, {DOCS_SQL}, sets AS (SELECT id, array_to_string(list_sort(labels), '|') AS s FROM docs),
+f AS (SELECT id, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY md5('1240:' || id), id) <= floor(count(*) OVER (PARTITION BY s) * 0.25::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS fold FROM sets),
+seen AS (SELECT count(*) AS rows FROM f WHERE fold = 'train'),
+known AS (SELECT term, count(*) AS df FROM c JOIN f USING (id) WHERE fold = 'train' GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * (SELECT rows FROM seen)),
+w AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + seen.rows) / (1 + df)) + 1) AS w FROM c JOIN f USING (id) JOIN known USING (term), seen WHERE fold = 'test')
+SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS weight FROM w"""
+)
+def tfidf_unseen(spark, sf):
+    """The test fold's texts by the vocabulary and frequencies of the train fold."""
+    d = docs(spark, sf)
+    folded = d.join(split.stratified_split(d).select("id", "fold"), "id")
+    train = folded.where("fold = 'train'")
+    n = train.count()
+    known = features.vocabulary(features.term_counts(train), n)
+    return features.tfidf(folded.where("fold = 'test'"), fitted=known, n_rows=n).withColumn("weight", F.round("weight", 8))
+
+
+@query(f"WITH {SCORES_SQL} SELECT id, label, CASE WHEN proba >= 0.5 THEN proba ELSE 0.0 END AS score FROM scores")
+def dense_scores(spark, sf):
+    """Only confident scores are found; every other pair of document and label has 0."""
+    found = scores(spark, sf).where("proba >= 0.5").withColumnRenamed("proba", "score")
+    return model.dense_scores(found, docs(spark, sf), CLASSES)
+
+
 @query()
 def ovr_logreg(spark, sf):
     d = docs(spark, sf)

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators import features, judge, labels, model, split
 from ..sources import tables as io
+from ..sources.shared import settled
 from . import report
 
+#: The share of the train fold that thresholds are tuned on, and the seed that draws it.
+VALIDATION, VALIDATION_SEED = 0.15, 7
 LIMITS = {"target": "[A-Za-z]", "foreign": r"[^\x00-\x7F]"}
 
 
@@ -49,15 +52,18 @@ def split_stage(spark: SparkSession, source: str, out: str, check: bool = True)
 
 
 def evaluate_stage(spark: SparkSession, source: str, out: str, max_iter: int = 100) -> None:
+    """Fitted on the train fold less a validation part of it, thresholds tuned on that part, and the test fold scored once with both."""
     rows = spark.read.parquet(f"{out}/folds")
-    train = rows.where("fold = 'train'")
+    carved = split.random_split(rows.where("fold = 'train'"), VALIDATION, VALIDATION_SEED, True)
+    held = carved.where("fold = 'test'").select("id")
+    train = rows.where("fold = 'train'").join(held, "id", "left_anti")
     names = [r[0] for r in labels.classes(train).orderBy("label").collect()]
     n = train.count()
-    known = features.vocabulary(features.term_counts(train), n).cache()  # the test fold is transformed by what the train fold has
+    known = settled(features.vocabulary(features.term_counts(train), n))  # unseen texts are transformed by what the fitted ones have
     weights = features.tfidf(rows, fitted=known, n_rows=n)
     vocab = io_index(known)
     scores = model.one_vs_rest(model.vectors(weights, vocab, max(1, vocab.count()), rows), rows, names, max_iter=max_iter, fit_on=train)
-    tuned = model.threshold_search(scores.join(rows.where("fold = 'train'").select("id"), "id")).select("label", "threshold")
+    tuned = model.threshold_search(scores.join(held, "id")).select("label", "threshold")
     test = scores.join(rows.where("fold = 'test'").select("id"), "id")
     io.write_artifact(spark, io.artifact(model.comparison({"tfidf_test": model.metrics(test, tuned)}), 6), f"{out}/eval_results.json")
 

@@ -29,6 +29,11 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD)
     return df.withColumns({c: F.coalesce(c, empty) for c in ("labels", "slang_used") if c in df.columns})
 
 
+def with_aliases(df: DataFrame) -> DataFrame:
+    """The platform as `persona` and the type as `event_type` too."""
+    return df.withColumns({"persona": F.col("platform"), "event_type": F.col("example_type")})
+
+
 def read_first(spark: SparkSession, *paths: str) -> tuple[DataFrame, str]:
     """Records of the first path that is there (the clean file, else the raw one), and which it was."""
     for path in paths:

@@ -1,6 +1,7 @@
 """Operators on small rows written by hand: edge cases, invariants, and errors."""
 
 import json
+import random
 import re
 
 import pytest
@@ -207,10 +208,39 @@ def test_evaluation_is_fitted_on_the_train_fold_only(spark, tmp_path):
     assert (tmp_path / "eval_results.json").exists()
 
 
+def test_labels_of_the_test_fold_change_neither_weights_nor_thresholds(spark, tmp_path):
+    seen, search, fit = [], model.threshold_search, model.one_vs_rest
+    for flip in (False, True):
+        rows = [(f"{f}{i}", f"text {'odd' if i % 2 else 'even'} {'loud' if i % 3 else 'calm'}", ["a"] if (i % 2 == 1) != (flip and f == "test") else ["b"], f) for f, n in (("train", 40), ("test", 20)) for i in range(n)]
+        out = f"file://{tmp_path}/{flip}"
+        spark.createDataFrame(rows, "id string, text string, labels array<string>, fold string").write.parquet(f"{out}/folds")
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(model, "one_vs_rest", lambda f, *a, **b: seen.append(("fitted on", sorted(r.id for r in b["fit_on"].collect()))) or fit(f, *a, **b))
+            m.setattr(model, "threshold_search", lambda s: seen.append(("tuned on", sorted((r.id, r.label, r.proba) for r in s.collect()))) or search(s))
+            stages.evaluate_stage(spark, "", out)
+    assert seen[:2] == seen[2:]
+    fitted, tuned = set(seen[0][1]), {r[0] for r in seen[1][1]}
+    assert len(tuned) == 6 and len(fitted) == 34 and not fitted & tuned and all(i.startswith("train") for i in fitted | tuned)
+
+
 def test_settle_scores_each_text_once(spark):
     d = spark.createDataFrame([(0, "hello big wide world now"), (1, "hello big wide world now"), (2, "x"), (3, "one two three four five")], "id long, text string")
     cached = spark.createDataFrame([], io.CACHE)
     out, new = judge.settle(d, cached, stages.accept_all, **stages.LIMITS)
+    calls = spark.sparkContext.accumulator(0)
+
+    def unsteady(rows):
+        def run(batches):
+            for b in batches:
+                calls.add(len(b))
+                b["codes"] = [[str(random.random())] for _ in range(len(b))]
+                yield b[["cache_key", "codes"]]
+
+        return rows.mapInPandas(run, "cache_key string, codes array<string>")
+
+    judged, fresh = judge.settle(d, cached, unsteady, **stages.LIMITS)
+    said = {r.cache_key: r.codes for r in fresh.collect()}
+    assert calls.value == 2 and all(r.codes == said[r.cache_key] for r in judged.where("id <> 2").collect())  # scored once, the same for both
     assert new.count() == 2 and {r.id: r.verdict for r in out.collect()} == {0: "ACCEPT", 1: "ACCEPT", 2: "REJECT", 3: "ACCEPT"}
 
 
@@ -222,7 +252,7 @@ def test_stages_and_stream(spark, tmp_path):
     stages.run(spark, f"file://{source}", out, ["filter", "profile", "split", "report"], **stages.LIMITS)
     assert "40 of 40 kept" in (tmp_path / "out/summary.md").read_text()
     assert len(json.loads((tmp_path / "out/tables/label_marginals.json").read_text())) == 2
-    assert io.read_folds is not None and spark.read.parquet(f"{out}/folds").select("fold").distinct().count() == 2
+    assert spark.read.parquet(f"{out}/folds").select("fold").distinct().count() == 2
     with pytest.raises(FileNotFoundError, match="a.json.*b.json"):
         io.read_folds(spark, f"{out}/a.json", f"{out}/b.json")
     io.read_records(spark, f"file://{source}").write.parquet(f"{out}/in")
