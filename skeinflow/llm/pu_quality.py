@@ -1,18 +1,20 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk of Kiryo et al. (2017).
 
 Trusted positives are texts labelled 1, unlabelled ones are any texts; both come from the training folds only. With the
-class prior p (the share of 1 among the labelled rows of those folds) the risk is
+class prior p the risk is
 
     p * mean(loss(z of positives)) + max(0, mean(loss(-z of unlabelled)) - p * mean(loss(-z of positives)))
 
 with logistic loss, so that the sigmoid of z estimates the chance of label 1. Where the bracket turns negative, the
-step goes against it, as in the paper. z is linear in binned measures of the text alone: shares of characters, common
+step goes against it, as in the paper. Where labelled rows have both labels, p is the share of 1 among those of the training
+folds, which is the estimate of least variance; where only positives are known, p is estimated from them and the
+unlabelled rows: the least ratio of the two samples' upper tails, each ratio with a bound for its chance error. z is linear in binned measures of the text alone: shares of characters, common
 words, repetition, line ends. Neither labels, language, source nor id enter a score.
 
 It is fitted on a sample of at most SAMPLE positives and SAMPLE unlabelled rows, those of least seeded hash of the id:
 the ids are chosen first, so no text but theirs is read for it. All texts are then scored where they lie.
 
-Null and empty texts measure zero and get a score like any other. A null id counts as the empty text and is held out.
+Null and empty texts measure zero and get a score like any other; long texts are measured whole. Ties of scores stay ties. A null id counts as the empty text and is held out.
 Without positives every weight is zero and all scores are the prior (0.5 with no labels at all). Repeated rows score alike.
 """
 
@@ -112,6 +114,28 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(edges, w[:-1], float(w[-1]))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1, seed: int = 1) -> float:
+    """The share of positives among unlabelled rows: no tail of scores holds more of the positives than of the unlabelled rows, divided by it.
+
+    Scores come from a classifier that is fitted on the other half of the rows. Of all tails that hold a tenth of the
+    positives or more, the one with the least upper bound (Dvoretzky-Kiefer-Wolfowitz) is taken.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    random = np.random.default_rng(seed)
+    order = [random.permutation(len(x)) for x in (positive, unlabelled)]
+    found = []
+    for half in (0, 1):
+        ranker = fit(positive[order[0][half::2]], unlabelled[order[1][half::2]], 0.5)
+        p, u = (np.sort(ranker.scores(x[o[1 - half :: 2]])) for x, o in zip((positive, unlabelled), order))
+        cuts = np.quantile(p, np.linspace(0, 0.9, 37))
+        of_p, of_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (p, u))
+        error = sum(math.sqrt(math.log(4 / chance) / (2 * len(x))) for x in (p, u))
+        best = int(np.argmin((of_u + error) / of_p))
+        found.append(of_u[best] / of_p[best])
+    return min(0.99, max(0.01, float(np.mean(found))))
+
+
 def fold(by: str, folds: int = FOLDS) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(by).cast("string"), F.lit("")), "UTF-8")) % folds
 
@@ -129,7 +153,7 @@ def train(df: DataFrame, labels: DataFrame, by: str = "doc_id", text: str = "tex
     """Fits on at most `sample` positives and as many unlabelled rows of the training folds."""
     known = labels.where((fold(by) != 0) & F.col(label).isin(0, 1))
     positives, of = known.agg(F.coalesce(F.sum(label), F.lit(0)), F.count("*")).first()
-    prior = min(0.99, max(0.01, (positives + 1) / (of + 2)))
+    prior = min(0.99, max(0.01, (positives + 1) / (of + 2))) if positives < of or not of else None  # none: only positives are known
     seeded = F.xxhash64(F.lit("pu-1"), F.col(by).cast("string"))
     ids = lambda rows: {r[0] for r in rows.select(by).distinct().orderBy(seeded, by).limit(sample).collect()}
     trusted, others = ids(known.where(F.col(label) == 1)), ids(df.where((fold(by) != 0) & F.col(by).isNotNull()))
@@ -138,11 +162,11 @@ def train(df: DataFrame, labels: DataFrame, by: str = "doc_id", text: str = "tex
     rows = df.select(F.col(by), F.col(text)).join(F.broadcast(chosen), F.col(by) == F.col("_by"))  # at most 2 * sample ids
     drawn = measured(rows.select("trusted", "unlabelled", text), ["trusted", "unlabelled"], text).dropDuplicates().toPandas() if trusted | others else None
     if drawn is None or drawn.empty:
-        return fit(np.zeros((0, N_MEASURES)), np.zeros((0, N_MEASURES)), prior)
+        return fit(np.zeros((0, N_MEASURES)), np.zeros((0, N_MEASURES)), prior or 0.5)
     x = np.array(drawn["measures"].tolist()).reshape(len(drawn), N_MEASURES)
     order = np.lexsort(x.T)  # rows come in any order; sums must not depend on it
     x, t, u = x[order], drawn["trusted"].to_numpy(bool)[order], drawn["unlabelled"].to_numpy(bool)[order]
-    return fit(x[t], x[u], prior)
+    return fit(x[t], x[u], prior or estimated_prior(x[t], x[u]))
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
