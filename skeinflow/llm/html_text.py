@@ -264,7 +264,7 @@ def site_templates(pages: DataFrame, url: str = "url", page: str = "html", min_p
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array([parts(*x) for x in parsed], pa.list_(pa.int64()))], names=["host", "whole", "parts"])
 
     read = pages.select(host(url).alias("host"), F.col(page).cast("string"))
-    different = read.mapInArrow(subtrees, "host string, whole bigint, parts array<bigint>").groupBy("host", "whole").agg(F.first("parts").alias("parts"))
+    different = cut(read.mapInArrow(subtrees, "host string, whole bigint, parts array<bigint>").groupBy("host", "whole").agg(F.first("parts").alias("parts")))  # read twice, parsed once
     size = different.groupBy("host").agg(F.count("*").alias("n_pages")).withColumnRenamed("host", "_host")
     counted = different.select("host", F.explode("parts").alias("part")).groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = counted.join(size, F.col("host") == F.col("_host")).where(F.col("n") >= min_share * F.col("n_pages"))
