@@ -1,7 +1,7 @@
 """Train/test splits: stratified by label set, or at random; gates, ratios and divergence.
 
 Rows are ordered by md5(seed:id), so a split is a function of seed and ids. The stratified split works on label-set
-signatures: their histogram (2 ** classes rows at most) gives each signature a quota, rare labels first.
+signatures, each of which has a quota; the greedy one on labels, the rarest first.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
 from .labels import exploded, with_negative
 
 SEED = 1240
@@ -18,8 +19,6 @@ TEST_SIZE = 0.25
 SHARE_BAND = (0.65, 0.85)
 MOST_JS = 0.05
 EPSILON = 1e-12
-#: Signatures that the greedy quotas accept; label sets are few, and this is checked.
-MOST_SIGNATURES = 100_000
 
 
 def seeded(seed: int, id: str = "id") -> Column:
@@ -34,21 +33,6 @@ def simple_quota(n: Column, test_size: float = TEST_SIZE) -> Column:
     return F.floor(n * F.lit(test_size) + 0.5)
 
 
-def greedy_quotas(histogram: list[tuple[str, int]], test_size: float = TEST_SIZE) -> dict[str, int]:
-    """Test rows of each signature: the nearest share, then labels that the test fold lacks take a row, the rarest first."""
-    quota = {s: math.floor(n * test_size + 0.5) for s, n in histogram}
-    size = dict(histogram)
-    of: dict[str, list[str]] = {}
-    for s in size:
-        for label in s.split("|"):
-            of.setdefault(label, []).append(s)
-    total = {label: sum(size[s] for s in sets) for label, sets in of.items()}
-    for label in sorted(of, key=lambda x: (total[x], x)):
-        if total[label] > 1 and not any(quota[s] for s in of[label]):
-            quota[min(of[label], key=lambda s: (1 / size[s], len(s.split("|")), s))] += 1
-    return quota
-
-
 def _folded(keyed: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
     """Rows to test up to their signature's quota. A signature may hold most rows: the cut is found by hash, not by ranking it in one task."""
     spread = keyed.withColumns({"_order": seeded(seed), "_slice": F.conv(F.substring(seeded(seed), 1, 3), 16, 10).cast("int")})
@@ -61,20 +45,52 @@ def _folded(keyed: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
 
 
 def stratified_split(records: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED, greedy: bool = False) -> DataFrame:
-    """(id, labels, fold). Empty sets are a stratum of their own."""
-    keyed = records.select("id", "labels").withColumn("signature", signature())
-    counted = keyed.groupBy("signature").agg(F.count("*").alias("n"))
+    """(id, labels, fold). Empty sets are a stratum of their own. `greedy` keeps each label's share where most label sets are of few rows."""
     if greedy:
-        rows = counted.limit(MOST_SIGNATURES + 1).collect()
-        if len(rows) > MOST_SIGNATURES:
-            raise ValueError(f"more than {MOST_SIGNATURES} label sets")
-        made = greedy_quotas([(r[0], r[1]) for r in rows], test_size)
-        quota = records.sparkSession.createDataFrame(sorted(made.items()), "signature string, quota bigint")
-    else:
-        quota = counted.select("signature", simple_quota(F.col("n"), test_size).alias("quota"))
+        return greedy_split(records, test_size, seed)
+    keyed = records.select("id", "labels").withColumn("signature", signature())
+    quota = keyed.groupBy("signature").agg(F.count("*").alias("n")).select("signature", simple_quota(F.col("n"), test_size).alias("quota"))
     return _folded(keyed, quota, seed).select("id", "labels", "fold")
 
 
+def greedy_split(records: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
+    """(id, labels, fold): waves over the labels, the rarest first, each of which gives the test fold what its label still lacks.
+
+    A row belongs to the wave of its rarest label, so each row is dealt once. Within a wave rows stand by label set and
+    seeded order, and places are taken at equal steps: sets of many rows keep their share, and sets of one row together do.
+    A label of two rows or more gets one of them at least, if a row of its wave is left. The number of labels bounds the
+    waves and what the driver holds; label sets and rows don't.
+    """
+    keyed = records.select("id", "labels").withColumn("_set", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("labels", F.array().cast("array<string>"))))))
+    # one row for each label
+    rarest = [(r.label, r.n) for r in keyed.select(F.explode("_set").alias("label")).groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").collect()]
+    rank = F.create_map(*(y for i, (x, _) in enumerate(rarest, 1) for y in (F.lit(x), F.lit(i)))) if rarest else F.create_map().cast("map<string,int>")
+    wave = F.coalesce(F.array_min(F.transform("_set", lambda x: rank[x])), F.lit(0))
+    order = [F.col("_wave"), F.col("_signature"), F.col("_order"), F.col("id")]
+    placed = keyed.withColumns({"_wave": wave.cast("int"), "_signature": F.array_join("_set", "|"), "_order": seeded(seed)})
+    drawn = settled(placed.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))  # ranges are drawn by sampling: once
+    sizes = drawn.groupBy("_wave", "_range").agg(F.count("*").alias("_n"))  # a row for each wave of each range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_wave").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_wave", "_range", before.alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range", "_wave").orderBy(*order[1:])) + F.col("_before")
+    ranked = settled(drawn.join(starts, ["_wave", "_range"]).withColumn("_at", at).drop("_before", "_range"))
+    n_of = {r[0]: r[1] for r in sizes.groupBy("_wave").agg(F.sum("_n")).collect()}
+
+    have, need = {x: 0 for x, _ in rarest}, {0: math.floor(n_of.get(0, 0) * test_size + 0.5)}
+    taken = lambda k: F.floor(F.col("_at") * need[k] / n_of[k]) > F.floor((F.col("_at") - 1) * need[k] / n_of[k])
+    for k, (label, n) in enumerate(rarest, 1):
+        want = max(math.floor(n * test_size + 0.5), 1 if n > 1 else 0)
+        need[k] = min(max(want - have[label], 0), n_of.get(k, 0))
+        if need[k]:
+            for r in ranked.where((F.col("_wave") == k) & taken(k)).select(F.explode("_set").alias("label")).groupBy("label").count().collect():
+                have[r[0]] += r[1]
+    chosen = F.lit(False)
+    for k in n_of:
+        if need[k]:
+            chosen = chosen | ((F.col("_wave") == k) & taken(k))
+    return ranked.select("id", "labels", F.when(chosen, "test").otherwise("train").alias("fold"))
+
+
 def random_split(df: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED, round_up: bool = False) -> DataFrame:
     """(id, fold): max(1, floor or ceil of n * test_size) rows go to test."""
     n = F.col("n") * F.lit(test_size)

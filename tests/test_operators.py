@@ -147,6 +147,23 @@ def test_split_is_a_partition_and_gated(spark):
     assert split.js_divergence(s).first().js < 0.05
 
 
+def test_greedy_split_keeps_shares_where_label_sets_are_of_one_row(spark):
+    # 300 rows, nearly each with a label set of its own, out of ten labels of which the last are rare
+    rows = [(i, [f"l{k}" for k in range(10) if (i * 7919 + k * 104729) % (2 + k) == 0 or (i >> k) % 3 == 2] + (["once"] if i == 5 else []) + ([None, "l0", "l0"] if i == 9 else [])) for i in range(300)] + [(300 + i, None) for i in range(8)]
+    r = spark.createDataFrame(rows, "id long, labels array<string>")
+    g = split.stratified_split(r, greedy=True)
+    assert sorted(x.id for x in g.collect()) == list(range(308))
+    bare = g.where("labels is null or size(labels) = 0")
+    assert bare.where("fold = 'test'").count() == int(bare.count() * 0.25 + 0.5)
+    known = g.withColumn("labels", F.array_distinct(F.array_compact("labels")))
+    shares = {x.label: (x.total, x.test) for x in split.fold_counts(known).collect()}
+    assert shares.pop("once") == (1, 0) and len(shares) == 10
+    assert all(0.15 <= test / total <= 0.35 for total, test in shares.values()), shares
+    assert g.exceptAll(split.stratified_split(r.repartition(7), greedy=True)).count() == 0
+    assert split.stratified_split(r.limit(0), greedy=True).count() == 0
+    assert {x.fold for x in split.stratified_split(r.where("labels is null"), greedy=True).collect()} == {"test", "train"}
+
+
 def test_published_counts_pass_the_gates(spark):
     # Rows by label in the two folds of a published split, 1495 and 499 rows.
     train = [319, 284, 209, 189, 135, 128, 110, 110]
