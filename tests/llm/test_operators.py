@@ -309,6 +309,22 @@ def test_quality_rules(spark):
         assert r.base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_character_classes_are_ranges_of_code_points():
+    text = "aeB1 \n.!#~\x00\x7f" + "".join(chr(c) for c in range(0x80, 0x11000) if not 0xD800 <= c < 0xE000) + "\U0010ffff" * 3
+    classes = quality_rules.measure(text.encode(), quality_rules.Words())[5]
+    ascii_ = [sum(c in chars for c in text) for chars in quality_rules.CLASSES.values()]
+    ranges = [sum(a <= ord(c) <= b for c in text) for a, b in quality_rules._RANGES]
+    assert classes.tolist() == [len(text) - sum(ascii_) - sum(ranges), *ascii_, *ranges] and min(ranges) > 0
+
+
+def test_references_leave_out_what_fails_the_base_rule(spark):
+    rng = random.Random(5)
+    good = [" ".join(rng.choice(["the", "of", "and", "river", "house", "stones"]) + str(i) * (i % 2) for i in range(80)) for _ in range(6)]
+    alone = quality_rules.references(quality_rules.measures(documents(spark, good), ["lang"]))
+    with_junk = quality_rules.references(quality_rules.measures(documents(spark, good + ["#### $$$$ " * 200, "x y", None]), ["lang"]))
+    assert alone == with_junk and len(alone) >= 1
+
+
 def test_divergence_rejects_another_mix(spark):
     rng = random.Random(2)
     prose = lambda: " ".join(rng.choice(["the", "of", "and", "river", "house", "stones", "walking"]) for _ in range(150))
