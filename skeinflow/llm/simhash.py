@@ -11,8 +11,9 @@ abandoned. A cell gives a forest of its links, not its pairs; the forests are co
 Radius 4 of 64 bits reaches texts of a similarity of about 0.95 only. `similar_groups` reaches a given Jaccard similarity
 of the sets of shingles (0.8 of five words by default): its fingerprints have WIDE bits, of which texts of similarity s
 differ in a share acos(2s / (1 + s)) / pi, with a radius of MARGIN standard deviations more: of pairs of similarity 0.8
-five in six link, of 0.85 nearly all, of 0.7 one in four; unrelated texts differ in half of the bits. No cut into equal parts serves such a radius, so two texts meet in a bucket if they share two of their
-LEAST least shingle hashes, as 99% of those of similarity 0.8 do. Slices, bit planes and forests are the same.
+97% link, of 0.85 nearly all, of 0.75 half, of 0.7 one in fourteen; unrelated texts differ in half of the bits. No cut
+into equal parts serves such a radius, so two texts meet in a bucket if they share two of their LEAST least shingle
+hashes, as 99% of those of similarity 0.8 do. Slices, bit planes and forests are the same.
 
 A null or empty text has the fingerprint zero and is linked like any other. Rows with equal texts share a fingerprint;
 a null id never names a component unless all ids in it are null. An empty table gives no rows.
@@ -40,8 +41,8 @@ SLICE = 4096
 #: Cells up to this size are compared lane against shifted lane, many cells at once; larger ones query by query.
 SMALL = 64
 #: Bits of the fingerprints of similar_groups, standard deviations beyond the expected distance, shingle hashes that make buckets.
-WIDE = 256
-MARGIN = 1.0
+WIDE = 1024
+MARGIN = 2.0
 LEAST = 5
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
@@ -77,18 +78,22 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(majority(shingle_hashes(text, width)))
 
 
-def mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """Other hashes of the same values, independent for each lane."""
-    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
+def wide_majority(hashes: np.ndarray) -> np.ndarray:
+    """WIDE bits: the majority of other hashes of the same values, independent for each lane of 64 bits."""
+    lanes = np.array([0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1 for lane in range(WIDE // 64)], np.uint64)
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        h = (hashes[at : at + (1 << 12), None] ^ lanes) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
 def wide_fingerprint(text: bytes, width: int = SIMILAR_SHINGLE) -> tuple[bytes, list[int]]:
     """(WIDE bits of the set of shingles, the LEAST least of their hashes, signed)."""
     h = np.unique(shingle_hashes(text, width))
-    wide = np.array([majority(mixed(h, lane)) for lane in range(WIDE // 64)], "<u8")
-    return wide.tobytes(), h[:LEAST].view("<i8").tolist()
+    return wide_majority(h).tobytes(), h[:LEAST].view("<i8").tolist()
 
 
 def radius_of(similarity: float, bits: int = WIDE, margin: float = MARGIN) -> int:
@@ -117,12 +122,15 @@ def _beyond(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return over | more
 
 
-def lanes_within(differing, n_planes: int, shape: tuple[int, ...], radius: int) -> np.ndarray:
-    """Lanes in which at most `radius` of the planes differ. differing(k, where) gives the differing lanes of plane k for the words `where` (flat indices)."""
+def lanes_within(differing, n_planes: int, shape: tuple[int, ...], radius: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Lanes in which at most `radius` of the planes differ. differing(k, where) gives the differing lanes of plane k for the words `where` (flat indices).
+
+    With `among` only those words are looked at; the others have no lanes.
+    """
     size = int(np.prod(shape))
-    where = np.arange(size)
-    counter = [np.zeros(size, np.uint64) for _ in range(radius.bit_length())]
-    over = np.zeros(size, np.uint64)
+    where = np.arange(size) if among is None else among
+    counter = [np.zeros(len(where), np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros(len(where), np.uint64)
     for k in range(n_planes):
         carry = differing(k, where)
         for i, c in enumerate(counter):  # a carry-save step: add one bit to each lane's counter
@@ -177,29 +185,42 @@ def link_small(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
     return child, label[child]
 
 
-def link_large(prints: np.ndarray, radius: int, together: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as positions) within one large cell: `together` queries at a time against all its lanes."""
+def link_large(prints: np.ndarray, radius: int, together: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) within one large cell: `together` queries at a time against all its lanes.
+
+    Lanes stand by the group that they belong to so far, and a query skips words that hold its own group only, so a group
+    of copies that fills a cell costs little more than its first queries.
+    """
     n = len(prints)
     p = planes(prints)
-    width = p.shape[1]
     used = [k for k in range(len(p)) if (p[k] != p[k][0]).any() or p[k][0] not in (0, _FULL)]  # the others are equal throughout
     label = np.arange(n)
-    for at in range(0, n, together):
-        q = prints[at : at + together]
-        own = np.unpackbits(np.ascontiguousarray(q.reshape(len(q), -1)).astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        bits = np.where(own[:, used].T, _FULL, np.uint64(0)).reshape(len(used), len(q))
-
-        def differing(k, where, bits=bits):
-            return p[used[k], where % width] ^ bits[k, where // width]
-
-        near = lanes_within(differing, len(used), (len(q), width), radius)
-        for row in range(len(q)):
-            met = label[np.flatnonzero(_lanes(near[row])[:n])]
-            least, most = met.min(initial=n), met.max(initial=-1)
-            if least < most:
-                mark = np.zeros(n, bool)
-                mark[met] = True
-                label[mark[label]] = least
+    at, until = 0, together
+    while at < n:
+        order = np.argsort(label, kind="stable")
+        p = planes(prints[order])
+        width = p.shape[1]
+        while at < min(n, until):
+            q = prints[at : at + together]
+            own = np.unpackbits(np.ascontiguousarray(q.reshape(len(q), -1)).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+            bits = np.where(own[:, used].T, _FULL, np.uint64(0)).reshape(len(used), len(q))
+            groups = label[np.r_[order, np.repeat(order[-1], width * 64 - n)]].reshape(width, 64)
+            alone = np.where(groups.min(1) == groups.max(1), groups[:, 0], -1)
+            among = np.flatnonzero(label[at : at + len(q), None] != alone)
+
+            def differing(k, where, p=p, bits=bits, width=width):
+                return p[used[k], where % width] ^ bits[k, where // width]
+
+            near = lanes_within(differing, len(used), (len(q), width), radius, among) if len(among) else np.zeros((len(q), 0), np.uint64)
+            for row in np.flatnonzero(near.any(1)):
+                met = np.r_[label[at + row], label[order[np.flatnonzero(_lanes(near[row])[:n])]]]
+                least, most = met.min(), met.max()
+                if least < most:
+                    mark = np.zeros(n, bool)
+                    mark[met] = True
+                    label[mark[label]] = least
+            at += len(q)
+        until *= 4
     child = np.flatnonzero(label != np.arange(n))
     return child, label[child]
 

@@ -264,6 +264,35 @@ def test_wide_links_are_those_in_reach(spark, monkeypatch):
     assert [got[i].component_id for i in range(n)] == root
 
 
+def test_one_large_cell_links_all_in_reach():
+    """Groups of many near copies among unrelated prints, with lanes put in order of group several times: as by brute force."""
+    random_ = np.random.default_rng(8)
+    for width, radius in ((1, 4), (16, 178)):
+        centres = random_.integers(0, 1 << 63, (4, width), dtype=np.uint64)
+        prints = []
+        for i in range(700):
+            own = centres[[0, 0, 0, 1, 2, 3][i % 6]].copy() if i % 5 else random_.integers(0, 1 << 63, width, dtype=np.uint64)
+            for bit in random_.integers(0, 64 * width, radius // 2 + 1):
+                own[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            prints.append(own)
+        prints = np.array(prints) if width > 1 else np.array(prints)[:, 0]
+        as_int = [int.from_bytes(x.tobytes(), "little") for x in prints]
+        root = list(range(len(prints)))
+        for _ in root:
+            before = list(root)
+            for a in range(len(prints)):
+                for b in range(a):
+                    if root[a] != root[b] and (as_int[a] ^ as_int[b]).bit_count() <= radius:
+                        root[a] = root[b] = min(root[a], root[b])
+            if before == root:
+                break
+        child, parent = simhash.link_large(prints, radius, 8)
+        got = list(range(len(prints)))
+        for c, m in zip(child.tolist(), parent.tolist()):
+            got[c] = m
+        assert got == root and 100 < len(set(root)) < 400
+
+
 def brute_removal(texts, window=35):
     split = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
