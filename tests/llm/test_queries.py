@@ -15,7 +15,7 @@ from skeinflow.llm.texts import table
 
 from .test_operators import brute_pii
 
-NAMES = [f"op{n}_" for n in range(1, 11)]
+NAMES = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_all_are_registered():
@@ -27,7 +27,8 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_in_sql(spark, sf, tmp_path, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     queries.QUERIES[name](spark, sf).write.parquet(out := str(tmp_path / "out"))
     frames = [c.sql(q).df() for q in (queries.ORACLE_SQL[name], f"SELECT * FROM '{out}/*.parquet'")]
     a, b = (sorted(map(repr, f[sorted(f.columns)].itertuples(index=False, name=None))) for f in frames)
