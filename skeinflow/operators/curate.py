@@ -15,11 +15,13 @@ from ..sources.shared import settled
 
 
 def dedup_first(df: DataFrame, text: str = "text", seq: str = "id") -> DataFrame:
-    """The first row of each normalised text. The least order is aggregated before the shuffle, so a text that is everywhere isn't gathered."""
-    key = F.xxhash64(normal_key(F.col(text)))
-    keyed = df.withColumns({"_key": key, "_norm": F.sha2(normal_key(F.col(text)), 256)})
-    first = keyed.groupBy("_key", "_norm").agg(F.min(seq).alias("_first")).select("_first")
-    return keyed.join(first, F.col(seq) == F.col("_first"), "left_semi").drop("_key", "_norm")
+    """The first row of each normalised text; rows without `seq` come last, and of rows of equal `seq` one stays.
+
+    The first row is aggregated before the shuffle, so a text that is everywhere isn't gathered.
+    """
+    place = F.struct(F.col(seq).isNull(), F.col(seq), F.xxhash64(*df.columns))
+    keyed = df.select(F.sha2(normal_key(F.col(text)), 256).alias("_norm"), place.alias("_place"), F.struct(*df.columns).alias("_row"))
+    return keyed.groupBy("_norm").agg(F.min_by("_row", "_place").alias("_row")).select("_row.*")
 
 
 def capped(df: DataFrame, by, cap: int, seq: str = "id", name: str = "_rank") -> DataFrame:
@@ -41,23 +43,30 @@ def type_quota(df: DataFrame, quota: int, kind: str, seq: str = "id") -> DataFra
 
 
 def curate(df: DataFrame, quotas: dict[str, int], cap: int, kind: str = "example_type", text: str = "text", seq: str = "id") -> DataFrame:
-    """Types in order: each type's texts must be new, keep the cap over all types so far, and stop at the type's quota."""
-    prefix = first_words(F.col(text))
+    """Types in order: each type's texts must be new, keep the cap over all types so far, and stop at the type's quota.
+
+    Each type's rows are settled, and of the types before only keys and counts are read again, so plans don't grow with the number of types.
+    """
+    keyed = df.withColumns({"_norm": F.sha2(normal_key(F.col(text)), 256), "_prefix": first_words(F.col(text))})
     taken: list[DataFrame] = []
     for name, quota in quotas.items():
-        new = dedup_first(df.where(F.col(kind) == name), text, seq).withColumns({"_norm": F.sha2(normal_key(F.col(text)), 256), "_prefix": prefix})
-        if taken:
-            before = reduce(DataFrame.unionByName, taken)
-            new = new.join(before.select("_norm").distinct(), "_norm", "left_anti")
-            used = before.groupBy("_prefix").agg(F.count("*").alias("_used"))
-            new = new.join(used, "_prefix", "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
-        else:
-            new = new.withColumn("_used", F.lit(0).cast("long"))
-        within = new.withColumn("_at", F.row_number().over(Window.partitionBy("_prefix").orderBy(seq))).where(F.col("_at") + F.col("_used") <= cap)
-        taken.append(capped(within.drop("_at", "_used"), F.lit(name), quota, seq))
+        new = dedup_first(keyed.where(F.col(kind) == name), text, seq)
+        taken.append(settled(admitted(new, taken, quota, cap, seq)))
     return reduce(DataFrame.unionByName, taken).drop("_norm", "_prefix")
 
 
+def admitted(new: DataFrame, taken: list[DataFrame], quota: int, cap: int, seq: str) -> DataFrame:
+    """The first `quota` rows of `new` (of different _norm) whose _norm isn't taken and whose _prefix keeps the cap, taken rows included."""
+    if taken:
+        before = reduce(DataFrame.unionByName, (t.select("_norm", "_prefix") for t in taken))
+        new = new.join(before.select("_norm"), "_norm", "left_anti")
+        new = new.join(before.groupBy("_prefix").agg(F.count("*").alias("_used")), "_prefix", "left")
+    used = F.coalesce(F.col("_used"), F.lit(0)) if taken else F.lit(0)
+    # the bare limit lets Spark keep no more than the cap of a prefix in each task
+    ranked = new.withColumn("_at", F.row_number().over(Window.partitionBy("_prefix").orderBy(seq))).where(F.col("_at") <= cap)
+    return ranked.where(F.col("_at") + used <= cap).drop("_at", "_used").orderBy(seq).limit(quota)
+
+
 def numbered(df: DataFrame, seq: str = "id", form: str = "syn_%04d", name: str = "row_id") -> DataFrame:
     """Ids in order of `seq` without one task that sees all rows: places within ranges, added to the rows of the ranges before."""
     drawn = settled(df.repartitionByRange(F.col(seq)).withColumn("_range", F.spark_partition_id()))  # ranges are drawn by sampling: once

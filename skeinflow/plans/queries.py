@@ -527,7 +527,7 @@ v AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2 AND
 @query(f"WITH {_TERMS} SELECT term, df FROM v")
 def vocab(spark, sf):
     d = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
-    return features.vocabulary(features.term_counts(d), d.count())
+    return features.vocabulary(d, d.count())
 
 
 @query(
@@ -582,7 +582,7 @@ def tfidf_unseen(spark, sf):
     folded = d.join(split.stratified_split(d).select("id", "fold"), "id")
     train = folded.where("fold = 'train'")
     n = train.count()
-    known = features.vocabulary(features.term_counts(train), n)
+    known = features.vocabulary(train, n)
     return features.tfidf(folded.where("fold = 'test'"), fitted=known, n_rows=n).withColumn("weight", F.round("weight", 8))
 
 
@@ -598,7 +598,7 @@ def ovr_logreg(spark, sf):
     d = docs(spark, sf)
     weights = features.tfidf(d)
     at = curate.numbered(weights.select("term").distinct(), "term", "%d", "at").withColumn("at", F.col("at").cast("int"))
-    return model.one_vs_rest(model.vectors(weights, at, max(1, at.count()), d), d, CLASSES)
+    return model.one_vs_rest(model.cells(weights, at, d), d, CLASSES, max(1, at.count()))
 
 
 @query(

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,21 +52,32 @@ def split_stage(spark: SparkSession, source: str, out: str, check: bool = True)
     io.write_artifact(spark, io.artifact(split.manifest(folded), 6), f"{out}/split_manifest.json")
 
 
-def evaluate_stage(spark: SparkSession, source: str, out: str, max_iter: int = 100) -> None:
-    """Fitted on the train fold less a validation part of it, thresholds tuned on that part, and the test fold scored once with both."""
+def evaluate_stage(spark: SparkSession, source: str, out: str, max_iter: int = 1000, load: Callable | None = None) -> None:
+    """Fitted on the train fold less a validation part of it, thresholds tuned on that part; metrics of train, validation and
+    test fold, and of the zero-shot model that `load` gives (without it the seeded stand-in) on the test fold, none if it can't be loaded."""
     rows = spark.read.parquet(f"{out}/folds")
     carved = split.random_split(rows.where("fold = 'train'"), VALIDATION, VALIDATION_SEED, True)
     held = carved.where("fold = 'test'").select("id")
     train = rows.where("fold = 'train'").join(held, "id", "left_anti")
     names = [r[0] for r in labels.classes(train).orderBy("label").collect()]
     n = train.count()
-    known = settled(features.vocabulary(features.term_counts(train), n))  # unseen texts are transformed by what the fitted ones have
+    known = settled(features.vocabulary(train, n))  # unseen texts are transformed by what the fitted ones have
     weights = features.tfidf(rows, fitted=known, n_rows=n)
     vocab = io_index(known)
-    scores = model.one_vs_rest(model.vectors(weights, vocab, max(1, vocab.count()), rows), rows, names, max_iter=max_iter, fit_on=train)
-    tuned = model.threshold_search(scores.join(held, "id")).select("label", "threshold")
-    test = scores.join(rows.where("fold = 'test'").select("id"), "id")
-    io.write_artifact(spark, io.artifact(model.comparison({"tfidf_test": model.metrics(test, tuned)}), 6), f"{out}/eval_results.json")
+    scores = settled(model.one_vs_rest(model.cells(weights, vocab, rows), rows, names, max(1, vocab.count()), max_iter=max_iter, fit_on=train))
+    tuned = settled(model.threshold_search(scores.join(held, "id")).select("label", "threshold"))
+    test = rows.where("fold = 'test'")
+    found = {f"tfidf_{part}": model.metrics(scores.join(ids.select("id"), "id"), tuned) for part, ids in (("train", train), ("val", held), ("test", test))}
+    if zero_shot := zero_shot_metrics(test, names, load):
+        found["zeroshot_test"] = zero_shot
+    io.write_artifact(spark, io.artifact(model.comparison(found), 6), f"{out}/eval_results.json")
+
+
+def zero_shot_metrics(test: DataFrame, names: list[str], load: Callable | None) -> DataFrame | None:
+    found = settled(model.zero_shot(test, names, load=load).where("score IS NOT NULL").select("id", "label", F.col("score").alias("proba")))
+    y = test.select("id", F.col("labels").alias("_labels"))
+    scored = found.join(y, "id").select("id", "label", F.array_contains("_labels", F.col("label")).cast("int").alias("y"), "proba")
+    return None if found.isEmpty() else model.metrics(scored)
 
 
 def io_index(weights: DataFrame) -> DataFrame:

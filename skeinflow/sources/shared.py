@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +18,18 @@ def settled(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skeinflow-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its scan has fewer tasks than there are cores (a table of one small file); otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as computed now, in a folder of its own under spark.checkpoint.dir, in a subfolder for each value of `by`: a filter on these reads its own only."""
+    spark = df.sparkSession
+    settled(df.limit(0))  # sets the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/parts-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -190,7 +190,7 @@ def test_metrics_and_models(spark):
     d = spark.createDataFrame([(i, "good day" if i % 2 else "bad night", ["g"] if i % 2 else []) for i in range(20)], "id long, text string, labels array<string>")
     w = features.tfidf(d, max_df=1.0)
     at = stages.io_index(w)
-    p = model.one_vs_rest(model.vectors(w, at, at.count()), d, ["g", "none"], max_iter=20)
+    p = model.one_vs_rest(model.cells(w, at), d, ["g", "none"], at.count(), max_iter=20)
     got = {(r.id, r.label): r.proba for r in p.collect()}
     assert all((got[i, "g"] > 0.5) == bool(i % 2) and got[i, "none"] == 0 for i in range(20))
     assert model.zero_shot(d, ["x"], scorer=lambda texts, label: [0.7] * len(texts)).where("predicted = 1").count() == 20
@@ -205,8 +205,8 @@ def test_rows_without_a_term_are_scored(spark, monkeypatch):
     monkeypatch.setattr(model, "one_vs_rest", lambda f, *a, **b: seen.append(f) or fit(f, *a, **b))
     got = {r.id: r for r in QUERIES["ovr_logreg"](spark, "").collect()}
     assert sorted(got) == list(range(11)) and got[1].proba > 0.5 > got[0].proba
-    vectors = {r.id: r.features for r in seen[0].collect()}
-    assert vectors[0].size == 6 and vectors[0].numNonzeros() == 3 and vectors[8].numNonzeros() == 0  # two words and their bigram, in few rows
+    places = {r.id: r.at for r in seen[0].collect()}
+    assert len(places[0]) == 3 and places[8] == []  # two words and their bigram, in few rows
 
 
 def test_evaluation_is_fitted_on_the_train_fold_only(spark, tmp_path):
@@ -218,11 +218,12 @@ def test_evaluation_is_fitted_on_the_train_fold_only(spark, tmp_path):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(model, "one_vs_rest", lambda f, *a, **b: seen.extend([f, fit(f, *a, **b)]) or seen[-1])
         stages.evaluate_stage(spark, "", f"file://{tmp_path}")
-    vectors = {r.id: r.features for r in seen[0].collect()}
-    assert len(vectors) == 41 and vectors["t0"].numNonzeros() == vectors["t1"].numNonzeros() == 0 < vectors["u"].numNonzeros()
+    places = {r.id: r.at for r in seen[0].collect()}
+    assert len(places) == 41 and places["t0"] == places["t1"] == [] != places["u"]
     proba = {(r.id, r.label): r.proba for r in seen[1].collect()}
     assert proba["t0", "a"] == proba["t1", "a"] and proba["u", "a"] > 0.5 > proba["r0", "a"]
-    assert (tmp_path / "eval_results.json").exists()
+    written = json.loads((tmp_path / "eval_results.json").read_text())
+    assert {(r["model"], r["metric"]) for r in written} == {(m, f"{k}_{a}") for m in ("tfidf_train", "tfidf_val", "tfidf_test", "zeroshot_test") for k in ("precision", "recall", "f1") for a in ("micro", "macro")}
 
 
 def test_labels_of_the_test_fold_change_neither_weights_nor_thresholds(spark, tmp_path):
