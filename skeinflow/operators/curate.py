@@ -55,8 +55,8 @@ def curate(df: DataFrame, quotas: dict[str, int], cap: int, kind: str = "example
     return reduce(DataFrame.unionByName, taken).drop("_norm", "_prefix")
 
 
-def admitted(new: DataFrame, taken: list[DataFrame], quota: int, cap: int, seq: str) -> DataFrame:
-    """The first `quota` rows of `new` (of different _norm) whose _norm isn't taken and whose _prefix keeps the cap, taken rows included."""
+def admitted(new: DataFrame, taken: list[DataFrame], quota: int | None, cap: int, seq: str) -> DataFrame:
+    """The first `quota` rows (or all) of `new` (of different _norm) whose _norm isn't taken and whose _prefix keeps the cap, taken rows included."""
     if taken:
         before = reduce(DataFrame.unionByName, (t.select("_norm", "_prefix") for t in taken))
         new = new.join(before.select("_norm"), "_norm", "left_anti")
@@ -64,7 +64,15 @@ def admitted(new: DataFrame, taken: list[DataFrame], quota: int, cap: int, seq:
     used = F.coalesce(F.col("_used"), F.lit(0)) if taken else F.lit(0)
     # the bare limit lets Spark keep no more than the cap of a prefix in each task
     ranked = new.withColumn("_at", F.row_number().over(Window.partitionBy("_prefix").orderBy(seq))).where(F.col("_at") <= cap)
-    return ranked.where(F.col("_at") + used <= cap).drop("_at", "_used").orderBy(seq).limit(quota)
+    within = ranked.where(F.col("_at") + used <= cap).drop("_at", "_used")
+    return within if quota is None else first_rows(within, quota, seq)
+
+
+def first_rows(df: DataFrame, n: int, seq: str, gathered: int = 100_000) -> DataFrame:
+    """The first n rows by `seq` (of different values): up to `gathered` by one task, more by their places within ranges."""
+    if n <= gathered:
+        return df.orderBy(seq).limit(n)
+    return numbered(df, seq, "%d", "_place").where(F.col("_place").cast("long") < n).drop("_place")
 
 
 def numbered(df: DataFrame, seq: str = "id", form: str = "syn_%04d", name: str = "row_id") -> DataFrame:

@@ -1,17 +1,18 @@
 """Train/test splits: stratified by label set, or at random; gates, ratios and divergence.
 
 Rows are ordered by md5(seed:id), so a split is a function of seed and ids. The stratified split works on label-set
-signatures, each of which has a quota; the greedy one on labels, the rarest first.
+signatures, each of which has a quota; the greedy one on labels and pairs of labels, the rarest first.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import settled
+from ..sources.shared import settled, written
 from .labels import exploded, with_negative
 
 SEED = 1240
@@ -19,6 +20,8 @@ TEST_SIZE = 0.25
 SHARE_BAND = (0.65, 0.85)
 MOST_JS = 0.05
 EPSILON = 1e-12
+#: Up to this count, units of equal count are a round of the greedy split; beyond, those between it times two powers of two.
+ALONE = 16
 
 
 def seeded(seed: int, id: str = "id") -> Column:
@@ -53,42 +56,85 @@ def stratified_split(records: DataFrame, test_size: float = TEST_SIZE, seed: int
     return _folded(keyed, quota, seed).select("id", "labels", "fold")
 
 
-def greedy_split(records: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
-    """(id, labels, fold): waves over the labels, the rarest first, each of which gives the test fold what its label still lacks.
+def _round_of(n: Column) -> Column:
+    return (F.least(n, F.lit(ALONE)) + F.greatest(F.floor(F.log2(F.floor(n / ALONE))), F.lit(0))).cast("int")
 
-    A row belongs to the wave of its rarest label, so each row is dealt once. Within a wave rows stand by label set and
-    seeded order, and places are taken at equal steps: sets of many rows keep their share, and sets of one row together do.
-    A label of two rows or more gets one of them at least, if a row of its wave is left. The number of labels bounds the
-    waves and what the driver holds; label sets and rows don't.
+
+def greedy_split(records: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED, pairs: bool = True, literal: int = 4096) -> DataFrame:
+    """(id, labels, fold): iterative stratification by units, the labels and (with `pairs`) every two labels that stand together.
+
+    A row belongs to the wave of its rarest unit, so each row is dealt once. Waves of units of like rarity (equal counts up to
+    ALONE, then counts between two powers of two) are one round, rarest first; a round gives each of its units what the test fold still lacks of it, as a share of
+    the rows that are still to deal. Within a wave rows stand by label set and seeded order, and places are taken at equal steps:
+    sets of many rows keep their share, and sets of one row together do. A label of two rows or more gets one of them at
+    least, if a row of its wave is left. One aggregate a round, over that round's rows only, so rounds grow with the
+    logarithm of the number of rows; the driver holds a count for each unit, never rows or label sets. Up to `literal` units are sent as an expression, more are joined.
     """
-    keyed = records.select("id", "labels").withColumn("_set", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("labels", F.array().cast("array<string>"))))))
-    # one row for each label
-    rarest = [(r.label, r.n) for r in keyed.select(F.explode("_set").alias("label")).groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").collect()]
-    rank = F.create_map(*(y for i, (x, _) in enumerate(rarest, 1) for y in (F.lit(x), F.lit(i)))) if rarest else F.create_map().cast("map<string,int>")
-    wave = F.coalesce(F.array_min(F.transform("_set", lambda x: rank[x])), F.lit(0))
-    order = [F.col("_wave"), F.col("_signature"), F.col("_order"), F.col("id")]
-    placed = keyed.withColumns({"_wave": wave.cast("int"), "_signature": F.array_join("_set", "|"), "_order": seeded(seed)})
+    none = F.array().cast("array<string>")
+    keyed = records.select("id", "labels").withColumn("_set", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("labels", none)))))
+    # a label stands for itself, two labels as an array of both, a row without any for the empty array
+    two = F.flatten(F.transform("_set", lambda x, i: F.transform(F.slice("_set", i + 2, F.size("_set")), lambda y: F.array(x, y)))) if pairs else F.array().cast("array<array<string>>")
+    units = F.when(F.size("_set") == 0, F.array(none)).otherwise(F.concat(F.transform("_set", lambda x: F.array(x)), two))
+    keyed = keyed.withColumn("_units", F.transform(units, lambda u: F.to_json(u)))
+    counted = settled(keyed.select(F.explode("_units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
+    total = {r.unit: r.n for r in counted.collect()}  # a row for each unit
+    if not total:
+        return records.select("id", "labels", F.lit("train").alias("fold"))
+    if len(total) <= literal:
+        sizes = F.create_map(*(y for u, n in total.items() for y in (F.lit(u), F.lit(n))))
+        placed = keyed.withColumn("_rarest", F.array_min(F.transform("_units", lambda u: F.struct(sizes[u].alias("n"), u.alias("unit")))))
+    else:
+        rarest = keyed.select("id", F.explode("_units").alias("unit")).join(counted, "unit").groupBy("id").agg(F.min(F.struct("n", "unit")).alias("_rarest"))
+        placed = keyed.join(rarest, "id")
+    placed = placed.select("id", "labels", "_units", F.col("_rarest.unit").alias("_wave"), _round_of(F.col("_rarest.n")).alias("_round"), F.array_join("_set", "|").alias("_signature"), seeded(seed).alias("_order"))
+    order = ["_round", "_wave", "_signature", "_order", "id"]
     drawn = settled(placed.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))  # ranges are drawn by sampling: once
-    sizes = drawn.groupBy("_wave", "_range").agg(F.count("*").alias("_n"))  # a row for each wave of each range
+    ranges = drawn.groupBy("_wave", "_range").agg(F.count("*").alias("_n"))  # a row for each wave of each range
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_wave").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_wave", "_range", before.alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_range", "_wave").orderBy(*order[1:])) + F.col("_before")
-    ranked = settled(drawn.join(starts, ["_wave", "_range"]).withColumn("_at", at).drop("_before", "_range"))
-    n_of = {r[0]: r[1] for r in sizes.groupBy("_wave").agg(F.sum("_n")).collect()}
-
-    have, need = {x: 0 for x, _ in rarest}, {0: math.floor(n_of.get(0, 0) * test_size + 0.5)}
-    taken = lambda k: F.floor(F.col("_at") * need[k] / n_of[k]) > F.floor((F.col("_at") - 1) * need[k] / n_of[k])
-    for k, (label, n) in enumerate(rarest, 1):
-        want = max(math.floor(n * test_size + 0.5), 1 if n > 1 else 0)
-        need[k] = min(max(want - have[label], 0), n_of.get(k, 0))
-        if need[k]:
-            for r in ranked.where((F.col("_wave") == k) & taken(k)).select(F.explode("_set").alias("label")).groupBy("label").count().collect():
-                have[r[0]] += r[1]
-    chosen = F.lit(False)
-    for k in n_of:
-        if need[k]:
-            chosen = chosen | ((F.col("_wave") == k) & taken(k))
-    return ranked.select("id", "labels", F.when(chosen, "test").otherwise("train").alias("fold"))
+    starts = ranges.select("_wave", "_range", before.alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range", "_wave").orderBy(*order[2:])) + F.col("_before")
+    ranked = written(drawn.join(starts, ["_wave", "_range"]).withColumn("_at", at).drop("_before", "_range"), "_round")
+    n_of = {r[0]: r[1] for r in ranges.groupBy("_wave").agg(F.sum("_n")).collect()}
+    waves: dict[int, list[str]] = {}
+    for unit in n_of:
+        waves.setdefault(min(total[unit], ALONE) + max(0, (total[unit] // ALONE).bit_length() - 1), []).append(unit)
+
+    have, left, need = dict.fromkeys(total, 0), dict(total), {}
+    spark = records.sparkSession
+    dealt = lambda rows, few: rows.join(F.broadcast(spark.createDataFrame([(u, need[u], n_of[u]) for u in few], "_wave string, _need long, _of long")), "_wave")  # noqa: E731  # at most a row for each unit
+    taken = F.floor(F.col("_at") * F.col("_need") / F.col("_of")) > F.floor((F.col("_at") - 1) * F.col("_need") / F.col("_of"))
+    single = {u: json.loads(u) for u in total}
+    name_of = {s[0]: u for u, s in single.items() if len(s) == 1}
+    near = {u: sorted((total[name_of[x]], x) for x in s) for u, s in single.items()}
+    rate = lambda u: min(max((total[u] * test_size - have[u]) / max(left[u], 1), 0.0), 1.0)  # noqa: E731  # what the test fold lacks, as a share of the rows still to deal
+    for k in sorted(waves):
+        groups: dict[tuple, list[str]] = {}
+        for u in sorted(waves[k], key=lambda u: (near[u], u)):
+            groups.setdefault(tuple(near[u][:1]), []).append(u)
+        owed = 0.5  # parts of rows go over to the next wave
+        for rarest, units_of in groups.items():
+            # together the waves of one rare label take what that label lacks
+            base = rate(name_of[rarest[0][1]]) if rarest else test_size
+            wanted = {u: n_of[u] * rate(u) for u in units_of}
+            whole, given = sum(wanted.values()), base * sum(n_of[u] for u in units_of)
+            for u in units_of:
+                owed += min(wanted[u] * given / whole if whole else n_of[u] * base, n_of[u])
+                need[u] = min(math.floor(owed), n_of[u])
+                owed -= need[u]
+                if len(single[u]) == 1 < total[u] and not need[u] and not have[u] and n_of[u]:
+                    need[u] = 1
+        done = dealt(ranked.where(F.col("_round") == k), waves[k]).select(F.explode("_units").alias("unit"), taken.alias("_taken"))
+        for r in done.groupBy("unit").agg(F.count("*").alias("n"), F.count_if("_taken").alias("taken")).collect():
+            have[r.unit] += r.taken
+            left[r.unit] -= r.n
+    return dealt(ranked, list(n_of)).select("id", "labels", F.when(taken, "test").otherwise("train").alias("fold"))
+
+
+def pair_counts(split: DataFrame) -> DataFrame:
+    """(a, b, total, test): how often two labels stand together, in all and in the test fold."""
+    sets = split.select("fold", F.array_sort(F.array_distinct(F.array_compact("labels"))).alias("s"))
+    each = sets.select("fold", F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    return each.groupBy("p.a", "p.b").agg(F.count("*").alias("total"), F.count_if(F.col("fold") == "test").alias("test"))
 
 
 def random_split(df: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED, round_up: bool = False) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import prompts
 from ..functions import text as tx
-from ..operators import curate, features, judge, labels, model, profile, split
-from ..sources import synthetic
+from ..operators import curate, features, judge, labels, lexicon, model, profile, split
+from ..sources import generate, synthetic
+from ..sources.shared import folder, settled, spread
 from ..sources.tables import with_aliases
 from .bindings import CLASSES, DOCS_SQL, EVENTS_SQL, ORDERS_SQL, SCORES_SQL, UNIFORM, docs, events, orders, scores, table
 
@@ -160,6 +161,17 @@ def lexicon_hits(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(hits).cast("long").alias("n_hits"), F.array_join(hits, ",").alias("hits"))
 
 
+_LONG_WORDS = "SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM documents WHERE doc_id % 50 = 0)"
+
+
+@query(f"WITH lexicon AS ({_LONG_WORDS}) SELECT term, count(*) AS n_docs FROM documents d JOIN lexicon ON contains(d.text, term) GROUP BY term")
+def lexicon_index(spark, sf):
+    """In how many documents each long word of every fiftieth document stands: a lexicon that grows with the table."""
+    d = table(spark, sf, "documents")
+    words = d.where("doc_id % 50 = 0").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("term"))
+    return lexicon.lexicon_matches(d, words, id="doc_id").groupBy("term").agg(F.count("*").alias("n_docs"))
+
+
 # predicates
 
 _STRIP = lambda x: f"regexp_replace({x}, '^{QUIET}+|{QUIET}+$', '', 'g')"
@@ -461,6 +473,16 @@ def greedy_split(spark, sf):
     return split.stratified_split(docs(spark, sf), greedy=True).select("id", "fold")
 
 
+@query(
+    f"""WITH {EVENTS_SQL}, p AS (SELECT x.label AS a, y.label AS b FROM (SELECT id, unnest(labels) AS label FROM days) x JOIN (SELECT id, unnest(labels) AS label FROM days) y ON x.id = y.id AND x.label < y.label)
+SELECT a, b, count(*) AS total, true AS in_band FROM p GROUP BY ALL HAVING count(*) >= 20"""
+)
+def pair_shares(spark, sf):
+    """Pairs of labels of 20 rows or more, and whether the greedy split leaves 65 to 85 % of each to the train fold, as it must."""
+    share = 1 - F.col("test") / F.col("total")
+    return split.pair_counts(split.greedy_split(events(spark, sf))).where("total >= 20").select("a", "b", "total", share.between(*split.SHARE_BAND).alias("in_band"))
+
+
 # seeded choice
 
 _ID = "CAST(doc_id AS VARCHAR)"
@@ -516,6 +538,43 @@ def synthetic_records(spark, sf):
     return synthetic.composed(plan, ["Lately", "Since I came back", "These days"], behaviours, ["that is all", "no idea why"])
 
 
+#: Of generated records: words of a text, share of the table that each type wants, and the cap of opening words.
+_WORDS, _WANTED, _CAP = 14, {"en": 4, "fr": 20, "de": 25}, 3
+_GIVEN = f"""bank AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n, lang, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> ''), 1, {_WORDS}), ' ') AS text FROM documents),
+n AS (SELECT count(*) AS n FROM documents), kinds AS (SELECT unnest({list(_WANTED)!r}) AS kind, unnest({list(_WANTED.values())!r}) AS part),
+tries AS (SELECT kind, n // part AS quota, n, unnest(range(8 * (n // part))) AS attempt FROM kinds, n),
+made AS (SELECT kind, quota, attempt, b.text, lower(b.text) AS norm, array_to_string(list_slice(string_split(b.text, ' '), 1, 3), ' ') AS prefix FROM tries t JOIN bank b ON b.place = floor({UNIFORM.format("'draw:' || kind || ':' || attempt")} * t.n)::BIGINT WHERE lang = kind AND length(b.text) >= 25)"""
+
+
+def _taken_sql() -> str:
+    """A query for each type over those before it."""
+    parts, names = [], []
+    for k, kind in enumerate(_WANTED):
+        before = " UNION ALL ".join(f"SELECT norm, prefix FROM g{j}" for j in names)
+        new = f"SELECT *, row_number() OVER (PARTITION BY norm ORDER BY attempt) AS first FROM made WHERE kind = '{kind}'" + (f" AND norm NOT IN (SELECT norm FROM ({before}))" if before else "")
+        used = f"coalesce((SELECT count(*) FROM ({before}) b WHERE b.prefix = r.prefix), 0)" if before else "0"
+        parts.append(f"g{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY attempt) AS at FROM ({new}) WHERE first = 1) r WHERE at + {used} <= {_CAP} QUALIFY row_number() OVER (ORDER BY attempt) <= quota)")
+        names.append(k)
+    return ", ".join(parts) + ", every AS (" + " UNION ALL ".join(f"SELECT {k} AS k, kind, attempt, text FROM g{k}" for k in names) + ")"
+
+
+@query(f"WITH {_GIVEN}, {_taken_sql()} SELECT format('syn_{{:04d}}', row_number() OVER (ORDER BY k, attempt) - 1) AS id, kind AS example_type, attempt, text FROM every")
+def generated_by_quota(spark, sf):
+    """Records drawn from the documents' openings until each type has its share of the table, or eight attempts were made for each that it wants."""
+    d = spread(table(spark, sf, "documents"))
+    words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
+    bank = curate.numbered(d.select("doc_id", "lang", F.array_join(F.slice(words, 1, _WORDS), " ").alias("text")), "doc_id", "%d", "place").withColumn("place", F.col("place").cast("long"))
+    bank = settled(bank.select("place", "lang", "text"))
+    n = bank.count()
+
+    def make(rows):
+        at = F.floor(tx.hash_uniform(F.lit("draw"), F.col("example_type"), F.col("attempt")) * n).cast("long")
+        return rows.withColumn("place", at).join(bank, "place").where("lang = example_type").select("example_type", "attempt", "text")
+
+    quotas = {k: n // part for k, part in _WANTED.items()}
+    return generate.generate(spark, folder(spark), quotas, make, F.length("text") >= 25, _CAP).select("id", "example_type", "attempt", "text")
+
+
 # features and models
 
 _TERMS = """t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents),

@@ -30,7 +30,7 @@ def filter_stage(spark: SparkSession, source: str, out: str, score=accept_all, *
     records = io.read_records(spark, source)
     judged, new = judge.settle(records, io.read_cache(spark, f"{out}/cache"), score, **limits)
     io.write_records(judged, f"{out}/judged")
-    io.append_cache(new, f"{out}/cache")
+    io.upsert_cache(new, f"{out}/cache")
     done = spark.read.parquet(f"{out}/judged")
     io.write_clean(done, f"{out}/clean")
     io.write_artifact(spark, io.artifact(judge.filter_metrics(done), 6), f"{out}/quality_metrics.json")

@@ -6,17 +6,28 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as computed now, in spark.checkpoint.dir. In local mode a folder of its own does; on a cluster one that isn't shared won't."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. In local mode a folder of its own does where none is set; on a cluster one that isn't shared won't."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", context.master):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skeinflow-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinflow-"))
+    return context.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared(spark)}/parts-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as computed now, in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -29,7 +40,6 @@ def spread(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, *by: str) -> DataFrame:
     """df as computed now, in a folder of its own under spark.checkpoint.dir, in a subfolder for each value of `by`: a filter on these reads its own only."""
     spark = df.sparkSession
-    settled(df.limit(0))  # sets the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/parts-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,14 +53,76 @@ def read_folds(spark: SparkSession, train: str, test: str) -> DataFrame:
     return read_records(spark, train).withColumn("fold", F.lit("train")).unionByName(read_records(spark, test).withColumn("fold", F.lit("test")))
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The verdict cache; empty if there is none yet. One that can't be read is an error, not an empty one."""
-    return spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def latest(spark: SparkSession, log: str) -> tuple[int, dict | list | None]:
+    """The last version of a log of JSON files, and its content; 0 and None if there is none yet."""
+    fs, at = _fs(spark, log)
+    if not fs.exists(at):
+        return 0, None
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    version = max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+    return (version, json.loads(spark.read.text(f"{log}/{version:012d}.json", wholetext=True).first()[0])) if version else (0, None)
+
+
+def commit(spark: SparkSession, log: str, version: int, content: dict | list) -> bool:
+    """Adds a version to the log in one step: written under another name, then renamed. False if another writer has taken the version."""
+    own = f"{log}/.{uuid.uuid4().hex}"
+    write_artifact(spark, content, own)
+    jvm, fs = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    source = fs.Path(own)
+    context = fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()) if source.toUri().getScheme() else fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(source, fs.Path(f"{log}/{version:012d}.json"), options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        context.delete(source, False)
+        return False
+    return True
 
 
-def append_cache(rows: DataFrame, path: str) -> None:
-    """New verdicts, once for a batch; rows must be of keys that the cache lacks."""
-    rows.select("cache_key", "codes").write.mode("append").parquet(path)
+def _parts(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """One row a key: that of the last part which has it."""
+    each = [spark.read.schema(CACHE).parquet(f"{path}/{p}") for p in parts]
+    if len(each) == 1:
+        return each[0]
+    every = reduce(DataFrame.unionByName, (d.withColumn("_at", F.lit(i)) for i, d in enumerate(each)))
+    return every.groupBy("cache_key").agg(F.max_by("codes", "_at").alias("codes"))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The verdict cache, one row a key; empty if there is none yet. One that can't be read is an error, not an empty one."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], CACHE)
+    _, parts = latest(spark, f"{path}/_log")
+    return _parts(spark, path, parts) if parts else spark.createDataFrame([], CACHE)  # a part that no version names yet isn't there
+
+
+def upsert_cache(rows: DataFrame, path: str, most_parts: int = 16) -> None:
+    """New verdicts; a key that is there already takes the new one.
+
+    The batch is written as a part, then a version of the log that names it is put in place in one step: a batch that is killed
+    in between leaves a part that nobody reads, and of two writers the later takes the other's version in and tries again. Beyond
+    `most_parts` the parts are merged by key into one.
+    """
+    spark = rows.sparkSession
+    part = f"parts/{uuid.uuid4().hex}"
+    rows.groupBy("cache_key").agg(F.min("codes").alias("codes")).write.parquet(f"{path}/{part}")
+    while True:
+        version, parts = latest(spark, f"{path}/_log")
+        named = [*(parts or []), part]
+        if len(named) > most_parts:
+            merged = f"parts/{uuid.uuid4().hex}"
+            _parts(spark, path, named).write.parquet(f"{path}/{merged}")
+            named = [merged]
+        if commit(spark, f"{path}/_log", version + 1, named):
+            return
 
 
 def write_records(df: DataFrame, path: str, form: str = "parquet") -> None:

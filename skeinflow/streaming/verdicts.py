@@ -1,4 +1,4 @@
-"""Verdicts for a stream of records: each micro-batch meets the cache as it stands, and its new verdicts are appended once."""
+"""Verdicts for a stream of records: each micro-batch meets the cache as it stands, and its new verdicts are put in, one row a key."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.judge import settle
-from ..sources.tables import append_cache, read_cache
+from ..sources.tables import read_cache, upsert_cache
 
 
 def judge_stream(records: DataFrame, score: Callable[[DataFrame], DataFrame], cache_path: str, out_path: str, checkpoint: str, text: str = "text", **limits) -> StreamingQuery:
@@ -18,7 +18,6 @@ def judge_stream(records: DataFrame, score: Callable[[DataFrame], DataFrame], ca
         spark = batch.sparkSession
         judged, new = settle(batch, read_cache(spark, cache_path), score, text, **limits)
         judged.write.mode("overwrite").parquet(f"{out_path}/batch={n}")
-        known = read_cache(spark, cache_path).select("cache_key")
-        append_cache(new.join(known, "cache_key", "left_anti"), cache_path)
+        upsert_cache(new, cache_path)
 
     return records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
