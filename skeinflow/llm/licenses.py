@@ -3,7 +3,9 @@
 A text is lower-cased (A-Z only) and reduced to its words joined by single spaces, so each rule is a regex over
 words. A rule runs only on texts that hold its keyword. Of the detections found, one that lies inside the interval of
 a detection of higher rank is suppressed, and so is one that overlaps it in part and is of the same family; rank is
-priority, then length, then (ties) rule order. What is negated ("not licensed under ...") suppresses but isn't reported.
+priority, then length, then (ties) rule order. Only intervals that are still open where one starts are compared with it.
+Short names and SPDX expressions are read by identifier (family, version, "or later"), several where they are joined; notices that name
+a version but no licence take the family of the nearest notice before. What is negated ("not licensed under ...") suppresses but isn't reported.
 The base phrases are counted apart from that and are never suppressed.
 
 Null and empty texts have no words and no detections; texts of any length are read whole, in time in proportion to
@@ -68,7 +70,7 @@ FAMILIES = [
     ("openssl", ["openssl license"], []),
     ("unlicense", ["the unlicense", "unlicense license"], []),
     ("wtfpl", ["do what the fuck you want to public license", "wtfpl"], ["1", "2"]),
-    ("python", ["python software foundation license", "psf license"], ["2"]),
+    ("python", ["python software foundation license", "psf license", "python license"], ["2"]),
     ("php", ["php license"], ["3 0", "3 01"]),
     ("ruby", ["ruby license"], []),
     ("perl", ["perl license", "same terms as perl itself"], []),
@@ -174,10 +176,13 @@ TEXTS = [
     ("apache-1.1", 60, "this product includes software developed by the apache software foundation"),
     ("apache", 50, "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions"),
     # copyleft: grants, notices, parts of the text
-    ("gpl-2-or-later", 85, "either version 2 of the license or at your option any later version"),
-    ("gpl-3-or-later", 85, "either version 3 of the license or at your option any later version"),
-    ("lgpl-2.1-or-later", 85, "either version 2 1 of the license or at your option any later version"),
-    ("gpl", 50, "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("*-1-or-later", 85, "either version 1 of the license or at your option any later version"),
+    ("*-2-or-later", 85, "either version 2 of the license or at your option any later version"),
+    ("*-2.1-or-later", 85, "either version 2 1 of the license or at your option any later version"),
+    ("*-3-or-later", 85, "either version 3 of the license or at your option any later version"),
+    ("*-2", 75, "version 2 of the license only"),
+    ("*-3", 75, "version 3 of the license only"),
+    ("*", 50, "this program is distributed in the hope that it will be useful but without any warranty"),
     ("lgpl", 50, "this library is distributed in the hope that it will be useful but without any warranty"),
     ("gpl", 45, "you should have received a copy of the gnu general public license along with this (?:program|file|software)"),
     ("lgpl", 45, "you should have received a copy of the gnu (?:lesser|library) general public license along with this library"),
@@ -209,8 +214,8 @@ TEXTS = [
     ("ofl", 55, "this license is copied below and is also available with a faq at"),
     ("ofl", 50, "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
     # creative commons and data
-    ("cc-by", 55, "you are free to share copy and redistribute the material in any medium or format"),
-    ("cc-by", 50, "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc", 34, "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc", 34, "you must give appropriate credit provide a link to the license and indicate if changes were made"),
     ("cc-by-nc", 55, "you may not use the material for commercial purposes"),
     ("cc-by-nd", 55, "if you remix transform or build upon the material you may not distribute the modified material"),
     ("cc-by-sa", 55, "if you remix transform or build upon the material you must distribute your contributions under the same license"),
@@ -267,9 +272,12 @@ VERSIONED = [
     ("-{d}-or-later", 80, "{n} (?:version |v )?{v} or (?:at your option )?(?:any )?later(?: version)?"),
     ("-{d}-or-later", 82, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of )?(?:the )?{n} (?:version |v )?{v} or (?:at your option )?(?:any )?later(?: version)?"),
     ("-{d}-or-later", 80, "{n} either version {v} of the license or at your option any later version"),
-    ("-{d}", 75, "spdx license identifier {s} {v}(?: only)?"),
 ]
-SPDX = b"spdx license identifier"
+#: Families whose notices say "either version N of the License" without a name: those rules, marked by a star, take the family of the nearest one before.
+BOUND = {"gpl", "lgpl", "agpl", "gfdl"}
+#: Families that go by their short name alone where licences are named, and those that do with a version anywhere.
+SHORT = ["gpl", "lgpl", "agpl", "gfdl", "apache", "mpl", "epl", "cddl", "eupl", "mit", "bsd", "isc", "zlib", "ofl", "cc0", "unlicense", "wtfpl"]
+SHORTER = ["gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "cddl", "eupl"]
 #: Chance that a detection of this priority or more is right.
 CONFIDENCE = [(80, 0.99), (70, 0.97), (50, 0.95), (30, 0.85), (0, 0.7)]
 
@@ -304,8 +312,7 @@ def rules() -> list[Rule]:
             for v in versions:
                 d = v.replace(" ", ".")
                 for add, priority, shape in VERSIONED:
-                    made.append((label + add.format(d=d), priority, shape.format(n=name, v=v, s=label.replace("-", " ")), SPDX if "{s}" in shape else name.encode()))
-        made.append((label, 74, f"{SPDX.decode()} {label.replace('-', ' ')}", SPDX))
+                    made.append((label + add.format(d=d), priority, shape.format(n=name, v=v), name.encode()))
     made = list(dict.fromkeys(made))
     return [Rule(label, priority, keyword, re.compile(rf"(?<= ){shape}(?= )".encode())) for label, priority, shape, keyword in sorted(made, key=lambda x: -x[1])]
 
@@ -329,28 +336,114 @@ def _keywords() -> ahocorasick.Automaton:
     return found
 
 
+class Named(NamedTuple):
+    """Places that name licences by identifiers: what stands before them, the identifiers allowed, whether several may be joined."""
+
+    priority: int
+    sign: bytes
+    regex: re.Pattern
+    identifier: re.Pattern
+
+
+def _identifier(labels: list[str], versioned: str) -> str:
+    names = "|".join(x.replace("-", " ") for x in sorted(labels, key=len, reverse=True))
+    return rf"(?:{names}){versioned}(?: only| or later| or any later version)?"
+
+
+@cache
+def _named() -> list[Named]:
+    number, given = r"(?: ?v ?[0-9]+(?: [0-9]+){0,2}| (?:version )?[0-9](?: [0-9]+){0,2})", r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of )?(?:the )?"
+    every, short, shorter = (_identifier(x, v) for x, v in (([f[0] for f in FAMILIES], number + "?"), (SHORT, number + "?"), (SHORTER, number)))
+    shapes = [
+        (76, "spdx license identifier", rf"spdx license identifier {every}(?: (?:or|and) {every})*", every),
+        (36, " under ", given + short, short), (36, "licen", rf"licen[cs]e (?:is )?{short}", short), (50, "pl", shorter, shorter),
+    ]
+    return [Named(priority, sign.encode(), re.compile(rf"(?<= ){shape}(?= )".encode()), re.compile(rf"(?<= ){one}(?= )".encode())) for priority, sign, shape, one in shapes]
+
+
+@cache
+def _versions() -> dict[str, set[str]]:
+    return {label: {v.replace(" ", ".") for v in versions} for label, _, versions in FAMILIES}
+
+
+def label_of(identifier: str) -> str:
+    """The label of an identifier in words: its family, version and whether later ones will do."""
+    later = re.search(r" or (?:any )?later(?: version)?$", identifier)
+    words = re.sub(r" (?:only|or later|or any later version)$", "", identifier)
+    m = re.fullmatch(r"(.+?)(?: ?v ?([0-9]+(?: [0-9]+)*)| (?:version )?([0-9](?: [0-9]+)*))?", words)
+    family, version = m[1].replace(" ", "-"), (m[2] or m[3] or "").replace(" ", ".")
+    known = _versions().get(family, set())
+    if version and version not in known:
+        version = version.removesuffix(".0") if version.removesuffix(".0") in known else version + ".0" if version + ".0" in known else version
+    return family + (f"-{version}" if version else "") + ("-or-later" if later and version else "")
+
+
 #: Ends of what stands before a detection that is denied.
 _NEGATED = re.compile(rb" (?:not|never|no longer|isn t|aren t|cannot be) (?:[^ ]+ )?(?:under )?(?:the )?\Z")
 
 
-def detect(words: bytes) -> list[Detection]:
-    """Detections in words joined by, and standing between, single spaces; overlaps are resolved."""
-    found: list[tuple[int, int, tuple[int, int, int], Rule]] = []
+def _family(label: str) -> str:
+    return label.split("-")[0]
+
+
+def _found(words: bytes) -> list[tuple[int, int, tuple[int, int, int], str, int]]:
+    """(start, -end, rank, label, priority) of every match."""
+    found = []
     for keyword in {k for _, k in _keywords().iter(words.decode("latin-1"))}:
         for order, rule in _by_keyword()[keyword]:
-            found += [(m.start(), -m.end(), (-rule.priority, m.start() - m.end(), order), rule) for m in rule.regex.finditer(words)]
+            found += [(m.start(), -m.end(), (-rule.priority, m.start() - m.end(), order), rule.label, rule.priority) for m in rule.regex.finditer(words)]
+    for k, named in enumerate(_named()):
+        if named.sign in words:
+            for m in named.regex.finditer(words):
+                for one in named.identifier.finditer(words, m.start(), m.end() + 1):
+                    found.append((one.start(), -one.end(), (-named.priority, one.start() - one.end(), 1 << 20 | k), label_of(one.group().decode()), named.priority))
+    return found
+
+
+def _bound(kept: list[Detection]) -> list[Detection]:
+    """Detections in order, those of a starred rule with the family of the nearest one before; they take the place of that family's notices without a version."""
+    out: list[Detection] = []
+    last, absorbs = "gpl", {}
+    for d in kept:
+        if d.label.startswith("*"):
+            d = d._replace(label=last + d.label[1:])
+            if d.label == last:
+                if d.start >= absorbs.get(last, 0):
+                    out.append(d)
+                continue
+            absorbs[last] = d.start + ABSORBED
+            while out and out[-1].label == last and d.start - out[-1].end < ABSORBED:
+                out.pop()
+        elif _family(d.label) in BOUND:
+            last = _family(d.label)
+            if d.label == last and d.start < absorbs.get(last, 0):
+                continue
+        out.append(d)
+    return out
+
+
+#: How far from a version's notice, in bytes, the rest of the same notice may lie.
+ABSORBED = 2000
+
+
+def detect(words: bytes) -> list[Detection]:
+    """Detections in words joined by, and standing between, single spaces; overlaps are resolved."""
     # what contains an interval starts no later: those still open when it starts are all that can suppress it
-    kept, still_open = [], []
-    for start, end, rank, rule in sorted(found, key=lambda f: f[:3]):
+    kept: list[list] = []  # detection, rank, and whether it stays
+    still_open, of_family = [], {}
+    for start, end, rank, label, priority in sorted(_found(words), key=lambda f: f[:3]):
         still_open = [o for o in still_open if -o[1] > start]
-        family = rule.label.split("-")[0]
+        family = _family(label)
         if not any(o[2] < rank and (o[1] <= end or o[3] == family) for o in still_open):
-            # an earlier one of the same family that reaches into this one and is of lower rank goes
-            kept = [k for k in kept if not (k[0] == family and k[1].end > start and k[2] > rank)]
-            kept.append((family, Detection(rule.label, rule.priority, start, -end), rank))
+            # an earlier one of the same family that reaches into this one and is of lower rank goes; only those still open can
+            reach = [k for k in of_family.get(family, ()) if k[0].end > start]
+            for k in reach:
+                k[2] = k[2] and k[1] <= rank
+            kept.append([Detection(label, priority, start, -end), rank, True])
+            of_family[family] = [*(k for k in reach if k[2]), kept[-1]]
         still_open.append((start, end, rank, family))
-    kept = [d for _, d, _ in kept if not _NEGATED.search(words, max(0, d.start - 40), d.start)]
-    return sorted(kept, key=lambda k: (k.start, k.end, k.label))
+    stay = sorted((d for d, _, stays in kept if stays), key=lambda k: (k.start, k.end, k.label))
+    return sorted((d for d in _bound(stay) if not _NEGATED.search(words, max(0, d.start - 40), d.start)), key=lambda k: (k.start, k.end, k.label))
 
 
 _FOLD = bytes(c if chr(c).isdigit() or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))

@@ -75,6 +75,14 @@ def test_license_scan(spark):
         ("the gnu general public license version 2 or any later version", ["gpl-2-or-later"]),
         ("released under the apache license version 2 0", ["apache-2.0"]),
         ("not released under the apache license 2 0", []),
+        ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but without any warranty. You should have received a copy of the GNU Affero General Public License along with this program.", ["agpl-3-or-later"]),
+        ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", ["lgpl-3-or-later"]),
+        ("the GNU General Public License as published; either version 2 of the License, or (at your option) any later version.", ["gpl-2-or-later"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2-or-later"]),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", ["mit", "apache-2.0"]),
+        ("SPDX-License-Identifier: LGPL-2.1-only", ["lgpl-2.1"]),
+        ("GPLv3", ["gpl-3"]), ("GPL v2 or later", ["gpl-2-or-later"]), ("MPL 2.0", ["mpl-2.0"]), ("License: MIT", ["mit"]), ("licensed under MIT", ["mit"]), ("released under the LGPL", ["lgpl"]), ("the python license", ["python"]),
+        ("he came mit ihm and the gpl of it", []),
         ("it is not under the mit license", []),
         ("signs in asl are words", []),
         ("creative commons attribution noncommercial sharealike 4 0 international", ["cc-by-nc-sa-4.0"]),
@@ -86,7 +94,7 @@ def test_license_scan(spark):
     ],
 )
 def test_detections(text, labels):
-    assert [k.label for k in licenses.detect(f" {text} ".encode())] == labels
+    assert [k.label for k in licenses.detect(b" " + b" ".join(licenses.words_of(text.encode())) + b" ")] == labels
 
 
 def test_suppression_is_that_of_all_pairs():
@@ -96,11 +104,12 @@ def test_suppression_is_that_of_all_pairs():
     seen = 0
     for _ in range(400):
         words = f" {' '.join(rng.choice(phrases) for _ in range(rng.randint(3, 14)))} ".encode()
-        found = [((-r.priority, m.start() - m.end(), i), m.start(), m.end(), r) for i, r in enumerate(licenses.rules()) if r.keyword in words for m in r.regex.finditer(words)]
+        found = [(rank, start, -end, label, priority) for start, end, rank, label, priority in licenses._found(words)]
+        assert {(m.start(), m.end(), r.label) for r in licenses.rules() for m in r.regex.finditer(words)} <= {(f[1], f[2], f[3]) for f in found}
         kept = licenses.detect(words)
         seen += len(found) > len(kept) > 0
         for d in kept:
-            rank = min(f[0] for f in found if (f[1], f[2], f[3].label, f[3].priority) == (d.start, d.end, d.label, d.priority))
+            rank = min(f[0] for f in found if f[1:] == (d.start, d.end, d.label, d.priority))
             assert not any(f[0] < rank and f[1] <= d.start and d.end <= f[2] for f in found)
         for a, b in itertools.combinations(kept, 2):
             assert a.label.split("-")[0] != b.label.split("-")[0] or a.end <= b.start or b.end <= a.start
@@ -561,6 +570,14 @@ def test_pii_of_texts_written_by_hand():
     assert pii.redacted(WRITTEN[0][0], weights) == "Push with <secret> now"
 
 
+def test_license_scan_takes_time_in_proportion():
+    """Many detections in one text: a phrase that overlaps nothing, one that lies in others, and identifiers."""
+    for phrase in ("gnu general public license ", "licensed under the gnu general public license version 3 or later ", "SPDX-License-Identifier: MIT OR ISC ", "gplv3 "):
+        began = time.process_time()
+        assert len(licenses.scan(phrase.encode() * (1_000_000 // len(phrase)))[2]) > 10_000
+        assert time.process_time() - began < 10, phrase
+
+
 def test_pii_takes_time_in_proportion():
     t = " ".join(f"joe{i}@example.org +1 555 010 {i % 9000 + 1000}" for i in range(8000))
     began = time.process_time()
@@ -670,5 +687,5 @@ def test_long_texts(spark):
     cut = rows(substrings.remove_repeats(d, ["doc_id"]))
     assert [(cut[i].n_words, cut[i].n_removed, cut[i].kept_sha256) for i in range(3)] == [w[:3] for w in brute_removal([long, long[:-3], "short"])]
     assert rows(quality_rules.quality_rules(d, ["doc_id"]))[0].n_words == len(long.split())
-    assert rows(pii.find_pii(d, ["doc_id"]))[0].n_email == 0 and rows(licenses.scan_licenses(d, ["doc_id"]))[2].n_words == 1
+    assert rows(pii.find_pii(d, ["doc_id"]))[0].n_email == 0 and [rows(licenses.scan_licenses(d, ["doc_id"]))[i].n_words for i in (0, 2)] == [len(licenses.words_of(long.encode())), 1]
     assert rows(paragraph_sketch.fingerprints(d))[0].n_chars == len(long)
