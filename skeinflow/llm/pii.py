@@ -196,6 +196,10 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     return out
 
 
+#: Groups of digits that a number is written in at most.
+MOST_GROUPS = 6
+
+
 def candidates(text: str, tokens: list[tuple[int, int]]):
     """Spans that may be entities: by the look of their edges, with at least one feature that tells."""
     n = len(tokens)
@@ -203,7 +207,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]):
         first = text[tokens[i][0] : tokens[i][1]]
         if not (first[0].isalnum() or first in "+(_%"):
             continue
-        n_digits = dots = 0
+        n_digits = dots = groups = 0
         held_at = letters = False
         account, joined = bool(_IBAN_START.match(first)), True
         opens = not tokens[i][0] or not (text[tokens[i][0] - 1].isalnum() or text[tokens[i][0] - 1] in "-_.")
@@ -217,12 +221,16 @@ def candidates(text: str, tokens: list[tuple[int, int]]):
             account &= c.isalnum() and c.upper() == c
             held_at |= c == "@"
             letters |= any(x.isalpha() for x in c)
-            n_digits += sum("0" <= x <= "9" for x in c)
+            more = sum("0" <= x <= "9" for x in c)
+            n_digits += more
+            groups += more > 0
             dots += c == "."
             if spaced and (held_at or not n_digits and first not in "+("):
                 break  # no spaces in what has an @ or no digits yet
             if j - i > 1 and not held_at and n_digits > 19 and not account and not joined:
                 break  # too long for any number
+            if groups > MOST_GROUPS and not (held_at or account or joined):
+                break  # no number is written in so many groups
             if not c[-1].isalnum():
                 continue
             if held_at or j - i == 1 and letters and n_digits and e - s >= 16:

@@ -585,6 +585,13 @@ def test_pii_takes_time_in_proportion():
     assert len(base) == 16_000 and len(every) == 16_000 and time.process_time() - began < 20
 
 
+def test_pii_of_number_runs_takes_time_in_proportion():
+    for run, most in (("1 ", 12), ("1 22 ", 20), ("7.5 ", 20)):
+        began = time.process_time()
+        assert not any(k == "secret" for k, *_ in pii.all_spans(run * (300_000 // len(run)), pii.fitted())[1])
+        assert time.process_time() - began < most, run
+
+
 def brute_pieces(t, longest=300):
     """Lines, cut at sentence ends, and on after words whose hash says so."""
     out = set()
