@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import prompts
 from ..functions import text as tx
-from ..operators import curate, features, judge, labels, lexicon, model, profile, split
+from ..operators import curate, distribution, features, judge, labels, lexicon, model, profile, split
 from ..sources import generate, synthetic
 from ..sources.shared import folder, settled, spread
 from ..sources.tables import with_aliases
@@ -142,6 +142,25 @@ def length_describe(spark, sf):
     return profile.describe(table(spark, sf, "documents"), profile.text_lengths())
 
 
+@query(" UNION ALL ".join(f"SELECT l_returnflag, {p}::DOUBLE AS p, round(quantile_cont(l_extendedprice, {p}), 6) AS value FROM lineitem GROUP BY l_returnflag" for p in (0.25, 0.5, 0.75, 0.999)))
+def price_quantiles(spark, sf):
+    """Exact quantiles of a measure of many different values."""
+    found = distribution.quantiles(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", [0.25, 0.5, 0.75, 0.999])
+    return found.withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""WITH x AS (SELECT lang AS g, {_WORDS}::DOUBLE AS x FROM documents), s0 AS (SELECT g, count(*) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM x GROUP BY g HAVING max(x) > min(x)),
+s AS (SELECT g, n, lo, hi, sd * pow(n::DOUBLE, -0.2::DOUBLE) AS bw FROM s0), h AS (SELECT g, n, lo, hi, bw, least(floor((x - lo) / (hi - lo) * 1024), 1023) AS part, count(*) AS m FROM x JOIN s USING (g) GROUP BY ALL),
+k AS (SELECT g, n, bw, i::INT AS i, lo - 2 * bw + i * ((hi - lo + 4 * bw) / 99) AS at, lo + (part + 0.5::DOUBLE) * ((hi - lo) / 1024) AS mid, m FROM h, (SELECT unnest(range(100)) AS i))
+SELECT g AS lang, i, round("at", 6) AS "at", round(sum(m * exp(-0.5::DOUBLE * pow(("at" - mid) / bw, 2))) / (n * bw * sqrt(2 * pi())), 9) AS density FROM k GROUP BY g, i, "at", n, bw"""
+)
+def length_violin(spark, sf):
+    """Densities of the number of words by language."""
+    d = spread(table(spark, sf, "documents")).select("lang", tx.word_count(F.col("text")).alias("words"))
+    return distribution.densities(d, "lang", "words").select("lang", "i", F.round("at", 6).alias("at"), F.round("density", 9).alias("density"))
+
+
 _MATCHED = f"list_filter({TERMS!r}, lambda t: contains(coalesce(text, ''), t))"
 
 
@@ -553,7 +572,7 @@ def _taken_sql() -> str:
         before = " UNION ALL ".join(f"SELECT norm, prefix FROM g{j}" for j in names)
         new = f"SELECT *, row_number() OVER (PARTITION BY norm ORDER BY attempt) AS first FROM made WHERE kind = '{kind}'" + (f" AND norm NOT IN (SELECT norm FROM ({before}))" if before else "")
         used = f"coalesce((SELECT count(*) FROM ({before}) b WHERE b.prefix = r.prefix), 0)" if before else "0"
-        parts.append(f"g{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY attempt) AS at FROM ({new}) WHERE first = 1) r WHERE at + {used} <= {_CAP} QUALIFY row_number() OVER (ORDER BY attempt) <= quota)")
+        parts.append(f"g{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY attempt) AS nth FROM ({new}) WHERE first = 1) r WHERE nth + {used} <= {_CAP} QUALIFY row_number() OVER (ORDER BY attempt) <= quota)")
         names.append(k)
     return ", ".join(parts) + ", every AS (" + " UNION ALL ".join(f"SELECT {k} AS k, kind, attempt, text FROM g{k}" for k in names) + ")"
 
