@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_arrays import read_json_array, write_json_array
+
 _text = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 RECORD = T.StructType([*_text("id", "text"), T.StructField("labels", T.ArrayType(T.StringType())), *_text("example_type", "platform", "explicitness", "severity"), T.StructField("slang_used", T.ArrayType(T.StringType())), T.StructField("synthetic", T.BooleanType())])
 JUDGED = T.StructType([*RECORD.fields, T.StructField("judge_verdict", T.StringType()), T.StructField("judge_codes", T.ArrayType(T.StringType()))])
@@ -23,9 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
-    """A JSON array file (byte-order mark or not), JSON lines (*.jsonl) or Parquet. Null label lists read as empty."""
-    if path.rstrip("/").endswith((".json", ".jsonl")):
-        df = spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
+    """A JSON array (byte-order mark or not; one file is read by many tasks), JSON lines (*.jsonl) or Parquet. Null label lists read as empty."""
+    if path.rstrip("/").endswith(".json"):
+        df = read_json_array(spark, path, schema)
+    elif path.rstrip("/").endswith(".jsonl"):
+        df = spark.read.schema(schema).json(path)
     else:
         df = spark.read.schema(schema).parquet(path)
     empty = F.array().cast("array<string>")
@@ -126,6 +130,9 @@ def upsert_cache(rows: DataFrame, path: str, most_parts: int = 16) -> None:
 
 
 def write_records(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Parquet, or any format of Spark's; `json-array` writes a JSON array for each part."""
+    if form == "json-array":
+        return write_json_array(df, path)
     df.write.mode("overwrite").format(form).save(path)
 
 
