@@ -71,7 +71,11 @@ def indicators(records: DataFrame, names: list[str], *others: str) -> DataFrame:
     return records.select("id", *others, *(F.coalesce(F.array_contains("labels", n), F.lit(False)).cast("int").alias(n) for n in names))
 
 
-def with_negative(records: DataFrame, name: str = "__NEG__") -> DataFrame:
+#: Fixed value: the class of records without labels.
+NEGATIVE = "__NEG__"
+
+
+def with_negative(records: DataFrame, name: str = NEGATIVE) -> DataFrame:
     """An empty label set becomes a class of its own, for stratifying only."""
     return records.withColumn("labels", F.when(label_count(F.col("labels")) == 0, F.array(F.lit(name))).otherwise(F.col("labels")))
 

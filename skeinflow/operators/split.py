@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled, written
-from .labels import exploded, with_negative
+from .labels import NEGATIVE, exploded, with_negative
 
 SEED = 1240
 TEST_SIZE = 0.25
@@ -189,5 +189,13 @@ def manifest(split: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE) -
     return sizes.withColumn("js", js_divergence(split).scalar()).select(F.lit(seed).alias("seed"), F.lit(test_size).alias("test_size"), "n_total", "n_train", "n_test", F.round(ratio, 6).alias("actual_test_ratio"), "js")
 
 
+def full_manifest(split: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE, stratifier: str = "pairs of labels, in rounds") -> dict:
+    """The manifest as one object: sizes, divergence, each label's counts and share, and how the split was made."""
+    row = manifest(split, seed, test_size).first().asDict()
+    ratios = {r.label: {"total": r.total, "train": r.train, "test": r.test, "train_share": round(r.train_share, 4)} for r in fold_counts(split).orderBy("label").collect()}  # a row for each label
+    named = {"stratifier": stratifier, "version": split.sparkSession.version, "neg_class_used_for_stratification": NEGATIVE}
+    return row | {"js_divergence_train_test": round(row["js"], 4), "per_label_ratios": ratios} | named
+
+
 def for_stratifying(records: DataFrame) -> DataFrame:
     return with_negative(records)

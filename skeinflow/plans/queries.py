@@ -558,8 +558,8 @@ def synthetic_records(spark, sf):
 
 
 #: Of generated records: words of a text, share of the table that each type wants, and the cap of opening words.
-_WORDS, _WANTED, _CAP = 14, {"en": 4, "fr": 20, "de": 25}, 3
-_GIVEN = f"""bank AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n, lang, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> ''), 1, {_WORDS}), ' ') AS text FROM documents),
+_OPENING, _WANTED, _CAP = 14, {"en": 4, "fr": 20, "de": 25}, 3
+_GIVEN = f"""bank AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n, lang, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> ''), 1, {_OPENING}), ' ') AS text FROM documents),
 n AS (SELECT count(*) AS n FROM documents), kinds AS (SELECT unnest({list(_WANTED)!r}) AS kind, unnest({list(_WANTED.values())!r}) AS part),
 tries AS (SELECT kind, n // part AS quota, n, unnest(range(8 * (n // part))) AS attempt FROM kinds, n),
 made AS (SELECT kind, quota, attempt, b.text, lower(b.text) AS norm, array_to_string(list_slice(string_split(b.text, ' '), 1, 3), ' ') AS prefix FROM tries t JOIN bank b ON b.place = floor({UNIFORM.format("'draw:' || kind || ':' || attempt")} * t.n)::BIGINT WHERE lang = kind AND length(b.text) >= 25)"""
@@ -582,7 +582,7 @@ def generated_by_quota(spark, sf):
     """Records drawn from the documents' openings until each type has its share of the table, or eight attempts were made for each that it wants."""
     d = spread(table(spark, sf, "documents"))
     words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
-    bank = curate.numbered(d.select("doc_id", "lang", F.array_join(F.slice(words, 1, _WORDS), " ").alias("text")), "doc_id", "%d", "place").withColumn("place", F.col("place").cast("long"))
+    bank = curate.numbered(d.select("doc_id", "lang", F.array_join(F.slice(words, 1, _OPENING), " ").alias("text")), "doc_id", "%d", "place").withColumn("place", F.col("place").cast("long"))
     bank = settled(bank.select("place", "lang", "text"))
     n = bank.count()
 

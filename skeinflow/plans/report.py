@@ -43,8 +43,8 @@ def extremes(marginals: DataFrame) -> DataFrame:
     return real.agg(F.min_by("label", F.struct("n", F.col("label"))).alias("rarest_label"), F.min("n").alias("rarest_n"), F.max_by("label", F.struct("n", F.col("label"))).alias("top_label"), F.max("n").alias("top_n"), F.count("*").alias("n_labels"))
 
 
-def summary(counts: dict, edges: dict, manifest: dict, mean_cardinality: float) -> str:
-    """Markdown of the curated set: how much was kept, its labels, and its split."""
+def summary(counts: dict, edges: dict, manifest: dict, mean_cardinality: float, codes: dict | None = None, results: list[dict] | None = None) -> str:
+    """Markdown of the curated set: how much was kept and why not, its labels, its split by label, and the models' results."""
     kept = 100 * counts["accepted"] / max(counts["generated"], 1)
     lines = [
         "# Curated dataset",
@@ -54,6 +54,18 @@ def summary(counts: dict, edges: dict, manifest: dict, mean_cardinality: float)
         f"- Rarest: {edges['rarest_label'] or 'N/A'} ({edges['rarest_n'] or 0}); most frequent: {edges['top_label'] or 'N/A'} ({edges['top_n'] or 0})",
         f"- Split: {manifest['n_train']} train, {manifest['n_test']} test (seed {manifest['seed']}), divergence {manifest['js']:.4f}",
     ]
+    if "stratifier" in manifest:
+        lines.append(f"- Stratified by {manifest['stratifier']} (version {manifest['version']}); records without labels count as {manifest['neg_class_used_for_stratification']}")
+    if codes:
+        lines += ["", "## Why records were rejected", "", "| Code | Records |", "| --- | --- |", *(f"| {k} | {n} |" for k, n in sorted(codes.items(), key=lambda x: (-x[1], x[0])))]
+    if manifest.get("per_label_ratios"):
+        lines += ["", "## Labels by fold", "", "| Label | Total | Train | Test | Train share |", "| --- | --- | --- | --- | --- |"]
+        lines += [f"| {k} | {r['total']} | {r['train']} | {r['test']} | {r['train_share']:.2f} |" for k, r in manifest["per_label_ratios"].items()]
+    if results:
+        names = sorted({r["metric"] for r in results})
+        value = {(r["model"], r["metric"]): r["value"] for r in results}
+        lines += ["", "## Models", "", f"| Model | {' | '.join(names)} |", "| --- " * (len(names) + 1) + "|"]
+        lines += [f"| {m} | {' | '.join(f'{value[m, n]:.4f}' for n in names)} |" for m in dict.fromkeys(r["model"] for r in results)]
     return "\n".join(lines) + "\n"
 
 

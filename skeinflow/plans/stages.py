@@ -49,7 +49,7 @@ def split_stage(spark: SparkSession, source: str, out: str, check: bool = True)
     if check:  # before anything is written
         split.check_gates(folded)
     io.write_folds(records.join(folded.select("id", "fold"), "id"), f"{out}/folds")
-    io.write_artifact(spark, io.artifact(split.manifest(folded), 6), f"{out}/split_manifest.json")
+    io.write_artifact(spark, split.full_manifest(folded), f"{out}/split_manifest.json")
 
 
 def evaluate_stage(spark: SparkSession, source: str, out: str, max_iter: int = 1000, load: Callable | None = None) -> None:
@@ -92,7 +92,9 @@ def report_stage(spark: SparkSession, source: str, out: str) -> None:
     totals = {r["name"]: r["n"] for r in found["quality_metrics"] if r["kind"] == "total"}
     records, _ = io.read_first(spark, f"{out}/clean", source)
     edges = report.extremes(labels.marginals(records)).first().asDict()
-    text = report.summary(totals, edges, found["split_manifest"][0], labels.mean_cardinality(records).first()[0] or 0.0)
+    codes = {r["name"]: r["n"] for r in found["quality_metrics"] if r["kind"] == "code"}
+    results = io.read_artifacts(spark, {"eval": f"{out}/eval_results.json"})["eval"] if io.exists(spark, f"{out}/eval_results.json") else []
+    text = report.summary(totals, edges, found["split_manifest"], labels.mean_cardinality(records).first()[0] or 0.0, codes, results)
     io.write_artifact(spark, text, f"{out}/summary.md")
 
 

@@ -268,7 +268,10 @@ def test_stages_and_stream(spark, tmp_path):
     source.write_text("﻿" + json.dumps(rows), encoding="utf-8")
     out = f"file://{tmp_path}/out"
     stages.run(spark, f"file://{source}", out, ["filter", "profile", "split", "report"], **stages.LIMITS)
-    assert "40 of 40 kept" in (tmp_path / "out/summary.md").read_text()
+    said = (tmp_path / "out/summary.md").read_text()
+    assert "40 of 40 kept" in said and "| a | 20 | 15 | 5 | 0.75 |" in said
+    made = json.loads((tmp_path / "out/split_manifest.json").read_text())
+    assert made["per_label_ratios"]["b"] == {"total": 20, "train": 15, "test": 5, "train_share": 0.75} and made["neg_class_used_for_stratification"] == "__NEG__" and made["n_total"] == 40 and made["stratifier"]
     assert len(json.loads((tmp_path / "out/tables/label_marginals.json").read_text())) == 2
     assert spark.read.parquet(f"{out}/folds").select("fold").distinct().count() == 2
     with pytest.raises(FileNotFoundError, match="a.json.*b.json"):
@@ -276,7 +279,7 @@ def test_stages_and_stream(spark, tmp_path):
     io.read_records(spark, f"file://{source}").write.parquet(f"{out}/in")
     stream = spark.readStream.schema(io.RECORD).parquet(f"{out}/in")
     judge_stream(stream, stages.accept_all, f"{out}/c2", f"{out}/o2", f"{out}/k2", **stages.LIMITS).awaitTermination()
-    assert spark.read.parquet(f"{out}/o2/batch=0").count() == 40 and spark.read.parquet(f"{out}/c2").count() == 26
+    assert spark.read.parquet(f"{out}/o2/batch=0").count() == 40 and io.read_cache(spark, f"{out}/c2").count() == 26
 
 
 def test_synthetic(spark):

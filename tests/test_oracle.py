@@ -38,7 +38,7 @@ def test_entry(spark):
 
 
 def test_queries_without_sql_run(spark, sf):
-    for name in ("curated_by_type", "greedy_split", "scenario_plan", "synthetic_records", "metrics_comparison"):
+    for name in ("curated_by_type", "greedy_split", "scenario_plan", "synthetic_records", "metrics_comparison", "ovr_logreg"):
         assert entry.queries()[name](spark, sf).count() > 0, name
 
 
