@@ -4,12 +4,14 @@ A page is read into blocks with one pass over its tags, closing what HTML lets a
 text, whatever it is, has a hash of its subtree. Spark counts, for each host, on how many different pages (by their main
 text, so copies of a page count once) a subtree stands; one on at least MIN_PAGES pages and on at least MIN_SHARE of the
 host's is the host's template. A block goes if template subtrees cover all of its text, so a label or link that recurs
-takes no paragraph with it. A host's list of these is bounded: there are at most 1 / MIN_SHARE times as many as an
+takes no paragraph with it. Where the page marks an article (or a main part), blocks in it stay whatever recurs: headings
+such as "References" stand on every page of a host and are text all the same. A host's list of these is bounded: there are at most 1 / MIN_SHARE times as many as an
 average page has subtrees.
 
 The second step needs no other pages, and so serves hosts that have few: elements that are menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or comments go by element, role or name; if the page marks an article
-(or a main part), only that counts.
+(or a main part), only that counts. A name is a class or id, read as one word without its hyphens; only outside the article
+does its first part count for it, so `notice-period` or `cookie-recipe` in an article are no notices.
 
 Work grows with the page's length alone: no end of a tag is looked for twice, and elements stand at most DEPTH deep (one
 deeper ends the one that it stands in, as in browsers). A quote that is never closed ends with its tag.
@@ -51,11 +53,13 @@ CLOSES = {
     "thead": ("tr td th tbody thead", ("table",)), "tbody": ("tr td th tbody thead", ("table",)), "tfoot": ("tr td th tbody thead", ("table",)), "option": ("option", ("select", "datalist")),
 }
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "option"}
-#: Words of class names and ids that mark what is no main text.
+#: Names of classes and ids that mark what is no main text, and what may follow some of them.
+_PLACE = "(?:links?|buttons?|icons?|bars?|box|boxes|lists?|sections?|areas?|blocks?|wrap|wrapper|container|panel|widgets?|forms?|posts?|articles?|stories|content|items?|media|tools?)"
 NAMES = re.compile(
-    r"^(?:ads?|adv|adverts?|advertis\w+|ads(?:ense|by\w+)|ad(?:box|slot|unit|banner)|\w*banners?|sponsor(?:s|ed)?|promos?|promotion(?:s|al)?|\w*cookies?\w*|\w*consent\w*|gdpr|\w*notices?|notifications?"
-    r"|newsletters?|subscri(?:be|ption)\w*|paywall|\w*sidebars?|\w*menus?|nav|nav(?:bar|igation|menu|list|links)|\w+nav|breadcrumbs?|footers?|\w+footer|masthead|\w*comments?(?:list|section|form|area)?"
-    r"|disqus|respond|replies|shar(?:e|ing)|social|related|recommended|popups?|modal|overlay|widgets?|paginat(?:ion|or)|pager|toolbar|login|signup|search(?:box|form)?|skip|hidden|disclaimer)$"
+    r"^(?:ads?|adv|adverts?|advertis\w+|ads(?:ense|by\w+)|ad(?:box|slot|unit|banner|wrapper|container)|\w*banners?|sponsor(?:s|ed)?|promos?|promotion(?:s|al)?|cookies?(?:bar|box|policy|law|popup|message|warning|overlay|modal|alert)?"
+    r"|\w*(?:cookies?|gdpr|privacy)(?:notice|consent|banner)\w*|gdpr|consent(?:bar|box|manager|popup|overlay|modal|message)?|\w*notices?|notifications?"
+    r"|newsletters?\w*|subscri(?:be|ption)\w*|paywall|\w*sidebars?|\w*menus?|nav|nav(?:bar|igation|menu|list|links)|\w+nav|breadcrumbs?|footers?|\w+footer|masthead|\w*comments?(?:list|section|form|area)?"
+    rf"|disqus\w*|respond|replies|(?:shar(?:e|ing)|social|related|recommended|search|skip|login|signup|popups?|modal|overlay|widgets?|comments?|footer|toolbar){_PLACE}*|paginat(?:ion|or)|pager|hidden|disclaimer)$"
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
@@ -116,12 +120,15 @@ def _is_gone(tag: str, attributes: str, inside: bool) -> tuple[bool, bytes]:
         return True, shape
     if found.get("role", "").lower() in ROLES:
         return True, shape
-    names = re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    return any(NAMES.match(n) or n == "header" and not inside for n in names if n), shape
+    for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words and (NAMES.match("".join(words)) or not inside and (NAMES.match(words[0]) or "header" in words)):
+            return True, shape
+    return False, shape
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], list[int]]:
-    """(blocks of text in page order, subtrees (hash, first run of text, the run after its last), block of each run: -1 for one that goes by its element)."""
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], list[int], bool]:
+    """(blocks of text in page order, subtrees (hash, first run of text, the run after its last), block of each run: -1 for one that goes by its element, are the blocks those of a marked article)."""
     blocks: list[list[str]] = [[]]
     in_article: list[bool] = [False]
     subtrees: list[tuple[int, int, int]] = []
@@ -225,14 +232,14 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], list[int]]:
     close_to(1)
     marked = any(in_article[i] and b for i, b in enumerate(blocks))
     told = [" ".join("".join(b).split()) if in_article[i] or not marked else "" for i, b in enumerate(blocks)]
-    return told, subtrees, block_of
+    return told, subtrees, block_of, marked
 
 
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
-    """Blocks joined by line ends, without those all of whose text template subtrees hold."""
-    told, subtrees, block_of = parse(page)
+    """Blocks joined by line ends, without those all of whose text template subtrees hold and that no marked article holds."""
+    told, subtrees, block_of, marked = parse(page)
     depth = [0] * (len(block_of) + 1)  # in how many template subtrees each run lies, as steps
-    for h, first, last in subtrees if templates else ():
+    for h, first, last in subtrees if templates and not marked else ():
         if h in templates:
             depth[first] += 1
             depth[last] -= 1
@@ -260,8 +267,8 @@ def site_templates(pages: DataFrame, url: str = "url", page: str = "html", min_p
     def subtrees(batches):
         for batch in batches:
             parsed = [parse(x) for x in _pages(batch, 1)]
-            whole = [xxhash.xxh64_intdigest("\n".join(filter(None, told)).encode("utf-8", "surrogatepass")) - (1 << 63) for told, _, _ in parsed]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array([parts(*x) for x in parsed], pa.list_(pa.int64()))], names=["host", "whole", "parts"])
+            whole = [xxhash.xxh64_intdigest("\n".join(filter(None, told)).encode("utf-8", "surrogatepass")) - (1 << 63) for told, *_ in parsed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array([parts(*x[:3]) for x in parsed], pa.list_(pa.int64()))], names=["host", "whole", "parts"])
 
     read = pages.select(host(url).alias("host"), F.col(page).cast("string"))
     different = cut(read.mapInArrow(subtrees, "host string, whole bigint, parts array<bigint>").groupBy("host", "whole").agg(F.first("parts").alias("parts")))  # read twice, parsed once

@@ -408,6 +408,25 @@ def test_inline_text_that_recurs_takes_no_paragraph(spark):
     assert got == {i: f"news {i} by Jane Roe today Note\nmore {i}" for i in range(12)}
 
 
+def test_what_recurs_in_a_marked_article_stays(spark):
+    html = lambda i: f"<body><p>Motto</p><article><h1>Story {i}</h1><p>news {i}</p><h2>References</h2><p>book {i}</p></article>"
+    bare = lambda i: f"<body><p>Motto</p><p>other news {i}</p>"
+    d = spark.createDataFrame([(i, f"http://a.com/{i}", html(i) if i < 12 else bare(i)) for i in range(16)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(d, ["page_id"]).collect()}
+    assert got == {i: f"Story {i}\nnews {i}\nReferences\nbook {i}" if i < 12 else f"other news {i}" for i in range(16)}
+
+
+@pytest.mark.parametrize("name", ["notice-period", "cookie-recipe", "informed-consent", "search-results", "skip-lorry", "social-history", "widget_maker", "related-rates", "menu-prices", "comment-ary"])
+def test_a_part_of_a_name_takes_no_text_of_an_article(name):
+    assert html_text.main_text(f"<article><p>a<div class='box {name}'>A notice period is 3 months.</div></article>") == "a\nA notice period is 3 months."
+
+
+@pytest.mark.parametrize("name", ["notice", "cookie-banner", "CookieConsent", "related-posts", "share-buttons", "social_links", "search-form", "ad", "advertisement", "newsletter-signup", "comments", "comment-list", "left-sidebar", "widget-area", "skip-link"])
+def test_whole_names_mark_what_goes(name):
+    for page in (f"<article><p>a<div class='{name}'>no</div></article>", f"<p>a<div id='{name}'>no</div>"):
+        assert html_text.main_text(page) == "a", page
+
+
 def test_templates_are_the_subtrees_that_recur(spark):
     """Random pages of nested boxes against counts of the boxes as written."""
     rng = random.Random(8)
