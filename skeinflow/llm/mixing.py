@@ -40,21 +40,38 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("long")
 
 
+def _summed_before(df: DataFrame, order: list[Column], names: list[str]) -> DataFrame:
+    """Adds `rank` (from 1) in an order without ties and, for each name, its sum over the rows before as `<name>_before`.
+
+    Rows are dealt by ranges of the order, each summed by a task of its own; only the ranges' totals, a row each, meet.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))  # ranges are drawn by sampling: once
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0)).alias(f"_{n}")
+    sums = dealt.groupBy("_range").agg(F.count("*").alias("_n"), *map(total, names))
+    earlier = Window.orderBy("_range").partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    bases = sums.select(F.col("_range").alias("_r"), *(so_far(f"_{c}", earlier).alias(f"_base_{c}") for c in ("n", *names)))
+    own = Window.partitionBy("_range").orderBy(*order)
+    met = dealt.join(F.broadcast(bases), F.col("_range") == F.col("_r"))  # as many rows as there are ranges
+    above = own.rowsBetween(Window.unboundedPreceding, -1)
+    return met.select(*df.columns, (F.col("_base_n") + F.row_number().over(own)).alias("rank"), *((F.col(f"_base_{n}") + so_far(n, above)).alias(f"{n}_before") for n in names))
+
+
 def source_targets(sizes: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """From rows (source, size): one row a source with source_size and target. One row for each source is ranked in one task."""
+    """From rows (source, size): one row a source with source_size and target. Sources may be as many as the rows: no task sees all of them."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy(F.lit(1))
-    rank = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last()))
-    ranked = by.withColumn("rank", rank).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long")
+    ranked = _summed_before(by, [F.col("source").asc_nulls_last()], []).select("source", "source_size", F.col("rank").alias("place"), weight.alias("weight"))
     # sources meet their stop in order of size / weight: if all up to this one had stopped, would it stop too?
-    order = everything.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("rank"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    placed = ranked.withColumns({"rest": rest, "left": left})
-    stops = F.col("rest") * F.col("weight") >= most * F.col("source_size") * F.col("left")
-    placed = placed.withColumn("stops", stops).withColumn("level", F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), "rank", "rest", "left"))).over(everything))
-    target = F.when(F.col("stops"), (most * F.col("source_size")).cast("double")).otherwise(F.col("level.rest").cast("double") / F.col("level.left") * F.col("weight"))
+    share = F.col("source_size") / F.col("weight")
+    placed = cut(_summed_before(ranked, [share.asc(), F.col("place").asc()], ["source_size", "weight"]))
+    everything, weighed = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    rest, left = F.lit(everything) - most * F.col("source_size_before"), F.lit(weighed) - F.col("weight_before")
+    wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731  words times weights are beyond a long if sources are many
+    stops = wide(rest) * F.col("weight") >= wide(most * F.col("source_size")) * left
+    level = placed.where(~stops).agg(F.min(F.struct("rank", rest.alias("rest"), left.alias("left"))).alias("first")).first().first
+    open_target = F.lit(float(level.rest)) / F.lit(float(level.left)) * F.col("weight") if level else F.lit(None)
+    target = F.when(stops, (most * F.col("source_size")).cast("double")).otherwise(open_target.cast("double"))
     return placed.select("source", "source_size", target.alias("target"))
 
 

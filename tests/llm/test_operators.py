@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -501,6 +502,20 @@ def test_mixing(spark, monkeypatch):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(d.orderBy(F.desc("doc_id")), ["doc_id", "source"]).collect()))
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(12)
+    given = {f"s{rng.random()}": rng.choice([0, 0, 3, 3, 40, rng.randint(1, 10_000)]) for _ in range(900)} | {None: 77, "": 5, "hot": 900_000}
+    halves = [(s, n - n // 2) for s, n in given.items()] + [(s, n // 2) for s, n in given.items()]
+    d = spark.createDataFrame(halves, "source string, size long")
+    want, got = brute_targets(given), mixing.source_targets(d).collect()
+    assert {r.source: r.source_size for r in got} == given and len(got) == len(given)
+    assert all(math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+    stopped = spark.createDataFrame([("a", 0), (None, 0)], "source string, size long")
+    assert {r.target for r in mixing.source_targets(stopped).collect()} == {0.0} and mixing.source_targets(stopped.limit(0)).count() == 0
+    huge = spark.createDataFrame([("a", 10**15), ("b", 10**13)], "source string, size long")  # beyond a long when multiplied
+    assert {r.source: r.target for r in mixing.source_targets(huge).collect()} == {"a": 1.01e15 - 3e13, "b": 3e13}
+
+
 def test_seats_are_those_of_the_highest_quotients():
     rng = random.Random(6)
     for _ in range(60):
