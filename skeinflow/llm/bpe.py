@@ -6,7 +6,8 @@ the token before it is taken back. Two neighbours are compatible if merging thei
 tokens again, so the sequence found is the one that merging by rank gives; each position is tried once per token end,
 in time linear in the piece. The pair checks are kept in a table. Pieces recur, so each worker keeps their results too.
 
-Null texts count as empty: no tokens, an empty decoded text. Repeated rows give repeated results.
+Null texts count as empty: no tokens, an empty decoded text. Repeated rows give repeated results. A very long text is
+encoded whole by the task that holds it, in memory that grows with its length. An empty table gives no rows.
 """
 
 from __future__ import annotations

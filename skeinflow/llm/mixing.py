@@ -12,7 +12,8 @@ takes whole passes over the line and then a run of blocks from a seeded start, a
 
 Only (document, source, size) rows are shuffled, and the line is a window within a cell, so a source with a third of all
 rows is spread over all shards. Null texts have size 0. A null source is a source like any other. Rows with the same
-id stand next to each other, in order of size. Equal seeds give equal results. An empty table gives no rows.
+id stand next to each other, in order of size. Equal seeds give equal results. Of a very long text only its size is kept;
+it lies on the line like any other and may be taken in part. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ into equal parts serves such a radius, so two texts meet in a bucket if they sha
 hashes, as 99% of those of similarity 0.8 do. Slices, bit planes and forests are the same.
 
 A null or empty text has the fingerprint zero and is linked like any other. Rows with equal texts share a fingerprint;
-a null id never names a component unless all ids in it are null. An empty table gives no rows.
+a null id never names a component unless all ids in it are null. A very long text is hashed whole by the task that holds
+it, in memory that grows with its length. An empty table gives no rows.
 """
 
 from __future__ import annotations

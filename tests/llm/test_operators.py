@@ -55,6 +55,8 @@ def test_every_operator_takes_an_empty_table(spark):
     assert mixing.mix(e, ["doc_id"]).count() == 0
     assert pii.find_pii(e, ["doc_id"]).count() == 0
     assert paragraph_sketch.fingerprints(e).count() == 0
+    public = pytest.importorskip("public_tokenizers")
+    assert bpe.encode_texts(e, public.path("word_bpe_49k.json"), ["doc_id"]).count() == 0
 
 
 def test_license_scan(spark):
@@ -730,3 +732,11 @@ def test_long_texts(spark):
     assert rows(quality_rules.quality_rules(d, ["doc_id"]))[0].n_words == len(long.split())
     assert rows(pii.find_pii(d, ["doc_id"]))[0].n_email == 0 and [rows(licenses.scan_licenses(d, ["doc_id"]))[i].n_words for i in (0, 2)] == [len(licenses.words_of(long.encode())), 1]
     assert rows(paragraph_sketch.fingerprints(d))[0].n_chars == len(long)
+    mixed = rows(mixing.mix(d, ["doc_id"]))
+    assert [mixed[i].size for i in range(3)] == [len(t.split()) for t in (long, long[:-3], "short")] and all(0 <= r.taken <= 3 * r.size for r in mixed.values())
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    ids = Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids
+    assert rows(bpe.encode_texts(d, path, ["doc_id"]))[0].ids == ids
