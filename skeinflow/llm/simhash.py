@@ -13,7 +13,11 @@ of the sets of shingles (0.8 of five words by default): its fingerprints have WI
 differ in a share acos(2s / (1 + s)) / pi, with a radius of MARGIN standard deviations more: of pairs of similarity 0.8
 97% link, of 0.85 nearly all, of 0.75 half, of 0.7 one in fourteen; unrelated texts differ in half of the bits. No cut
 into equal parts serves such a radius, so two texts meet in a bucket if they share two of their LEAST least shingle
-hashes, as 99% of those of similarity 0.8 do. Slices, bit planes and forests are the same.
+hashes, as 99% of those of similarity 0.8 do. Slices, bit planes and forests are the same. These links only say who is
+to be compared: a second pass, over the groups that they make, takes a pair in reach as linked if the Jaccard similarity
+of its sets (of 32-bit hashes of the shingles, so that of 20,000 shingles one is mistaken in ten pairs) is large enough.
+A pair that fails hides no other: pairs are checked until one joins their groups. A group of at most SLICE fingerprints
+and SLICE_BYTES of sets is one cell, so its sets are sent once; a larger one meets in the buckets of its members.
 
 A null or empty text has the fingerprint zero and is linked like any other. Rows with equal texts share a fingerprint;
 a null id never names a component unless all ids in it are null. A very long text is hashed whole by the task that holds
@@ -28,7 +32,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,6 +43,8 @@ SEED = 42
 SHINGLE = 4
 RADIUS = 4
 SLICE = 4096
+#: Bytes of the sets of shingles in a slice.
+SLICE_BYTES = 32 << 20
 #: Cells up to this size are compared lane against shifted lane, many cells at once; larger ones query by query.
 SMALL = 64
 #: Bits of the fingerprints of similar_groups, standard deviations beyond the expected distance, shingle hashes that make buckets.
@@ -91,10 +97,20 @@ def wide_majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
-def wide_fingerprint(text: bytes, width: int = SIMILAR_SHINGLE) -> tuple[bytes, list[int]]:
-    """(WIDE bits of the set of shingles, the LEAST least of their hashes, signed)."""
+def wide_fingerprint(text: bytes, width: int = SIMILAR_SHINGLE) -> tuple[bytes, list[int], bytes]:
+    """(WIDE bits of the set of shingles, the LEAST least of their hashes, signed, and the set as sorted hashes of 32 bits)."""
     h = np.unique(shingle_hashes(text, width))
-    return wide_majority(h).tobytes(), h[:LEAST].view("<i8").tolist()
+    return wide_majority(h).tobytes(), h[:LEAST].view("<i8").tolist(), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two sets of hashes have this Jaccard similarity or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-6:
+        return False
+    both = np.concatenate((np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= least * (len(both) - shared) - 1e-9
 
 
 def radius_of(similarity: float, bits: int = WIDE, margin: float = MARGIN) -> int:
@@ -152,8 +168,11 @@ def _lanes(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).astype("<u8").view(np.uint8), bitorder="little").astype(bool)
 
 
-def link_small(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as positions) within many small cells that stand one after the other: each lane against the lane `shift` further on."""
+def link_small(cells: np.ndarray, prints: np.ndarray, radius: int, check=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) within many small cells that stand one after the other: each lane against the lane `shift` further on.
+
+    With check(a, b), a pair in reach links only if it passes; pairs that others have joined already aren't checked.
+    """
     n = len(prints)
     p = planes(prints)
     p = np.concatenate((p, np.zeros((len(p), 2), np.uint64)), axis=1)
@@ -174,6 +193,8 @@ def link_small(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
         found_b.append(near + shift)
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
     label = np.arange(n)
+    if check:
+        return _checked(label, a.tolist(), b.tolist(), check)
     while len(a):  # least position reachable within the cell: what is left are the forest's links
         before = label.copy()
         low = np.minimum(label[a], label[b])
@@ -186,11 +207,30 @@ def link_small(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
     return child, label[child]
 
 
-def link_large(prints: np.ndarray, radius: int, together: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def _checked(label: np.ndarray, a: list[int], b: list[int], check) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of those pairs that pass the check, as links to the least position of each tree."""
+    up = label.tolist()
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in zip(a, b):
+        x, y = top(i), top(j)
+        if x != y and check(i, j):
+            up[max(x, y)] = min(x, y)
+    label = np.array([top(x) for x in range(len(up))], np.int64)
+    child = np.flatnonzero(label != np.arange(len(up)))
+    return child, label[child]
+
+
+def link_large(prints: np.ndarray, radius: int, together: int = 128, check=None) -> tuple[np.ndarray, np.ndarray]:
     """Links (as positions) within one large cell: `together` queries at a time against all its lanes.
 
     Lanes stand by the group that they belong to so far, and a query skips words that hold its own group only, so a group
-    of copies that fills a cell costs little more than its first queries.
+    of copies that fills a cell costs little more than its first queries. With check(a, b), a query meets another group if
+    one of the group's lanes in reach passes; each pair is checked once at most, by the query that stands first.
     """
     n = len(prints)
     p = planes(prints)
@@ -214,7 +254,11 @@ def link_large(prints: np.ndarray, radius: int, together: int = 128) -> tuple[np
 
             near = lanes_within(differing, len(used), (len(q), width), radius, among) if len(among) else np.zeros((len(q), 0), np.uint64)
             for row in np.flatnonzero(near.any(1)):
-                met = np.r_[label[at + row], label[order[np.flatnonzero(_lanes(near[row])[:n])]]]
+                lanes = order[np.flatnonzero(_lanes(near[row])[:n])]
+                if check:
+                    lanes = lanes[(lanes > at + row) & (label[lanes] != label[at + row])]
+                    lanes = np.array([own[passed] for g in np.unique(label[lanes]) for own in [lanes[label[lanes] == g]] for passed in [next((k for k, x in enumerate(own) if check(at + row, x)), None)] if passed is not None], np.int64)
+                met = np.r_[label[at + row], label[lanes]]
                 least, most = met.min(), met.max()
                 if least < most:
                     mark = np.zeros(n, bool)
@@ -226,18 +270,18 @@ def link_large(prints: np.ndarray, radius: int, together: int = 128) -> tuple[np
     return child, label[child]
 
 
-def forest(cells: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as positions) between fingerprints that stand in the same cell (cells are sorted) and lie in reach."""
+def forest(cells: np.ndarray, prints: np.ndarray, radius: int, check=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) between fingerprints that stand in the same cell (cells are sorted), lie in reach and pass the check, if there is one."""
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
     sizes = np.diff(np.r_[starts, len(cells)])
     out = []
     in_small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     if in_small.any():
         at = np.flatnonzero(in_small)
-        a, b = link_small(cells[at], prints[at], radius)
+        a, b = link_small(cells[at], prints[at], radius, check and (lambda i, j: check(at[i], at[j])))
         out.append((at[a], at[b]))
     for s, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        a, b = link_large(prints[s : s + size], radius)
+        a, b = link_large(prints[s : s + size], radius, check=check and (lambda i, j, s=s: check(s + i, s + j)))
         out.append((s + a, s + b))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -262,20 +306,56 @@ def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE, equa
     return _linked(prints.select("fp", F.explode(F.array(*keys)).alias("bucket")), radius, slice_rows)
 
 
+def _pairs_of_least() -> Column:
+    return F.flatten(F.transform("least", lambda a, i: F.transform(F.slice("least", i + 2, F.lit(LEAST)), lambda b: F.xxhash64(a, b))))
+
+
 def wide_links(prints: DataFrame, radius: int, slice_rows: int = SLICE) -> DataFrame:
     """From distinct (fp, print, least): links (u, v) of the fp whose prints lie in reach of each other and that share two of their least hashes."""
-    pairs = F.flatten(F.transform("least", lambda a, i: F.transform(F.slice("least", i + 2, F.lit(LEAST)), lambda b: F.xxhash64(a, b))))
-    return _linked(prints.select("fp", "print", F.explode(pairs).alias("bucket")), radius, slice_rows)
+    return _linked(prints.select("fp", "print", F.explode(_pairs_of_least()).alias("bucket")), radius, slice_rows)
 
 
-def _linked(spread: DataFrame, radius: int, slice_rows: int) -> DataFrame:
-    """From rows (fp, bucket), with `print` where that isn't fp itself: links within buckets."""
+def checked_links(printed: DataFrame, distinct: DataFrame, loose: DataFrame, radius: int, similarity: float, slice_rows: int = SLICE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The links (u, v) within the groups `loose` (u, root) of distinct (fp, least, n_set) whose prints lie in reach and whose sets are as similar as asked.
+
+    printed has (fp, print, set), rows repeated. Sets travel once, or by the buckets of their fingerprint where a group is too large for a cell.
+    """
+    member = distinct.select("fp", "least", "n_set").join(loose, F.col("fp") == F.col("u"), "left").select("fp", "least", "n_set", F.coalesce("root", "fp").alias("root"))
+    small = (F.count("*") <= slice_rows) & (4 * F.sum("n_set") <= slice_bytes)
+    groups = member.groupBy("root").agg(small.alias("small"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = F.when(F.col("small"), F.array(F.xxhash64(F.lit("group"), "root"))).otherwise(_pairs_of_least())
+    spread = cut(_told(member, groups, "inner").select("fp", "n_set", F.explode(buckets).alias("bucket")))
+    sets = printed.groupBy("fp").agg(F.first("print").alias("print"), F.first("set").alias("set")).withColumnRenamed("fp", "_fp")
+    cells = _cells(spread, slice_rows, 4 * F.sum("n_set") / slice_bytes).select("cell", "fp")
+    return _compared(cells.join(sets, F.col("fp") == F.col("_fp")).select("cell", "fp", "print", "set"), radius, similarity)
+
+
+def _told(member: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """Rows (fp, root) with the facts of their root, in columns of other names. A root may hold most rows: its facts meet them in SALTS parts."""
+    facts = facts.withColumnRenamed("root", "_root").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = member.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    return salted.join(facts, (F.col("root") == F.col("_root")) & (F.col("salt") == F.col("_salt")), how)
+
+
+def _cells(spread: DataFrame, slice_rows: int, fill: Column | None = None) -> DataFrame:
+    """From rows (fp, bucket, more): rows (cell, fp, more) for buckets of several rows. A bucket has a slice for each slice_rows, or for each unit of the aggregate `fill`, if those are more."""
     own = [c for c in spread.columns if c != "bucket"]
-    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int"))
+    slices = [F.ceil(x).cast("int") for x in (F.count("*") / slice_rows, *([] if fill is None else [fill]))]
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"), (F.greatest(*slices) if len(slices) > 1 else slices[0]).alias("slices")).where("n > 1")
     met = spread.join(sizes, "bucket")
     at = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     cells = met.select(*own, "bucket", at.alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    cells = cells.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *own)
+    return cells.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *own)
+
+
+def _linked(spread: DataFrame, radius: int, slice_rows: int) -> DataFrame:
+    """From rows (fp, bucket), with `print` where that isn't fp itself: links within buckets."""
+    return _compared(_cells(spread, slice_rows), radius)
+
+
+def _compared(cells: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """From rows (cell, fp), with `print` where that isn't fp itself and then with `set` where similarity is to be checked: links within cells."""
+    width = len(cells.columns)
 
     def run(batches):
         held = []
@@ -289,11 +369,16 @@ def _linked(spread: DataFrame, radius: int, slice_rows: int) -> DataFrame:
 
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
         cell, fp = (batch.column(i).to_numpy() for i in (0, 1))
-        prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(len(fp), -1) if len(own) > 1 else fp.view(np.uint64)
-        return [cell, fp, prints]
-
-    def linked(cell: np.ndarray, fp: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        u, v = forest(cell, prints, radius) if len(cell) else (np.zeros(0, np.int64),) * 2
+        prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(len(fp), -1) if width > 2 else fp.view(np.uint64)
+        if width < 4:
+            return [cell, fp, prints]
+        sets = np.empty(len(fp), object)
+        sets[:] = batch.column(3).to_pylist()
+        return [cell, fp, prints, sets]
+
+    def linked(cell: np.ndarray, fp: np.ndarray, prints: np.ndarray, sets: np.ndarray | None = None) -> pa.RecordBatch:
+        check = None if sets is None else (lambda i, j: similar(sets[i], sets[j], similarity))
+        u, v = forest(cell, prints, radius, check) if len(cell) else (np.zeros(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(fp[x]) for x in (u, v)], names=["u", "v"])
 
     return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "u bigint, v bigint")
@@ -305,19 +390,24 @@ def near_duplicates(df: DataFrame, keep: list[str], by: str = "doc_id", text: st
     def rows_of(texts: list[bytes]) -> dict[str, pa.Array]:
         return {"fp": pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))}
 
-    return _grouped(df, keep, by, text, rows_of, "fp bigint", [], lambda prints: links(prints, radius))
+    return _grouped(df, keep, by, text, rows_of, "fp bigint", [], lambda _, distinct: links(distinct.select("fp"), radius))
 
 
 def similar_groups(df: DataFrame, keep: list[str], by: str = "doc_id", text: str = "text", width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """As near_duplicates, with links between texts whose sets of shingles have about this Jaccard similarity or more; fp is a hash of the wide fingerprint."""
+    """As near_duplicates, with links between texts whose sets of shingles have this Jaccard similarity or more; fp is a hash of the wide fingerprint."""
 
     def rows_of(texts: list[bytes]) -> dict[str, pa.Array]:
-        made = [wide_fingerprint(t, width) for t in texts]
-        h = np.array([xxhash.xxh64_intdigest(p, SEED) for p, _ in made], np.uint64).view(np.int64)
-        return {"fp": pa.array(h), "print": pa.array([p for p, _ in made], pa.binary()), "least": pa.array([x for _, x in made], pa.list_(pa.int64()))}
+        prints, least, sets = zip(*(wide_fingerprint(t, width) for t in texts)) if texts else ((), (), ())
+        h = np.array([xxhash.xxh64_intdigest(p, SEED) for p in prints], np.uint64).view(np.int64)
+        return {"fp": pa.array(h), "print": pa.array(prints, pa.binary()), "least": pa.array(least, pa.list_(pa.int64())), "n_set": pa.array([len(x) // 4 for x in sets], pa.int64()), "set": pa.array(sets, pa.binary())}
 
     radius = radius_of(similarity)
-    return _grouped(df, keep, by, text, rows_of, "fp bigint, print binary, least array<bigint>", ["print", "least"], lambda prints: wide_links(prints, radius))
+
+    def link(printed: DataFrame, distinct: DataFrame) -> DataFrame:
+        loose = components(wide_links(distinct.select("fp", "print", "least"), radius))
+        return checked_links(printed, distinct, loose, radius, similarity)
+
+    return _grouped(df, keep, by, text, rows_of, "fp bigint, print binary, least array<bigint>, n_set bigint, set binary", ["print", "least", "n_set"], link)
 
 
 def _grouped(df: DataFrame, keep: list[str], by: str, text: str, rows_of, schema: str, more: list[str], link) -> DataFrame:
@@ -325,13 +415,11 @@ def _grouped(df: DataFrame, keep: list[str], by: str, text: str, rows_of, schema
     held = [f"_k{i}" for i in range(len(keep))]
     printed = cut(map_texts(inner, rows_of, schema, [*held, "_by"]))
     distinct = cut(printed.groupBy("fp").agg(F.min("_by").alias("first"), *(F.first(c).alias(c) for c in more)))
-    rooted = components(link(distinct.select("fp", *more)))
+    rooted = components(link(printed, distinct))
     member = distinct.select("fp", "first").join(rooted, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    # a component may hold most fingerprints: its name meets them in SALTS parts; who is alone needs none
-    named = member.groupBy("root").agg(F.min("first").alias("named"), F.count("*").alias("n")).where("n > 1")
-    named = named.select(F.col("root").alias("_root"), "named", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    met = member.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(named, (F.col("root") == F.col("_root")) & (F.col("salt") == F.col("_salt")), "left")
-    classes = met.select(F.col("fp").alias("_fp"), F.coalesce("named", "first").alias("component_id"))
+    # who is alone needs no name
+    named = member.groupBy("root").agg(F.min("first").alias("named"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = _told(member, named, "left").select(F.col("fp").alias("_fp"), F.coalesce("named", "first").alias("component_id"))
     return printed.join(classes, F.col("fp") == F.col("_fp")).select(*(F.col(a).alias(b) for a, b in zip(held, keep)), "fp", "component_id")
 
 

@@ -222,15 +222,15 @@ def jaccard(a, b, width=5):
 
 
 def edited_copies(seed=21):
-    """Texts and copies with more and more words replaced, of similarities from 0.5 to 1, and unrelated ones."""
+    """Texts and copies with more and more words replaced, of similarities from 0.5 to 1, many about 0.8, and unrelated ones."""
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
     texts = []
-    for i in range(120):
+    for i in range(160):
         own = [rng.choice(words) for _ in range(rng.randint(80, 400))]
         texts.append(" ".join(own))
         changed = list(own)
-        for at in rng.sample(range(len(own)), int(len(own) * rng.choice([0.002, 0.01, 0.02, 0.03, 0.05, 0.12]))):
+        for at in rng.sample(range(len(own)), int(len(own) * rng.choice([0.002, 0.01, 0.02, 0.022, 0.026, 0.03, 0.05, 0.12]))):
             changed[at] = rng.choice(words)
         texts.append(" ".join(changed))
     return texts
@@ -240,40 +240,71 @@ def test_similar_groups_reach_the_similarity(spark):
     texts = edited_copies()
     got = rows(simhash.similar_groups(documents(spark, [*texts, None, "", "one two", "one two"]), ["doc_id"]))
     pairs = [(i, jaccard(texts[i], texts[i + 1])) for i in range(0, len(texts), 2)]
-    near, far = [i for i, s in pairs if s >= 0.8], [i for i, s in pairs if s < 0.5]
-    assert len(near) > 40 and len(far) > 10 and sum(0.8 <= s < 0.9 for _, s in pairs) > 10
+    near, far = [i for i, s in pairs if s >= 0.8], [i for i, s in pairs if s < 0.8]
+    assert len(near) > 40 and len(far) > 40 and sum(0.8 <= s < 0.9 for _, s in pairs) > 10 and sum(0.7 <= s < 0.8 for _, s in pairs) > 10
     assert sum(got[i + 1].component_id == i for i in near) >= 0.95 * len(near)
     assert all(got[i + 1].component_id == i + 1 for i in far) and all(got[i].component_id == i for i, _ in pairs)
     n = len(texts)
     assert [got[n + k].component_id for k in range(4)] == [n, n, n + 2, n + 2]
 
 
-def test_wide_links_are_those_in_reach(spark, monkeypatch):
-    """With slices of few rows, and many texts around one: the components are those of all pairs in reach that share a bucket."""
+@pytest.mark.parametrize("one_cell", [True, False])
+def test_similar_groups_are_those_of_checked_pairs(spark, monkeypatch, one_cell):
+    """Many texts around one, in groups that are a cell each or are cut into slices of few rows: the components are those of brute force over exact sets."""
     rng = random.Random(4)
     base = [f"w{k}" for k in range(60)]
     texts = []
     for i in range(90):
         own = list(base)
-        own[rng.randrange(60)] = f"x{i % 7}"
+        for at in rng.sample(range(60), rng.choice([1, 1, 2])):
+            own[at] = f"x{i % 7}"
         texts.append(" ".join(own) if i % 3 else " ".join(rng.choice(base) for _ in range(40)))
     made = [simhash.wide_fingerprint(t.encode()) for t in texts]
     radius, n = simhash.radius_of(0.8), len(texts)
-    as_int = [int.from_bytes(p, "little") for p, _ in made]
-    root = list(range(n))
-    for _ in range(n):
-        before = list(root)
-        for a in range(n):
-            for b in range(a):
-                if (as_int[a] ^ as_int[b]).bit_count() <= radius and (as_int[a] == as_int[b] or len(set(made[a][1]) & set(made[b][1])) > 1):
-                    root[a] = root[b] = min(root[a], root[b])
-        if before == root:
-            break
-    monkeypatch.setattr(simhash, "SLICE", 7)
-    wide = simhash.wide_links
-    monkeypatch.setattr(simhash, "wide_links", lambda prints, r: wide(prints, r, 7))
+    as_int = [int.from_bytes(p, "little") for p, _, _ in made]
+
+    def grouped(linked):
+        root = list(range(n))
+        for _ in range(n):
+            before = list(root)
+            for a in range(n):
+                for b in range(a):
+                    if root[a] != root[b] and linked(a, b):
+                        low, high = sorted((root[a], root[b]))
+                        root = [low if r == high else r for r in root]
+            if before == root:
+                return root
+
+    near = lambda a, b: (as_int[a] ^ as_int[b]).bit_count() <= radius
+    bucket = lambda a, b: as_int[a] == as_int[b] or len(set(made[a][1]) & set(made[b][1])) > 1
+    loose = grouped(lambda a, b: near(a, b) and bucket(a, b))
+    want = grouped(lambda a, b: near(a, b) and (loose[a] == loose[b] if one_cell else bucket(a, b)) and jaccard(texts[a], texts[b]) >= 0.8)
+    assert want != loose and len(set(want)) < n
+    if not one_cell:
+        monkeypatch.setattr(simhash, "wide_links", lambda prints, r, wide=simhash.wide_links: wide(prints, r, 7))
+        monkeypatch.setattr(simhash, "checked_links", lambda *given, links=simhash.checked_links: links(*given, slice_rows=7, slice_bytes=1000))
     got = rows(simhash.similar_groups(documents(spark, texts), ["doc_id"]))
-    assert [got[i].component_id for i in range(n)] == root
+    assert [got[i].component_id for i in range(n)] == want
+
+
+def test_pairs_that_fail_the_check_hide_no_others():
+    """One cell, small and large, with a check that fails at random: the forest is that of all pairs that pass."""
+    rng = np.random.default_rng(3)
+    for size in (50, 300):
+        prints = rng.integers(0, 4, size, dtype=np.uint64)
+        passes = np.triu(rng.random((size, size)) < 1.2 / size, 1)
+        passes |= passes.T
+        a, b = simhash.forest(np.zeros(size, np.int64), prints, 1, lambda i, j: passes[i, j])
+        made, want = (components_of(size, pairs) for pairs in (zip(a, b), [(i, j) for i in range(size) for j in range(i) if passes[i, j] and int(prints[i] ^ prints[j]).bit_count() <= 1]))
+        assert made == want and len(set(want)) < size
+
+
+def components_of(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
 
 
 def test_one_large_cell_links_all_in_reach():

@@ -52,16 +52,23 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert one.columns == corpus_pipeline.COLUMNS and rows(one) == kept
 
     made = {r[0]: simhash.wide_fingerprint((r[1] or "").encode()) for r in kept}
-    as_int, radius = {i: int.from_bytes(p, "little") for i, (p, _) in made.items()}, simhash.radius_of(0.8)
-    root = {i: i for i in made}
-    changed = True
-    while changed:
-        changed = False
-        for a in made:
-            for b in made:
-                if root[a] != root[b] and (as_int[a] ^ as_int[b]).bit_count() <= radius and (as_int[a] == as_int[b] or len(set(made[a][1]) & set(made[b][1])) > 1):
-                    root[a] = root[b] = min(root[a], root[b])
-                    changed = True
+    as_int, radius = {i: int.from_bytes(p, "little") for i, (p, _, _) in made.items()}, simhash.radius_of(0.8)
+    near = lambda a, b: (as_int[a] ^ as_int[b]).bit_count() <= radius
+
+    def grouped(linked):
+        root = {i: i for i in made}
+        changed = True
+        while changed:
+            changed = False
+            for a in made:
+                for b in made:
+                    if root[a] != root[b] and linked(a, b):
+                        root[a] = root[b] = min(root[a], root[b])
+                        changed = True
+        return root
+
+    loose = grouped(lambda a, b: near(a, b) and (as_int[a] == as_int[b] or len(set(made[a][1]) & set(made[b][1])) > 1))
+    root = grouped(lambda a, b: near(a, b) and loose[a] == loose[b] and (as_int[a] == as_int[b] or simhash.similar(made[a][2], made[b][2], 0.8)))
     kept = [r for r in kept if root[r[0]] == r[0]]
     two = stages["near_dedup"](spark, spark.createDataFrame(rows(one), docs.schema), sf)
     assert rows(two) == kept
