@@ -168,3 +168,16 @@ def test_a_large_lexicon_meets_no_nested_loop(spark):
     found = lexicon_matches(d, terms)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.groupBy("id").count().where("count = 50").count() == 200
+
+
+@pytest.mark.parametrize("piece", [3, 256])
+def test_terms_that_begin_alike_are_met_by_equality(spark, monkeypatch, piece):
+    """No place is compared with each of the terms of its beginning; pieces of long runs lose no match at their ends."""
+    monkeypatch.setattr("skeinflow.operators.lexicon.PIECE", piece, raising=False)
+    rng = random.Random(5)
+    terms = sorted({"abcdefgh" + "".join(rng.choice("xy\U0001F600-]") for _ in range(rng.randint(0, 9))) for _ in range(400)})
+    texts = ["".join(rng.choice([*terms, "abcdefgh", "x", " ", "\n"]) for _ in range(60)) for _ in range(8)]
+    found = lexicon_matches(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert "StartsWith" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.term): r.places for r in found.collect()}
+    assert got == {(i, t): n for i, x in enumerate(texts) for t in terms for n in [sum(x.startswith(t, k) for k in range(len(x)))] if n}
