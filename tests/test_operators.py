@@ -181,6 +181,22 @@ def test_tfidf_rows_have_length_one(spark):
     assert values(spark, ["a bb שלום! x1"], features.ngrams(features.tokens(F.col("text")), 3)) == [["bb", "שלום", "x1", "bb שלום", "שלום x1", "bb שלום x1"]]
 
 
+@pytest.mark.parametrize("fitted", [False, True])
+def test_tfidf_makes_tokens_and_counts_once(spark, monkeypatch, fitted):
+    """Whatever the vocabulary's size: the rows of a record's terms are made once, for the vocabulary and the weights alike."""
+    monkeypatch.setattr(features, "SENT", 0)
+    monkeypatch.setattr(features, "PART", 8, raising=False)
+    d = spark.createDataFrame([(i, f"aa bb aa cc{i % 3}" if i else None) for i in range(9)], "id long, text string")
+    known = features.vocabulary(d, 9, max_df=1.0) if fitted else None
+    w = features.tfidf(d, max_df=1.0, fitted=known)
+    assert {(r.term, r.n) for r in w.groupBy("term").agg(F.count("*").alias("n")).collect()} == {("aa", 8), ("bb", 8), ("aa bb", 8), ("bb aa", 8), *((p + f"cc{k}", 2 + (k > 0)) for k in range(3) for p in ("", "aa "))}
+    assert all(abs(r[1] - 1) < 1e-12 for r in w.groupBy("id").agg(F.sum(F.col("weight") ** 2)).collect())
+    w.collect()
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("regexp_extract_all") == 1 and (fitted or "ReusedExchange" in final)
+
+
 def test_metrics_and_models(spark):
     s = spark.createDataFrame([(0, "a", 1, 0.9), (1, "a", 0, 0.2), (2, "a", 1, 0.3), (0, "b", 0, 0.1), (1, "b", 0, 0.6), (2, "b", 0, 0.1)], "id long, label string, y int, proba double")
     m = model.metrics(s).first()
