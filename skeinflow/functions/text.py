@@ -18,12 +18,17 @@ SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+#: One character of a word, and one of white space: printable ASCII is decided first, without a look at the rest of SPACE.
+WORD, GAP = f"[!-~[^{SPACE}]]", f"[{SPACE}&&[^!-~]]"
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(text_of(c), F.lit(f"[^{SPACE}]+")).cast("long")
+    """Each word, with the white space behind it, becomes one character: no list of words is made."""
+    return F.length(F.regexp_replace(strip(text_of(c)), f"{WORD}++{GAP}*+", "x")).cast("long")
 
 
 def char_count(c: Column) -> Column:
@@ -130,12 +135,12 @@ def accept_gate(c: Column, letters: str = lex.LETTERS, least_chars: int = 25, le
 
 def repeated_neighbours(c: Column) -> Column:
     """Do two equal words of more than one letter stand next to each other?"""
-    return F.rlike(text_of(c), F.lit(rf"(?<![^{SPACE}])([^{SPACE}]{{2,}}+)[{SPACE}]++\1(?![^{SPACE}])"))
+    return F.rlike(text_of(c), F.lit(rf"(?<!{WORD})({WORD}{{2,}}+){GAP}++\1(?!{WORD})"))
 
 
 def words_like(c: Column, word: str) -> Column:
     """How many words a pattern matches as a whole; it may be written with ^ and $."""
-    return F.regexp_count(text_of(c), F.lit(rf"(?<![^{SPACE}])(?:{word.removeprefix('^').removesuffix('$')})(?![^{SPACE}])")).cast("long")
+    return F.regexp_count(text_of(c), F.lit(rf"(?<!{WORD})(?:{word.removeprefix('^').removesuffix('$')})(?!{WORD})")).cast("long")
 
 
 def valid_gate(c: Column, letters: str = lex.LETTERS, least_chars: int = 30, least_letters: int = 15, forbidden=lex.FORBIDDEN, phrases=lex.META_PHRASES, foreign_word: str = "^[A-Za-z]{3,}$", most_foreign: int = 3) -> Column:

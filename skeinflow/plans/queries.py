@@ -157,7 +157,7 @@ SELECT g AS lang, i, round("at", 6) AS "at", round(sum(m * exp(-0.5::DOUBLE * po
 )
 def length_violin(spark, sf):
     """Densities of the number of words by language."""
-    d = spread(table(spark, sf, "documents")).select("lang", tx.word_count(F.col("text")).alias("words"))
+    d = settled(spread(table(spark, sf, "documents")).select("lang", tx.word_count(F.col("text")).alias("words")))  # read twice, a number a row
     return distribution.densities(d, "lang", "words").select("lang", "i", F.round("at", 6).alias("at"), F.round("density", 9).alias("density"))
 
 

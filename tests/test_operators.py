@@ -56,6 +56,23 @@ def brute_valid(t):
     )
 
 
+def test_words_are_told_from_white_space_at_every_character(spark):
+    import re
+
+    chars = [chr(c) for c in [*range(1, 0x250), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF, 0x1F600]]
+    d = spark.createDataFrame([(c, f"ab{c}ab", f"{c} ab{c}cd{c}") for c in chars], "c string, two string, some string")
+    like = tx.words_like(F.col("two"), "^ab$")
+    got = {r.c: (r.n, r.m, r.like, r.rep) for r in d.select("c", tx.word_count(F.col("two")).alias("n"), tx.word_count(F.col("some")).alias("m"), like.alias("like"), tx.repeated_neighbours(F.col("two")).alias("rep")).collect()}
+    for c in chars:
+        assert got[c] == (len(f"ab{c}ab".split()), len(f"{c} ab{c}cd{c}".split()), 2 * c.isspace(), c.isspace()), hex(ord(c))
+    assert re.search(r"\[!-~\[", tx.WORD)  # printable ASCII first
+
+
+def test_violin_counts_words_once(spark, sf):
+    plan = QUERIES["length_violin"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "regexp" not in plan
+
+
 def test_valid_gate_whole_has_a_row_for_long_and_uncounted_documents(spark, tmp_path):
     long = " ".join(f"word{i}" for i in range(900))
     texts = [long, long + " end end", long + " Output:", long + " Abcdefghijklmn" + "".join(f" Abcdefghijklm{c}" for c in "opq"), "short", "some plain words that are long enough", None]
