@@ -273,7 +273,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce({_LIST}, []) AS w FROM
 )
 def valid_gate(spark, sf):
     gate = tx.valid_gate(F.col("text"), letters="[A-Za-z]", forbidden=["token", "idiot"], phrases=["here is", "output:"], foreign_word="^[A-Z][a-z]{11,}$")
-    return table(spark, sf, "documents").select("doc_id", gate.alias("valid"))
+    return spread(table(spark, sf, "documents")).select("doc_id", gate.alias("valid"))
 
 
 @query(ORACLE_SQL["valid_gate"])

@@ -68,6 +68,11 @@ def test_words_are_told_from_white_space_at_every_character(spark):
     assert re.search(r"\[!-~\[", tx.WORD)  # printable ASCII first
 
 
+def test_texts_of_one_file_are_judged_by_all_cores(spark, tmp_path):
+    spark.createDataFrame([(i, "text") for i in range(50)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["valid_gate"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
 def test_violin_counts_words_once(spark, sf):
     plan = QUERIES["length_violin"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "text#" not in plan and "regexp" not in plan
