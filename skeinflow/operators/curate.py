@@ -56,14 +56,18 @@ def curate(df: DataFrame, quotas: dict[str, int], cap: int, kind: str = "example
 
 
 def admitted(new: DataFrame, taken: list[DataFrame], quota: int | None, cap: int, seq: str) -> DataFrame:
-    """The first `quota` rows (or all) of `new` (of different _norm) whose _norm isn't taken and whose _prefix keeps the cap, taken rows included."""
+    """The first `quota` rows (or all) of `new` (of different _norm) whose _norm isn't taken and whose _prefix keeps the cap, taken rows included.
+
+    Joins are by sorting: what was taken grows with the quotas, and a broadcast of it would go through the driver.
+    """
+    before = reduce(DataFrame.unionByName, (t.select("_norm", "_prefix") for t in taken)) if taken else None
     if taken:
-        before = reduce(DataFrame.unionByName, (t.select("_norm", "_prefix") for t in taken))
-        new = new.join(before.select("_norm"), "_norm", "left_anti")
-        new = new.join(before.groupBy("_prefix").agg(F.count("*").alias("_used")), "_prefix", "left")
-    used = F.coalesce(F.col("_used"), F.lit(0)) if taken else F.lit(0)
+        new = new.join(before.select("_norm").hint("merge"), "_norm", "left_anti")
     # the bare limit lets Spark keep no more than the cap of a prefix in each task
     ranked = new.withColumn("_at", F.row_number().over(Window.partitionBy("_prefix").orderBy(seq))).where(F.col("_at") <= cap)
+    if taken:  # at most the cap of a prefix meets its count
+        ranked = ranked.join(before.groupBy("_prefix").agg(F.count("*").alias("_used")).hint("merge"), "_prefix", "left")
+    used = F.coalesce(F.col("_used"), F.lit(0)) if taken else F.lit(0)
     within = ranked.where(F.col("_at") + used <= cap).drop("_at", "_used")
     return within if quota is None else first_rows(within, quota, seq)
 

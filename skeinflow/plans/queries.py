@@ -588,7 +588,7 @@ def generated_by_quota(spark, sf):
 
     def make(rows):
         at = F.floor(tx.hash_uniform(F.lit("draw"), F.col("example_type"), F.col("attempt")) * n).cast("long")
-        return rows.withColumn("place", at).join(bank, "place").where("lang = example_type").select("example_type", "attempt", "text")
+        return rows.withColumn("place", at).join(bank.hint("merge"), "place").where("lang = example_type").select("example_type", "attempt", "text")
 
     quotas = {k: n // part for k, part in _WANTED.items()}
     return generate.generate(spark, folder(spark), quotas, make, F.length("text") >= 25, _CAP).select("id", "example_type", "attempt", "text")

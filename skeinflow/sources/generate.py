@@ -30,19 +30,19 @@ def first_admitted(rows: DataFrame, taken: list[DataFrame], quota: int, cap: int
     """As a loop over rows in order of `seq` takes them: new texts within the cap, up to the quota.
 
     A text that comes again with other opening words (in other letters) has another chance if its first one is beyond the cap:
-    such first ones are taken out until none of them has a later one.
+    such first ones are taken out until none of them has a later one. Joins are by sorting, as in `admitted`.
     """
     twice = rows.groupBy("_norm").agg(F.min("_prefix").alias("p"), F.max("_prefix").alias("q")).where("p <> q").select("_norm")
-    again = settled(rows.join(twice, "_norm", "left_semi").groupBy("_norm", "_prefix").agg(F.min(seq).alias(seq)))
+    again = settled(rows.join(twice.hint("merge"), "_norm", "left_semi").groupBy("_norm", "_prefix").agg(F.min(seq).alias(seq)))
     if not again.isEmpty():  # of equal texts of equal opening words only the first has a chance
-        rows = settled(rows.join(twice, "_norm", "left_anti").unionByName(rows.join(again.select(seq), seq, "left_semi")))
+        rows = settled(rows.join(twice.hint("merge"), "_norm", "left_anti").unionByName(rows.join(again.select(seq).hint("merge"), seq, "left_semi")))
     while not again.isEmpty():
         first = dedup_first(rows, "text", seq)
-        beyond = first.join(admitted(first, taken, None, cap, seq).select(seq), seq, "left_anti").select(seq, "_norm")
-        gone = settled(beyond.join(again.groupBy("_norm").agg(F.max(seq).alias("_last")), "_norm").where(F.col(seq) < F.col("_last")).select(seq))
+        beyond = first.join(admitted(first, taken, None, cap, seq).select(seq).hint("merge"), seq, "left_anti").select(seq, "_norm")
+        gone = settled(beyond.join(again.groupBy("_norm").agg(F.max(seq).alias("_last")).hint("merge"), "_norm").where(F.col(seq) < F.col("_last")).select(seq))
         if gone.isEmpty():
             break
-        rows = settled(rows.join(gone, seq, "left_anti"))
+        rows = settled(rows.join(gone.hint("merge"), seq, "left_anti"))
     return admitted(dedup_first(rows, "text", seq), taken, quota, cap, seq)
 
 

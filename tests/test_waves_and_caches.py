@@ -74,6 +74,19 @@ def test_a_stopped_run_is_taken_up_where_it_stopped(spark, tmp_path, monkeypatch
     assert run(spark, out, again := []) == whole and [w for w in again if w and w[0][0] != "r"] == []
 
 
+def test_what_was_taken_is_not_broadcast(spark, tmp_path, monkeypatch):
+    """Broadcasts pass through the driver, and what was taken grows with the quotas."""
+    plans, real = [], gen.first_admitted
+
+    def watched(*a):
+        plans.append((out := real(*a))._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(gen, "first_admitted", watched)
+    assert run(spark, f"file://{tmp_path}/out") == looped(QUOTAS, CAP)
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_curate_takes_many_types(spark):
     rng = random.Random(3)
     rows = [(i, f"t{rng.randrange(10)}", f"{rng.choice('abc')} {rng.choice('de')} word {rng.randrange(40)}") for i in range(600)]
