@@ -1,6 +1,7 @@
 """Operators on small rows written by hand: edge cases, invariants, and errors."""
 
 import json
+import math
 import random
 import re
 
@@ -219,6 +220,37 @@ def test_tfidf_makes_tokens_and_counts_once(spark, monkeypatch, fitted):
     assert final.count("regexp_extract_all") == 1 and (fitted or "ReusedExchange" in final)
 
 
+@pytest.mark.parametrize("fitted", [False, True])
+def test_tfidf_sends_no_terms(spark, monkeypatch, fitted):
+    """Rows by term would take some ten times the texts on disk; only packed keys travel. Ids may recur or be missing."""
+    monkeypatch.setattr(features, "SENT", 0)
+    monkeypatch.setattr(features, "PART", 64)
+    rng = random.Random(3)
+    rows = [(None if i % 11 == 0 else i // 2, " ".join(rng.choice(["aa", "bb", "שלום", "x1", "long_word", "-"]) for _ in range(rng.randint(0, 12))) if i % 7 else None) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, text string")
+    counts, runs = {}, lambda w, n: [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+    for id, text in rows:
+        w = [x for x in (text or "").split() if x != "-"]
+        for term in (t for n in (1, 2, 3) for t in runs(w, n)):
+            counts[id, term] = counts.get((id, term), 0) + 1
+    df = {}
+    for _, term in counts:
+        df[term] = df.get(term, 0) + 1
+    known = {t: k for t, k in df.items() if 2 <= k <= 0.3 * 60}
+    raw = {(id, t): (1 + math.log(tf)) * (math.log(61 / (1 + known[t])) + 1) for (id, t), tf in counts.items() if t in known}
+    norm = {}
+    for (id, _), w in raw.items():
+        norm[id] = norm.get(id, 0) + w * w
+    terms = spark.createDataFrame([*known.items(), ("never seen", 5)], "term string, df long") if fitted else None
+    got = features.tfidf(d, most=3, max_df=0.3, fitted=terms, n_rows=60)
+    found = {(r.id, r.term): r.weight for r in got.collect()}
+    assert got.count() == len(raw) > 100 and found.keys() == raw.keys() and all(abs(found[k] - w / norm[k[0]] ** 0.5) < 1e-12 for k, w in raw.items())
+    assert "hashpartitioning(term" not in got._jdf.queryExecution().executedPlan().toString()
+    cells = features.tfidf_cells(d, most=3, max_df=0.3).collect()
+    assert len(cells) == len({id for id, _ in rows}) and sum(len(r.at) for r in cells) == len(raw) and len({p for r in cells for p in r.at}) == len(known)
+    assert all(r.at == sorted(set(r.at)) and sorted(r.weight) == pytest.approx(sorted(w for (id, _), w in found.items() if id == r.id)) for r in cells)
+
+
 def test_metrics_and_models(spark):
     s = spark.createDataFrame([(0, "a", 1, 0.9), (1, "a", 0, 0.2), (2, "a", 1, 0.3), (0, "b", 0, 0.1), (1, "b", 0, 0.6), (2, "b", 0, 0.1)], "id long, label string, y int, proba double")
     m = model.metrics(s).first()
